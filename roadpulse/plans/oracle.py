@@ -102,3 +102,56 @@ def with_base(final_sql: str, upto: str = "feat", extra: list[str] | None = None
     if extra:
         ctes.extend(extra)
     return "WITH " + ",\n".join(ctes) + "\n" + final_sql
+
+
+CLEAR = ("cs AS (SELECT cause, round(q[2], 6) AS median, round(q[1], 6) AS p25, round(q[3], 6) AS p75, n FROM ("
+         "SELECT CASE WHEN GROUPING(event_cause) = 1 THEN '_overall' ELSE event_cause END AS cause, "
+         "quantile_cont(duration_minutes, [0.25, 0.5, 0.75]) AS q, CAST(count(*) AS BIGINT) AS n, "
+         "GROUPING(event_cause) AS g FROM feat WHERE duration_minutes > 0 AND duration_minutes <= 1440 "
+         "GROUP BY GROUPING SETS ((event_cause), ())) t WHERE g = 1 OR n >= 5)")
+
+SCORE = ("score AS (SELECT CAST(event_id AS BIGINT) AS id, "
+         "CAST(((event_id*37 + CAST(json_extract_string(props, '$.k') AS INT)*11) % 1000) AS DOUBLE) / 1000.0 "
+         "AS closure_prob FROM events)")
+
+
+def pct0_sql(p: str) -> str:
+    return f"CAST(CAST(round_even({p} * 100, 0) AS BIGINT) AS VARCHAR)"
+
+
+def recommend_sql(src: str, prob: str | None, threshold: float = vocab.CLOSURE_PROB_BARRICADE_THRESHOLD,
+                  with_clearance: bool = True) -> str:
+    """SELECT adding the recommendation columns to every row of ``src``."""
+    first = {z: s[0] for z, s in vocab.ZONE_STATIONS.items()}
+    fb_station = vocab.ZONE_STATIONS[vocab.FALLBACK_ZONE][0]
+    p = prob or "CAST(NULL AS DOUBLE)"
+    r0 = (f"SELECT *, CASE WHEN severity_class IN {in_list(list(vocab.BASE_PERSONNEL))} THEN severity_class "
+          f"ELSE 'Low' END AS __sev, CASE WHEN coalesce(event_cause, '') = '' THEN 'other' ELSE event_cause END "
+          f"AS __cause, coalesce(road_closure_binary = 1, false) AS __clos, "
+          f"coalesce(hour_of_day IN {in_list(vocab.PEAK_HOURS)}, false) AS __peak, "
+          f"coalesce({p} >= {threshold}, false) AS __likely, {p} AS __prob FROM {src}")
+    hr = in_list(vocab.HIGH_RISK_CAUSES)
+    cols = (f"CAST({case_map('__sev', vocab.BASE_PERSONNEL)} "
+            f"+ CASE WHEN __peak AND __sev IN ('Medium', 'High') THEN {vocab.PEAK_HOUR_BONUS} ELSE 0 END "
+            f"+ CASE WHEN __clos OR __likely THEN {vocab.ROAD_CLOSURE_BONUS} ELSE 0 END "
+            f"+ CASE WHEN __cause IN {hr} THEN {vocab.HIGH_RISK_CAUSE_BONUS} ELSE 0 END AS INTEGER) AS personnel_count, "
+            f"(__clos OR __likely OR __cause IN {in_list(vocab.BARRICADE_CAUSES)}) AS barricade_required, "
+            f"(__sev = '{vocab.DIVERSION_MIN_SEVERITY}' OR __likely) AS diversion_recommended, "
+            f"coalesce({case_map('zone', first)}, {q(fb_station)}) AS dispatch_from, "
+            f"{case_map('__sev', vocab.PRIORITY_FLAGS)} AS priority_flag, "
+            f"concat_ws('; ', __sev || ' severity event', CASE WHEN __peak THEN 'high-incident window' END, "
+            f"CASE WHEN __clos THEN 'operator flagged road closure' "
+            f"WHEN __likely THEN 'model: closure likely (' || {pct0_sql('__prob')} || '%)' END, "
+            f"CASE WHEN __cause IN {hr} THEN 'high-risk cause (' || __cause || ')' END) AS rationale, "
+            f"__prob AS closure_probability")
+    if not with_clearance:
+        return f"SELECT * EXCLUDE (__sev, __cause, __clos, __peak, __likely, __prob), {cols} FROM ({r0}) r0"
+    fb = vocab.CLEARANCE_FALLBACK
+    return (f"SELECT r0.* EXCLUDE (__sev, __cause, __clos, __peak, __likely, __prob), {cols}, "
+            f"CAST(round_even(CASE WHEN c.cause IS NOT NULL THEN c.median ELSE coalesce(ov.median, {fb['median']}) END, 0) AS INTEGER) AS estimated_clearance_minutes, "
+            f"CAST(round_even(CASE WHEN c.cause IS NOT NULL THEN c.p25 ELSE coalesce(ov.p25, {fb['p25']}) END, 0) AS INTEGER) AS clearance_low, "
+            f"CAST(round_even(CASE WHEN c.cause IS NOT NULL THEN c.p75 ELSE coalesce(ov.p75, {fb['p75']}) END, 0) AS INTEGER) AS clearance_high, "
+            f"'typical close-time for ' || __cause || ' (median of ' || coalesce(CAST(CASE WHEN c.cause IS NOT NULL "
+            f"THEN c.n ELSE ov.n END AS VARCHAR), '?') || ' past events)' AS clearance_note "
+            f"FROM ({r0}) r0 LEFT JOIN (SELECT * FROM cs WHERE cause <> '_overall') c ON c.cause = r0.__cause "
+            f"LEFT JOIN (SELECT * FROM cs WHERE cause = '_overall') ov ON true")

@@ -157,3 +157,15 @@ def incident_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def road_points(spark: SparkSession) -> DataFrame:
     """Street-grid way points (a fixed network the fixture sites sit on)."""
     return spark.sql(road_points_sql("spark"))
+
+
+def closure_score_sql(events: str) -> str:
+    """Stand-in probability per incident (FIXTURES 2.3 'score column')."""
+    return (f"SELECT CAST(event_id AS BIGINT) AS id, "
+            f"CAST(((event_id*37 + CAST({{K}} AS INT)*11) % 1000) AS DOUBLE) / 1000.0 AS closure_prob FROM {events}")
+
+
+def closure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events", ["event_id", "props"])
+    sql = closure_score_sql("{events}").replace("{K}", _DIALECT["spark"]["K"])
+    return spark.sql(sql, events=events)

@@ -107,3 +107,23 @@ def count_in_lookback_window(df: DataFrame, keys: list[str], ts: str, out: str,
             f"RANGE BETWEEN INTERVAL '{int(days)} 00:00:00.000000' DAY TO SECOND PRECEDING "
             f"AND INTERVAL '0 00:00:00.000001' DAY TO SECOND PRECEDING)")
     return df.withColumn(out, F.expr(expr).cast("int"))
+
+
+def rank_dense_by(keys: DataFrame, key: str, out: str, partitions: int | None = None) -> DataFrame:
+    """0-based rank of each distinct ``key`` without a global window.
+
+    Range-partition by key, count rows per partition (one small row per
+    partition), prefix-sum those counts, then number rows within each
+    partition: the distributed form of "zip with index after sort".
+    """
+    spark = keys.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = (keys.select(key).repartitionByRange(n, key)
+             .withColumn("__part", F.spark_partition_id()))
+    sizes = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offs = sizes.select("__part", F.coalesce(F.sum("__n").over(
+        Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    w = Window.partitionBy("__part").orderBy(key)
+    return (d.withColumn("__rn", F.row_number().over(w) - 1)
+             .join(F.broadcast(offs), "__part")
+             .select(key, (F.col("__off") + F.col("__rn")).cast("int").alias(out)))

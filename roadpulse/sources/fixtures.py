@@ -169,3 +169,14 @@ def closure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events", ["event_id", "props"])
     sql = closure_score_sql("{events}").replace("{K}", _DIALECT["spark"]["K"])
     return spark.sql(sql, events=events)
+
+
+def given_labels_sql(events: str) -> str:
+    """Fixture cluster labels: the site key (user) per event; every 50th+7 event is noise."""
+    return (f"SELECT CAST(event_id AS BIGINT) AS id, CAST(CASE WHEN event_id % 50 = 7 THEN -1 ELSE user_id END "
+            f"AS INT) AS cluster_label FROM {events}")
+
+
+def given_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events", ["event_id", "user_id"])
+    return spark.sql(given_labels_sql("{events}"), events=events)

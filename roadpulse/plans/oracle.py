@@ -21,7 +21,8 @@ def in_list(vals) -> str:
 
 
 def case_map(expr: str, d: dict, default: str = "NULL") -> str:
-    arms = " ".join(f"WHEN {q(k)} THEN {q(v) if isinstance(v, str) else v}" for k, v in d.items())
+    arms = " ".join(f"WHEN {q(k) if isinstance(k, str) else k} THEN {q(v) if isinstance(v, str) else v}"
+                    for k, v in d.items())
     return f"CASE {expr} {arms} ELSE {default} END"
 
 

@@ -118,8 +118,9 @@ def rank_dense_by(keys: DataFrame, key: str, out: str, partitions: int | None =
     """
     spark = keys.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = (keys.select(key).repartitionByRange(n, key)
-             .withColumn("__part", F.spark_partition_id()))
+    from ..session import cut_lineage
+    # partition ids depend on sampled range bounds: materialise once
+    d = cut_lineage(keys.select(key).repartitionByRange(n, key).withColumn("__part", F.spark_partition_id()))
     sizes = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     offs = sizes.select("__part", F.coalesce(F.sum("__n").over(
         Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))

@@ -200,3 +200,53 @@ def feat_all(spark, sf):
     lab = DB.dbscan(base.incidents(spark, sf)).select("id", "cluster_label")
     f = f.join(lab, "id", "left").fillna(-1, ["cluster_label"])
     return FE.project_model_ready(FE.feat_cluster_history(f))
+
+
+# --- diversion planning for incidents that need it ------------------------------------
+
+def _diversion_targets(spark, sf):
+    """Active, located incidents whose recommendation asks for a diversion."""
+    from ..operators import decide as D
+    from .q_decide import scored
+    r = D.recommend(scored(spark, sf).filter(F.col("status") == "active"), prob_col="closure_prob")
+    return r.filter(F.col("diversion_recommended") & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()) \
+        .select("id", "latitude", "longitude")
+
+
+def _subgraph(spark, sf):
+    from ..operators import diversion as DV
+    return cut_lineage(DV.local_subgraph(_diversion_targets(spark, sf), network(spark, sf)))
+
+
+@register("local_subgraph")
+def local_subgraph(spark, sf):
+    sub = _subgraph(spark, sf)
+    return sub.groupBy("id").agg(F.count_distinct("way_id").alias("ways"), F.count(F.lit(1)).alias("edges"),
+                                 F.round(F.sum("m"), 1).alias("metres"))
+
+
+@register("diversion_route")
+def diversion_route(spark, sf):
+    from ..operators import diversion as DV
+    return DV.diversion_route(_subgraph(spark, sf)).drop("hull")
+
+
+@register("closure_zone")
+def closure_zone(spark, sf):
+    from ..operators import diversion as DV
+    r = DV.diversion_route(_subgraph(spark, sf))
+    return r.select("id", "blocked_lat", "blocked_lon", "snap_distance_m", "feasible", "reason")
+
+
+@register("diversion_exits")
+def diversion_exits(spark, sf):
+    from ..operators import diversion as DV
+    r = DV.diversion_route(_subgraph(spark, sf)).filter("feasible")
+    return r.select("id", "entry_lat", "entry_lon", "exit_lat", "exit_lon", "direct_m")
+
+
+@register("diversion_hull")
+def diversion_hull(spark, sf):
+    from ..operators import diversion as DV
+    r = DV.diversion_route(_subgraph(spark, sf)).filter("feasible")
+    return r.select("id", F.size("hull").alias("hull_vertices"), "hull")

@@ -29,7 +29,7 @@ def register(key: str, oracle: str | None = None):
 def load_all() -> None:
     # importing registers
     from . import q_clean, q_features, q_analytics  # noqa: F401
-    for mod in ("q_decide", "q_spatial", "q_roads", "q_models", "q_planning", "q_stream", "q_feedback"):
+    for mod in ("q_decide", "q_spatial", "q_roads", "q_models", "q_planning", "q_stream", "q_feedback", "q_io"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:  # module not written yet

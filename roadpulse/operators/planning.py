@@ -39,7 +39,8 @@ def topk_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
 
 
 def knn_join(queries: DataFrame, points: DataFrame, keys: list[str], k: int,
-             start_km: float = 1.0, max_passes: int = 10) -> DataFrame:
+             start_km: float = 1.0, max_passes: int = 10, metric: str = "haversine",
+             exclude_self: bool = False) -> DataFrame:
     """Exact k nearest ``points`` (haversine, ties by start/id) per query with equal ``keys``.
 
     Expanding rings: with cells of c km, every point within c km of a query is
@@ -60,7 +61,10 @@ def knn_join(queries: DataFrame, points: DataFrame, keys: list[str], k: int,
     c = start_km
     for i in range(max_passes):
         last = c >= span_km or i == max_passes - 1
-        dlat, dlon = c / 110.0, c / (111.4 * coslat)
+        if metric == "euclid_deg":  # plain euclidean distance in degree space, cell side c/111 degrees
+            dlat = dlon = c / 111.0
+        else:
+            dlat, dlon = c / 110.0, c / (111.4 * coslat)
         q = (pending.withColumn("__r", F.floor(F.col("latitude") / dlat).cast("long"))
                     .withColumn("__c", F.floor(F.col("longitude") / dlon).cast("long"))
                     .withColumn("__r", F.explode(F.array(*[F.col("__r") + o for o in (-1, 0, 1)])))
@@ -69,15 +73,22 @@ def knn_join(queries: DataFrame, points: DataFrame, keys: list[str], k: int,
                 .withColumn("__c", F.floor(F.col("longitude") / dlon).cast("long"))
                 .select("pid", *keys, "__r", "__c", F.col("latitude").alias("plat"),
                         F.col("longitude").alias("plon"), "start_datetime"))
-        cand = (q.join(p, keys + ["__r", "__c"])
-                 .withColumn("distance_km", haversine_km(F.col("latitude"), F.col("longitude"),
-                                                         F.col("plat"), F.col("plon"))))
+        cand = q.join(p, keys + ["__r", "__c"])
+        if exclude_self:
+            cand = cand.filter(F.col("pid") != F.col("qid"))
+        if metric == "euclid_deg":
+            dist = F.sqrt(F.pow(F.col("latitude") - F.col("plat"), 2) + F.pow(F.col("longitude") - F.col("plon"), 2))
+            reach = F.lit(0.99 * c / 111.0)
+        else:
+            dist = haversine_km(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plon"))
+            reach = F.lit(0.99 * c)
+        cand = cand.withColumn("distance_km", dist)
         w = Window.partitionBy("qid").orderBy("distance_km", "start_datetime", "pid")
         cand = cand.withColumn("pool_rank", F.row_number().over(w)).filter(F.col("pool_rank") <= k)
         if last:
             ok = cand
         else:
-            good = (cand.groupBy("qid").agg(F.count_if(F.col("distance_km") <= 0.99 * c).alias("__n"))
+            good = (cand.groupBy("qid").agg(F.count_if(F.col("distance_km") <= reach).alias("__n"))
                         .filter(F.col("__n") >= k).select("qid"))
             ok = cand.join(good, "qid", "left_semi")
         ok = cut_lineage(ok.select("qid", "pid", "distance_km", "pool_rank"))

@@ -299,3 +299,52 @@ def kde_heatmap(df: DataFrame, bandwidth: float = vocab.KDE_BANDWIDTH, grid: int
 def heatmap_raw(df: DataFrame) -> DataFrame:
     return df.select("latitude", "longitude").dropna().select(
         F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.lit(1.0).alias("weight"))
+
+
+# --------------------------------------------------------------------------
+# Moran's I of cluster membership
+# --------------------------------------------------------------------------
+
+def morans_i(labelled: DataFrame, k: int = vocab.MORAN_K, label: str = "cluster_label",
+             alpha: float = vocab.MORAN_SIGNIFICANCE) -> DataFrame:
+    """Global Moran's I of the clustered flag with row-standardised k-nearest weights
+    (euclidean in degree space), normal-approximation two-sided p-value.
+
+    Weights come from an exact kNN join; S0/S1/S2 and the cross-products are
+    aggregations; only the final one-row statistic is evaluated on the driver.
+    """
+    from .planning import knn_join
+    pts = (labelled.select(F.col("id").alias("pid"), "latitude", "longitude", "start_datetime",
+                           (F.col(label) >= 0).cast("double").alias("y"))
+                   .dropna(subset=["latitude", "longitude"]).withColumn("__all", F.lit(1)))
+    q = pts.select(F.col("pid").alias("qid"), "__all", "latitude", "longitude")
+    nn = knn_join(q, pts.drop("y"), ["__all"], k, metric="euclid_deg", exclude_self=True)
+    ki = nn.groupBy("qid").agg(F.count(F.lit(1)).alias("__k"))
+    w = nn.join(ki, "qid").select(F.col("qid").alias("i"), F.col("pid").alias("j"), (1.0 / F.col("__k")).alias("w"))
+    ybar = pts.agg(F.avg("y").alias("__m"), F.count(F.lit(1)).alias("n"))
+    z = pts.crossJoin(F.broadcast(ybar)).select(F.col("pid"), (F.col("y") - F.col("__m")).alias("z"))
+    zi = z.select(F.col("pid").alias("i"), F.col("z").alias("zi"))
+    zj = z.select(F.col("pid").alias("j"), F.col("z").alias("zj"))
+    cross = w.join(zi, "i").join(zj, "j").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("num"),
+                                               F.sum("w").alias("s0"))
+    zz = z.agg(F.sum(F.col("z") * F.col("z")).alias("den"))
+    both = w.select("i", "j", F.col("w").alias("a"), F.lit(0.0).alias("b")).unionByName(
+        w.select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(0.0).alias("a"), F.col("w").alias("b")))
+    s1 = both.groupBy("i", "j").agg((F.sum("a") + F.sum("b")).alias("t")).agg(
+        (0.5 * F.sum(F.col("t") * F.col("t"))).alias("s1"))
+    rs = w.groupBy(F.col("i").alias("v")).agg(F.sum("w").alias("r"))
+    cs = w.groupBy(F.col("j").alias("v")).agg(F.sum("w").alias("c"))
+    s2 = rs.join(cs, "v", "full").fillna(0.0).agg(F.sum(F.pow(F.col("r") + F.col("c"), 2)).alias("s2"))
+    row = cross.crossJoin(zz).crossJoin(s1).crossJoin(s2).crossJoin(ybar).first()
+    import math as _m
+    n, s0 = float(row["n"]), float(row["s0"] or 0.0)
+    spark = labelled.sparkSession
+    schema = "n long, I double, expected_I double, z_norm double, p_value double, significant boolean"
+    if n < 3 or not row["den"] or s0 == 0:
+        return spark.createDataFrame([(int(n), None, None, None, None, False)], schema)
+    i_stat = n / s0 * row["num"] / row["den"]
+    ei = -1.0 / (n - 1)
+    vi = (n * n * row["s1"] - n * row["s2"] + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - ei * ei
+    zn = (i_stat - ei) / _m.sqrt(vi)
+    p = _m.erfc(abs(zn) / _m.sqrt(2.0))  # two-sided normal tail
+    return spark.createDataFrame([(int(n), float(i_stat), ei, float(zn), float(p), bool(p < alpha))], schema)

@@ -336,3 +336,9 @@ def dbscan_summary(spark, sf):
 def sink_hotspots_geojson(spark, sf):
     """GeoJSON Feature text per hotspot (write with ``.write.text`` to a shared folder)."""
     return S.geojson_features(S.hotspot_features(labelled(spark, sf)))
+
+
+@register("morans_i")
+def morans_i(spark, sf):
+    """Spatial autocorrelation of cluster membership (fixture labels), kNN k=8."""
+    return S.morans_i(labelled(spark, sf))

@@ -23,15 +23,20 @@ def raw_nt(spark: SparkSession, sf: str) -> DataFrame:
     return C.null_tokens(raw(spark, sf))
 
 
+def _stage(spark: SparkSession, name: str, sf: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, name, sf)
+    df = _STAGES.get(key)
+    if df is None:
+        df = cut_lineage(build())
+        _STAGES[key] = df
+    return df
+
+
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
-    return C.clean_pipeline(raw(spark, sf))
+    """Clean incident table, checkpointed on first use (the cleaning hand-off)."""
+    return _stage(spark, "clean", sf, lambda: C.clean_pipeline(raw(spark, sf)))
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """Core feature table, checkpointed to the shared checkpoint folder on first use."""
-    key = (spark.sparkContext.applicationId, "features", sf)
-    df = _STAGES.get(key)
-    if df is None:
-        df = cut_lineage(FE.feat_core(incidents(spark, sf)))
-        _STAGES[key] = df
-    return df
+    return _stage(spark, "features", sf, lambda: FE.feat_core(incidents(spark, sf)))

@@ -86,7 +86,7 @@ def impact_sql(src: str, prob: str = "closure_prob") -> str:
           f"CAST(NULL AS DOUBLE), 0.0) END, 0.0), 1.0)")
     corr = f"least(greatest(coalesce(CAST(corridor_7d_score AS DOUBLE), 0.0), 0.0) / {float(vocab.CORRIDOR_SOFT_CAP)}, 1.0)"
     rf = str(vocab.ROAD_NEUTRAL)
-    wf = "CASE WHEN coalesce(is_peak_hour = 1, false) THEN 1.0 ELSE 0.4 END"
+    wf = "CAST(CASE WHEN coalesce(is_peak_hour = 1, false) THEN 1.0 ELSE 0.4 END AS DOUBLE)"
     def d(x):
         return f"CAST({x!r} AS DOUBLE)"
     return (f"SELECT *, CAST(round_even(100 * ({d(w['closure'])} * __cf + {d(w['corridor'])} * __corr "

@@ -59,7 +59,7 @@ def precision_recall_at(spark, sf):
                     F.round("recall", 6).alias("recall"))
 
 
-_CURVE = [SCORE, _SC, "th AS (SELECT round(0.05 * i, 2) AS threshold FROM range(1, 19) t(i))",
+_CURVE = [SCORE, _SC, "th AS (SELECT CAST(round(0.05 * i, 2) AS DOUBLE) AS threshold FROM range(1, 19) t(i))",
           "cv AS (SELECT threshold, CAST(count(*) FILTER (WHERE p >= threshold AND y = 1) AS BIGINT) AS tp, "
           "CAST(count(*) FILTER (WHERE p >= threshold AND y = 0) AS BIGINT) AS fp, "
           "CAST(count(*) FILTER (WHERE p < threshold AND y = 1) AS BIGINT) AS fn FROM sc, th GROUP BY threshold)"]
@@ -67,7 +67,7 @@ _CURVE = [SCORE, _SC, "th AS (SELECT round(0.05 * i, 2) AS threshold FROM range(
 
 @register("cost_threshold", with_base(
     "SELECT threshold, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision, "
-    "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall, 5.0 * fn + fp AS cost FROM cv",
+    "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall, CAST(5.0 AS DOUBLE) * fn + fp AS cost FROM cv",
     extra=_CURVE))
 def cost_threshold(spark, sf):
     c = M.cost_curve(_scored(spark, sf), "road_closure_binary", "closure_prob")
@@ -76,7 +76,8 @@ def cost_threshold(spark, sf):
 
 
 @register("cost_threshold_best", with_base(
-    "SELECT min_by(threshold, (5.0 * fn + fp, threshold)) AS threshold, min(5.0 * fn + fp) AS cost FROM cv",
+    "SELECT min_by(threshold, (CAST(5.0 AS DOUBLE) * fn + fp, threshold)) AS threshold, "
+    "min(CAST(5.0 AS DOUBLE) * fn + fp) AS cost FROM cv",
     extra=_CURVE))
 def cost_threshold_best(spark, sf):
     return M.cost_threshold(M.cost_curve(_scored(spark, sf), "road_closure_binary", "closure_prob"))

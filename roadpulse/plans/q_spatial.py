@@ -310,7 +310,7 @@ def kde_heatmap(spark, sf):
 
 
 @register("heatmap_raw", with_base(
-    "SELECT latitude AS lat, longitude AS lon, 1.0 AS weight FROM clean WHERE latitude IS NOT NULL "
+    "SELECT latitude AS lat, longitude AS lon, CAST(1.0 AS DOUBLE) AS weight FROM clean WHERE latitude IS NOT NULL "
     "AND longitude IS NOT NULL", upto="clean"))
 def heatmap_raw(spark, sf):
     return S.heatmap_raw(base.incidents(spark, sf))

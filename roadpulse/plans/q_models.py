@@ -84,7 +84,7 @@ def cost_threshold_best(spark, sf):
 
 
 def frame(spark, sf):
-    return cut_lineage(MD.train_frame(features_given(spark, sf)))
+    return base._stage(spark, "train_frame", sf, lambda: MD.train_frame(features_given(spark, sf)))
 
 
 _ORD = "row_number() OVER (ORDER BY start_datetime, id) - 1"

@@ -123,11 +123,13 @@ def road_edges(spark, sf):
 # --- full feature table with given cluster labels (exact oracle) --------------------------
 
 def features_given(spark, sf):
-    """Core features + road context + fixture cluster labels + leakage-free cluster history."""
-    f = cut_lineage(FE.feat_core(base.incidents(spark, sf)))
-    f = cut_lineage(R.road_join(f, network(spark, sf)))
-    f = f.join(fixtures.given_labels(spark, sf), "id", "left").fillna(-1, ["cluster_label"])
-    return FE.feat_cluster_history(f)
+    """Core features + road context + fixture cluster labels + leakage-free cluster history
+    (a stage output: materialised once per session and input folder)."""
+    def build():
+        f = cut_lineage(R.road_join(base.features(spark, sf), network(spark, sf)))
+        f = f.join(fixtures.given_labels(spark, sf), "id", "left").fillna(-1, ["cluster_label"])
+        return FE.feat_cluster_history(f)
+    return base._stage(spark, "features_given", sf, build)
 
 
 _CH = [LABELS,

@@ -92,18 +92,30 @@ def event_append(spark, sf):
     return s.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
 
 
-@register("snapshot_append")
+from .q_feedback import _SNAP  # noqa: E402
+
+_HIST_SQL = with_base(
+    "SELECT recorded_at, n_decisions, n_outcomes, round(rec_clearance_mae, 6) AS rec_clearance_mae, "
+    "CAST(rec_severity_accuracy AS DOUBLE) AS rec_severity_accuracy FROM snap UNION ALL "
+    "SELECT recorded_at, n_decisions, n_outcomes, round(rec_clearance_mae, 6), CAST(NULL AS DOUBLE) FROM snap",
+    extra=_SNAP)
+
+
+@register("snapshot_append", _HIST_SQL)
 def snapshot_append(spark, sf):
     """Append metric snapshots (weekly, from the decision log) twice and read the history back aligned."""
     from .q_feedback import decisions
     path = scratch(spark, "history")
-    snap = FB.weekly_snapshots(decisions(spark, sf))
+    snap = FB.weekly_snapshots(decisions(spark, sf)).withColumn(
+        "rec_clearance_mae", F.round("rec_clearance_mae", 6)).withColumn(
+        "rec_severity_accuracy", F.col("rec_severity_accuracy").cast("double"))
     snap.write.mode("append").parquet(path)
     snap.drop("rec_severity_accuracy").write.mode("append").parquet(path)   # an older, narrower writer
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    return spark.read.option("mergeSchema", "true").parquet(path).select(
+        "recorded_at", "n_decisions", "n_outcomes", "rec_clearance_mae", "rec_severity_accuracy")
 
 
-@register("history_read")
+@register("history_read", _HIST_SQL)
 def history_read(spark, sf):
     """Snapshot history read with a fixed column set (missing columns NULL), newest first."""
     h = snapshot_append(spark, sf)

@@ -220,7 +220,27 @@ def _subgraph(spark, sf):
     return cut_lineage(DV.local_subgraph(_diversion_targets(spark, sf), network(spark, sf)))
 
 
-@register("local_subgraph")
+def _subgraph_sql() -> str:
+    from .oracle import SCORE, recommend_sql
+    tg = ("tg AS (SELECT id, latitude AS ilat, longitude AS ilon FROM (" + recommend_sql(
+        "(SELECT f.*, s.closure_prob FROM feat f LEFT JOIN score s USING (id) WHERE f.status = 'active')",
+        "closure_prob", with_clearance=False) + ") r WHERE diversion_recommended AND latitude IS NOT NULL "
+        "AND longitude IS NOT NULL)")
+    box = ("bxw AS (SELECT DISTINCT tg.id, rp.way_id FROM tg JOIN rp ON "
+           "rp.lat_e5 / 1e5 BETWEEN ilat - 2.0 / 110.574 AND ilat + 2.0 / 110.574 AND "
+           "rp.lon_e5 / 1e5 BETWEEN ilon - 2.0 / (111.320 * cos(radians(ilat)) + 1e-9) "
+           "AND ilon + 2.0 / (111.320 * cos(radians(ilat)) + 1e-9))")
+    edges = ("we AS (SELECT way_id, m FROM (SELECT way_id, 1000.0 * (2 * 6371.0 * asin(sqrt(pow(sin(radians(lat2 - lat) "
+             "/ 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2)))) AS m FROM ("
+             "SELECT way_id, lat_e5 / 1e5 AS lat, lon_e5 / 1e5 AS lon, lead(lat_e5) OVER w / 1e5 AS lat2, "
+             "lead(lon_e5) OVER w / 1e5 AS lon2 FROM rp WINDOW w AS (PARTITION BY way_id ORDER BY seq)) t "
+             "WHERE lat2 IS NOT NULL) e WHERE m > 0)")
+    return with_base("SELECT id, CAST(count(DISTINCT bxw.way_id) AS BIGINT) AS ways, CAST(count(*) AS BIGINT) AS edges, "
+                     "round(sum(m), 1) AS metres FROM bxw JOIN we USING (way_id) GROUP BY id",
+                     extra=NET + [SCORE, tg, box, edges])
+
+
+@register("local_subgraph", _subgraph_sql())
 def local_subgraph(spark, sf):
     sub = _subgraph(spark, sf)
     return sub.groupBy("id").agg(F.count_distinct("way_id").alias("ways"), F.count(F.lit(1)).alias("edges"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import secrets, sketch, url_filter
+from . import anchors, secrets, sketch, suffix, url_filter
 from .common import documents
 
 QUERIES: dict = {}
@@ -49,3 +49,13 @@ def op8_fingerprints(spark, sf_dir):
 @_query
 def op10_secrets(spark, sf_dir):
     return secrets.report(secrets.scan(documents(spark, sf_dir)))
+
+
+@_query
+def op4_substring_dedup(spark, sf_dir):
+    return anchors.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+@_query
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(documents(spark, sf_dir)).drop("kept")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import anchors, secrets, sketch, suffix, url_filter
+from . import anchors, jaccard_join, secrets, sketch, suffix, url_filter
 from .common import documents
 
 QUERIES: dict = {}
@@ -59,3 +59,8 @@ def op4_substring_dedup(spark, sf_dir):
 @_query
 def op2_suffix_dedup(spark, sf_dir):
     return suffix.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+@_query
+def op1_jaccard_join(spark, sf_dir):
+    return jaccard_join.similar_components(documents(spark, sf_dir)).drop("sig")

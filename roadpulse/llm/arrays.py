@@ -19,6 +19,8 @@ INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 STEP = np.uint64(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+MARKS = np.ones(256, bool)          # everything but ASCII letters, digits and bytes of longer characters
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict = {}
@@ -77,7 +79,7 @@ def chunks(offsets: np.ndarray, size: int = CHUNK, most: int = CHUNK_DOCS):
         i = j
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray):
+def word_hashes(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE):
     """Words of the documents ``data[offs[i]:offs[i+1]]`` (offs[0] == 0).
 
     Returns (hash, start, end, first): ``first`` holds the index of each
@@ -87,7 +89,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray):
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(len(offs), np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     head = inside.copy()
     head[1:] &= ~inside[:-1]
     at = offs[:-1][offs[:-1] < n]

@@ -77,3 +77,15 @@ def span_text(spans: Column, kinds: list[str]) -> Column:
         x["s"].alias("s"), F.array_position(rank, x["kind"]).alias("k"), x["e"].alias("e"), x["kind"].alias("kind"))))
     return F.concat_ws(",", F.transform(keyed, lambda x: F.concat_ws(
         ":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))))
+
+
+def bounded_sample(docs: DataFrame, bound: int) -> DataFrame:
+    """At most about ``bound`` rows of ``docs``, chosen by a hash of doc_id; the rows keep their columns.
+
+    The share follows the row count, so no task or driver sees more than its part
+    of the sample.
+    """
+    n = docs.count()
+    share = min(1 << 30, -(-(bound << 30) // max(n, 1)))
+    h = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30))
+    return docs.filter(h < share)

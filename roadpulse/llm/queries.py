@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from . import anchors, jaccard_join, secrets, sketch, suffix, url_filter
+from . import anchors, decontaminate, jaccard_join, langid, mixing, pii, secrets, sketch, suffix, url_filter
 from .common import documents
 
 QUERIES: dict = {}
@@ -64,3 +64,33 @@ def op2_suffix_dedup(spark, sf_dir):
 @_query
 def op1_jaccard_join(spark, sf_dir):
     return jaccard_join.similar_components(documents(spark, sf_dir)).drop("sig")
+
+
+@_query
+def op5_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    out = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return langid.annotate(out, langid.train(docs)).drop("text")
+
+
+@_query
+def op6_personal_data(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.train(pii.labelled_table(docs)))
+
+
+@_query
+def op9_decontaminate(spark, sf_dir):
+    """Per document: the benchmark items that leak into it."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate.leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.size("leaks").cast("long").alias("n_items"),
+                        F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"),
+                        F.transform("leaks", lambda x: x["edits"]).alias("edits"))
+
+
+@_query
+def op7_mixing(spark, sf_dir):
+    """Per document: its cell, calibrated probability and whether it is sampled."""
+    return mixing.assign(documents(spark, sf_dir)).select(
+        "doc_id", "m_source", "m_lang", "m_topic", "m_tokens", "weight", "probability", "sampled")

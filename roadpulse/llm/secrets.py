@@ -7,7 +7,7 @@ of the same documents), give each further token a log-likelihood ratio; tokens
 whose ratio exceeds a total and a per-character bound become ``markov`` spans.
 Base spans always stay.
 
-Training reads at most ``TRAIN_DOCS`` documents, chosen by hash of doc_id; the
+Training reads about ``TRAIN_DOCS`` documents at most, chosen by hash of doc_id; the
 model is a table of ``len(ALPHABET)+1`` squared log ratios, so its size is fixed
 and it travels as a literal.  Scanning is one projection: no shuffle, no Python.
 
@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, match_spans, span_text
+from .common import SPACES, bounded_sample, match_spans, span_text
 
 # FIXED VALUES: the base patterns and their limits
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -50,9 +50,8 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def labelled_samples(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> DataFrame:
     """(token, secret): values found by the base patterns, and ordinary long words, of a bounded sample."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    sample = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select(text.alias("t"))
+    sample = bounded_sample(docs.select("doc_id", "text"), n_docs).select(text.alias("t"))
     value = F.transform(F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2)), lambda v: v)
     secret = F.concat(F.filter(value, lambda v: F.char_length(v) >= 16),
                       F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)),
@@ -126,3 +125,33 @@ def report(spans: DataFrame) -> DataFrame:
         F.sha2(span_text(base, KINDS), 256).alias("base_sha256"),
         span_text(F.concat(base, F.col("markov")), KINDS).alias("spans"),
         F.size("markov").cast("long").alias("n_markov"))
+
+
+MASK = "<SECRET>"
+
+
+def mask(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
+    """``docs`` with every span, base or added, replaced by ``MASK``; n_chars follows where it exists."""
+    model = train(labelled_samples(docs)) if model is None else model
+    t = F.coalesce(F.col("text"), F.lit(""))
+    base = base_spans(t)
+    d = docs.select("*", *[c.alias(f"__{k}") for k, c in base.items()])
+    d = d.withColumn("__markov", markov_spans(t, model, [F.col(f"__{k}") for k in base]))
+    spans = F.array_sort(F.transform(F.concat(*[F.col(f"__{k}") for k in KINDS]), lambda x: F.struct(x["s"], x["e"])))
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+
+    def cut(acc, x):
+        piece = F.concat(acc["out"], F.substr("text", acc["pos"] + 1, x["s"] - acc["pos"]), F.lit(MASK))
+        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"),
+                        F.when(x["s"] >= acc["pos"], piece).otherwise(acc["out"]).alias("out"))
+
+    masked = F.aggregate(F.col("__spans"), start, cut, lambda acc: F.concat(
+        acc["out"], F.substr("text", acc["pos"] + 1, F.char_length("text"))))
+    d = d.withColumn("__spans", spans)
+    hit = F.size("__spans") > 0
+    new = {"text": F.when(hit, masked).otherwise(F.col("text"))}
+    d = d.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns], hit.alias("__hit"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        d = d.withColumn("n_chars", F.when(F.col("__hit"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return d.select(docs.columns)

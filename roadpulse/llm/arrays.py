@@ -138,6 +138,9 @@ def group_min(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return k[at], np.minimum.reduceat(values[order], at)
 
 
-def by_bucket(sorted_buckets: np.ndarray, n: int) -> np.ndarray:
-    """Bounds of buckets 0..n-1 in an ascending bucket array."""
-    return np.searchsorted(sorted_buckets, np.arange(n + 1))
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in the ascending array ``known``."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    at = np.searchsorted(known, keys)
+    return known[np.minimum(at, len(known) - 1)] == keys

@@ -33,7 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .arrays import BYTE, chunks, column, group_min, long_column, mix, powers, text_bytes
+from .arrays import BYTE, among, chunks, column, group_min, long_column, mix, powers, text_bytes
 from .common import shuffle_partitions
 from .packed import answer, arrays_of, ask, count_answer, count_request, counts_of, dealt, key_codes, meet, message, part_of
 
@@ -170,10 +170,22 @@ def _gather(data: np.ndarray, s: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _chunked(table: pa.Table):
+    """Chunks of a part: (doc ids, bytes, offsets, minimisers, starts, ends of segments)."""
     ids = long_column(table, "doc_id", NULL_ID)
     data, offs = text_bytes(table.column("text"))
     for i, j in chunks(offs, most=1 << 30):
-        yield ids[i:j], data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
+        d, o = data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
+        yield (ids[i:j], d, o, *segments(d, o))
+
+
+def _distinct(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys ascending, least value of each, index of an occurrence of each)."""
+    if not len(keys):
+        return keys, values, np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    k = keys[order]
+    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return k[at], np.minimum.reduceat(values[order], at), order[at]
 
 
 def least_owner(seg: np.ndarray, length: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -202,38 +214,33 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     nb = shuffle_partitions(docs.sparkSession)
 
-    def codes_of(table):
-        return np.concatenate([np.zeros(0, np.uint64)] + [
-            key_codes(segments(d, o)[0], nb) for _, d, o in _chunked(table)])
-
     def ask_minimisers(table):
-        return count_request(part_of(table), codes_of(table), nb)
+        codes = [np.zeros(0, np.uint64)] + [key_codes(h, nb) for *_, h, _, _ in _chunked(table)]
+        return count_request(part_of(table), np.concatenate(codes), nb)
 
     def ask_segments(table, answers):
         """Distinct segments of minimisers that occur again: minimiser, bytes, least doc_id."""
         if not len(table):
             return message(0, [])
-        codes, counts = counts_of(answers, codes_of(table), nb)
+        held = [(*x, key_codes(x[3], nb)) for x in _chunked(table)]
+        codes, counts = counts_of(answers, np.concatenate([x[-1] for x in held]), nb)
         again = codes[counts > 1]
         seen: list[tuple] = []
-        for ids, d, o in _chunked(table):
-            h, s, e = segments(d, o)
-            sel = np.isin(key_codes(h, nb), again)
+        for ids, d, o, h, s, e, code in held:
+            sel = among(code, again)
             h, s, e = h[sel], s[sel], e[sel]
             if not len(h):
                 continue
             owner = ids[np.searchsorted(o, s, "right") - 1]
-            c = _content(d, s, e)
-            u, low = group_min(c, owner)
-            _, at = np.unique(c, return_index=True)
+            u, low, at = _distinct(_content(d, s, e), owner)
             seen.append((u, low, h[at], (e - s)[at], _gather(d, s[at], (e - s)[at])))
+        held.clear()
         if not seen:
             return message(part_of(table), [])
         c, low, h, n = (np.concatenate([x[i] for x in seen]) for i in range(4))
         data = np.concatenate([x[4] for x in seen])
         begin = np.r_[0, np.cumsum(n)[:-1]]
-        u, low = group_min(c, low)
-        _, at = np.unique(c, return_index=True)
+        u, low, at = _distinct(c, low)
         h, n, begin = h[at], n[at], begin[at]
         b = (h % np.uint64(nb)).astype(np.int64)
         order = np.argsort(b, kind="stable")
@@ -254,8 +261,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
         c, h, low, n = (np.concatenate([x[i] for x in heads]) for i in range(4))
         low, n = low.view(np.int64), n.astype(np.int64)
         begin = np.r_[0, np.cumsum(n)[:-1]]
-        u, least = group_min(c, low)
-        _, at = np.unique(c, return_index=True)
+        u, least, at = _distinct(c, low)
         order = np.argsort(h[at], kind="stable")             # whole minimisers together
         u, least, at = u[order], least[order], at[order]
         hs, ns = h[at], n[at]
@@ -291,17 +297,13 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
         order = np.argsort(told, kind="stable")
         told_at = np.r_[0, np.cumsum(told_n)][:-1][order]
         told = told[order]
-        cs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for ids, d, o in _chunked(table):
-            h, s, e = segments(d, o)
-            cs.append(_content(d, s, e))
-            owners.append(ids[np.searchsorted(o, s, "right") - 1])
-        known, least = group_min(np.concatenate(cs), np.concatenate(owners))
+        held = []
+        for ids, d, o, _, s, e in _chunked(table):
+            held.append((ids, d, o, s, e, _content(d, s, e), ids[np.searchsorted(o, s, "right") - 1]))
+        known, least = group_min(np.concatenate([np.zeros(0, np.uint64)] + [x[5] for x in held]),
+                                 np.concatenate([np.zeros(0, np.int64)] + [x[6] for x in held]))
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for ids, d, o in _chunked(table):
-            h, s, e = segments(d, o)
-            c = _content(d, s, e)
-            owner = ids[np.searchsorted(o, s, "right") - 1]
+        for ids, d, o, s, e, c, owner in held:
             flag = np.zeros(len(d) + 1, np.int32)            # starts of strings to remove
             # strings of a segment seen in this part with a smaller document
             gone = least[np.searchsorted(known, c)] < owner

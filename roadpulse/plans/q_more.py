@@ -174,7 +174,7 @@ def stream_divert(spark, sf):
         r = D.recommend(batch.withColumn("severity_class", F.col("severity")), prob_col="closure_prob")
         t = r.filter(F.col("diversion_recommended") & F.col("latitude").isNotNull()).select(
             "id", "latitude", "longitude")
-        DV.diversion_route(DV.local_subgraph(t, roads)).drop("hull", "path") \
+        DV.plan_routes(t, roads).drop("path") \
             .write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
     L.run_foreach(s, folder, "divert", handle)
     return spark.read.parquet(out)

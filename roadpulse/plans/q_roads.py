@@ -9,6 +9,7 @@ from ..operators import analytics as A
 from ..operators import dbscan as DB
 from ..operators import features as FE
 from ..operators import roads as R
+from ..functions.geo import haversine_km, haversine_sql
 from ..sources import fixtures
 from ..session import cut_lineage
 from . import base
@@ -220,7 +221,7 @@ def _subgraph(spark, sf):
     return cut_lineage(DV.local_subgraph(_diversion_targets(spark, sf), network(spark, sf)))
 
 
-def _subgraph_sql() -> str:
+def _subgraph_sql(query: str | None = None, more: list[str] = ()) -> str:
     from .oracle import SCORE, recommend_sql
     tg = ("tg AS (SELECT id, latitude AS ilat, longitude AS ilon FROM (" + recommend_sql(
         "(SELECT f.*, s.closure_prob FROM feat f LEFT JOIN score s USING (id) WHERE f.status = 'active')",
@@ -235,6 +236,11 @@ def _subgraph_sql() -> str:
              "SELECT way_id, lat_e5 / 1e5 AS lat, lon_e5 / 1e5 AS lon, lead(lat_e5) OVER w / 1e5 AS lat2, "
              "lead(lon_e5) OVER w / 1e5 AS lon2 FROM rp WINDOW w AS (PARTITION BY way_id ORDER BY seq)) t "
              "WHERE lat2 IS NOT NULL) e WHERE m > 0)")
+    if query:
+        ed = edges.replace("we AS (SELECT way_id, m FROM", "ed AS (SELECT way_id, lat_i AS lat, lon_i AS lon, lat2_i AS lat2, lon2_i AS lon2, m FROM") \
+            .replace("SELECT way_id, 1000.0", "SELECT way_id, lat_i, lon_i, lat2_i, lon2_i, 1000.0") \
+            .replace("lat_e5 / 1e5 AS lat,", "lat_e5 AS lat_i, lon_e5 AS lon_i, lead(lat_e5) OVER w AS lat2_i, lead(lon_e5) OVER w AS lon2_i, lat_e5 / 1e5 AS lat,")
+        return with_base(query, extra=NET + [SCORE, tg, box, ed, *more])
     return with_base("SELECT id, CAST(count(DISTINCT bxw.way_id) AS BIGINT) AS ways, CAST(count(*) AS BIGINT) AS edges, "
                      "round(sum(m), 1) AS metres FROM bxw JOIN we USING (way_id) GROUP BY id",
                      extra=NET + [SCORE, tg, box, edges])
@@ -247,28 +253,80 @@ def local_subgraph(spark, sf):
                                  F.round(F.sum("m"), 1).alias("metres"))
 
 
+def _routes(spark, sf):
+    """Routes of all diversion targets, planned once per session and input."""
+    from ..operators import diversion as DV
+    return base._stage(spark, "routes", sf, lambda: DV.plan_routes(_diversion_targets(spark, sf), network(spark, sf)))
+
+
 @register("diversion_route")
 def diversion_route(spark, sf):
-    from ..operators import diversion as DV
-    return DV.diversion_route(_subgraph(spark, sf)).drop("hull")
+    return _routes(spark, sf)
+
+
+_SITE = [
+    "arc AS (SELECT id, u, v, min(m) AS m FROM (SELECT bxw.id, CAST(lat AS BIGINT) * 100000000 + lon AS u, "
+    "CAST(lat2 AS BIGINT) * 100000000 + lon2 AS v, m FROM bxw JOIN ed USING (way_id) UNION ALL SELECT bxw.id, "
+    "CAST(lat2 AS BIGINT) * 100000000 + lon2 AS u, CAST(lat AS BIGINT) * 100000000 + lon AS v, m FROM bxw JOIN ed USING (way_id)) t "
+    "GROUP BY ALL)",
+    "nd AS (SELECT DISTINCT arc.id, arc.u AS node, tg.ilat, tg.ilon, round(arc.u / 1e8) / 1e5 AS la, "
+    "(arc.u - CAST(round(arc.u / 1e8) AS BIGINT) * 100000000) / 1e5 AS lo FROM arc JOIN tg USING (id))",
+    "nw AS (SELECT *, 1000.0 * " + haversine_sql("ilat", "ilon", "la", "lo") + " AS away FROM nd)",
+    "fs AS (SELECT id, arg_min(node, (away, node)) AS nearest, min(away) AS snap, count(*) AS n_nodes FROM nw GROUP BY id)",
+    "sn AS (SELECT nw.*, nearest, snap, n_nodes, away <= 80.0 OR node = nearest AS shut FROM nw JOIN fs USING (id))",
+    "xt AS (SELECT DISTINCT o.id, o.node, o.la, o.lo, o.ilat, o.ilon FROM arc JOIN sn c ON c.id = arc.id AND c.node = arc.u AND c.shut "
+    "JOIN sn o ON o.id = arc.id AND o.node = arc.v AND NOT o.shut)",
+    "xb AS (SELECT id, node, la, lo, (degrees(atan2(sin(radians(lo - ilon)) * cos(radians(la)), cos(radians(ilat)) * sin(radians(la)) "
+    "- sin(radians(ilat)) * cos(radians(la)) * cos(radians(lo - ilon)))) + 360.0) % 360.0 AS bear FROM xt)",
+    "pr AS (SELECT id, arg_min({'a': a, 'b': b, 'ala': ala, 'alo': alo, 'bla': bla, 'blo': blo}, (-gap, a, b)) AS p FROM (SELECT x.id, x.node AS a, y.node AS b, "
+    "x.la AS ala, x.lo AS alo, y.la AS bla, y.lo AS blo, round(CASE WHEN abs(x.bear - y.bear) % 360.0 > 180.0 THEN 360.0 - "
+    "abs(x.bear - y.bear) % 360.0 ELSE abs(x.bear - y.bear) % 360.0 END, 9) AS gap FROM xb x JOIN xb y ON x.id = y.id AND x.node < y.node) t GROUP BY id)",
+]
 
 
-@register("closure_zone")
-def closure_zone(spark, sf):
-    from ..operators import diversion as DV
-    r = DV.diversion_route(_subgraph(spark, sf))
-    return r.select("id", "blocked_lat", "blocked_lon", "snap_distance_m", "feasible", "reason")
+def _site_sql(query: str) -> str:
+    return _subgraph_sql(query, _SITE)
 
 
-@register("diversion_exits")
+@register("closure_zone", _site_sql(
+    "SELECT tg.id, CASE WHEN n_nodes >= 3 THEN round(round(nearest / 1e8) / 1e5, 5) END AS blocked_lat, CASE WHEN n_nodes >= 3 THEN "
+    "round((nearest - CAST(round(nearest / 1e8) AS BIGINT) * 100000000) / 1e5, 5) END AS blocked_lon, "
+    "CAST(coalesce(c.n_shut, 0) AS BIGINT) AS n_shut, CAST(coalesce(x.n_exits, 0) AS BIGINT) AS n_exits FROM tg LEFT JOIN fs USING (id) "
+    "LEFT JOIN (SELECT id, count(*) AS n_shut FROM sn WHERE shut GROUP BY 1) c USING (id) "
+    "LEFT JOIN (SELECT id, count(*) AS n_exits FROM xb GROUP BY 1) x USING (id)"))
+def closure_zone(spark, sf):
+    """Blocked point, shut nodes and exits of every diversion target."""
+    from ..operators import diversion as DV
+    t = _diversion_targets(spark, sf)
+    sub = DV.local_subgraph(t, network(spark, sf))
+    arc = DV.arcs(sub)
+    nodes = DV.site_nodes(sub, arc)
+    site = nodes.groupBy("id").agg(F.first("nearest").alias("nearest"), F.first("n_nodes").alias("n_nodes"),
+                                   F.count_if("shut").alias("n_shut"))
+    out = DV.exits(arc, nodes).groupBy("id").agg(F.count(F.lit(1)).alias("n_exits"))
+    r = t.select("id").join(site, "id", "left").join(out, "id", "left")
+    near = lambda f: F.when(F.col("n_nodes") >= 3, F.round(f(F.col("nearest")), 5))
+    return r.select("id", near(DV.node_lat).alias("blocked_lat"), near(DV.node_lon).alias("blocked_lon"),
+                    *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_shut", "n_exits")])
+
+
+@register("diversion_exits", _site_sql(
+    "SELECT id, p.ala AS entry_lat, p.alo AS entry_lon, p.bla AS exit_lat, p.blo AS exit_lon, round(1000.0 * "
+    + haversine_sql("p.ala", "p.alo", "p.bla", "p.blo") + ", 1) AS direct_m FROM pr JOIN fs USING (id) WHERE n_nodes >= 3"))
 def diversion_exits(spark, sf):
+    """The pair of exits most opposite across the closure, and the straight distance between them."""
     from ..operators import diversion as DV
-    r = DV.diversion_route(_subgraph(spark, sf)).filter("feasible")
-    return r.select("id", "entry_lat", "entry_lon", "exit_lat", "exit_lon", "direct_m")
+    sub = DV.local_subgraph(_diversion_targets(spark, sf), network(spark, sf))
+    arc = DV.arcs(sub)
+    nodes = DV.site_nodes(sub, arc)
+    p = DV.exit_pair(DV.exits(arc, nodes)).filter("entry is not null").join(
+        nodes.filter("n_nodes >= 3").select("id").distinct(), "id")
+    at = {f"{e}_{n}": f(F.col(e)) for e in ("entry", "exit") for n, f in (("lat", DV.node_lat), ("lon", DV.node_lon))}
+    p = p.select("id", *[c.alias(k) for k, c in at.items()])
+    return p.withColumn("direct_m", F.round(1000.0 * haversine_km(*[F.col(k) for k in at]), 1))
 
 
 @register("diversion_hull")
 def diversion_hull(spark, sf):
     from ..operators import diversion as DV
-    r = DV.diversion_route(_subgraph(spark, sf)).filter("feasible")
-    return r.select("id", F.size("hull").alias("hull_vertices"), "hull")
+    return DV.hulls(_routes(spark, sf), _diversion_targets(spark, sf))

@@ -128,7 +128,6 @@ CAUSE_DISPLAY = {
     "congestion": "Congestion", "road_conditions": "Road Conditions",
     "flood": "Flood", "other": "Other",
 }
-EVENT_DRIVEN_CAUSES = ["procession", "vip_movement", "protest", "public_event"]
 
 # --- FIXED VALUES: planned-event retrieval ---------------------------------
 PLANNED_CAUSES = ["procession", "vip_movement", "protest", "public_event"]
@@ -179,7 +178,11 @@ ROAD_NEUTRAL = 0.5
 
 # --- FIXED VALUES: roster ---------------------------------------------------
 DEFAULT_OFFICERS_PER_STATION = 6
-UNMET_PENALTY = {"High": 9000, "Medium": 3000, "Low": 1000}
+
+# --- FIXED VALUES: why a detour cannot be planned ----------------------------
+NO_ROADS = "no mapped roads near the incident"
+NO_THROUGH_ROUTE = "no through-route around the closure (dead-end or single approach)"
+NO_ALTERNATE = "no alternate route within the mapped area"
 
 
 def map_lit(d: dict) -> Column:

@@ -78,11 +78,43 @@ def test_alert_text(spark):
         assert s in t
 
 
-def test_diversion_invariants(spark):
+def test_diversion_against_plain_search(spark):
+    """Distances equal a plain shortest-path search over the same open edges; incidents without roads say so."""
+    import heapq
+    from roadpulse import vocab
     from roadpulse.operators import diversion as DV
     from roadpulse.plans.q_roads import network
-    inc = spark.createDataFrame([(1, 12.8505, 77.455), (2, 0.0, 0.0)], "id long, latitude double, longitude double")
-    sub = DV.local_subgraph(inc, network(spark, SF0001))
-    r = {x.id: x for x in DV.diversion_route(sub).collect()}
-    assert r[1].feasible and r[1].detour_m >= r[1].direct_m and r[1].n_segments >= 1
-    assert 2 not in r  # no road inside the box: no subgraph rows at all
+    inc = spark.createDataFrame([(1, 12.8505, 77.455), (2, 0.0, 0.0), (3, 12.9102, 77.5203)],
+                                "id long, latitude double, longitude double")
+    net = network(spark, SF0001)
+    routes = DV.plan_routes(inc, net).cache()
+    got = {x.id: x for x in routes.collect()}
+    assert len(got) == 3 and not got[2].feasible and got[2].reason == vocab.NO_ROADS
+    sub = DV.local_subgraph(inc, net)
+    arc = DV.arcs(sub)
+    nodes = DV.site_nodes(sub, arc)
+    pairs = {r.id: (r.entry, r.exit) for r in DV.exit_pair(DV.exits(arc, nodes)).collect()}
+    shut = {(r.id, r.node) for r in nodes.filter("shut").collect()}
+    edges = {}
+    for r in arc.collect():
+        if (r.id, r.u) not in shut and (r.id, r.v) not in shut:
+            edges.setdefault((r.id, r.u), []).append((r.v, r.m))
+    for i in (1, 3):
+        entry, goal = pairs[i]
+        best, heap = {}, [(0.0, entry)]
+        while heap:
+            d, n = heapq.heappop(heap)
+            if n not in best:
+                best[n] = d
+                for v, m in edges.get((i, n), []):
+                    heapq.heappush(heap, (d + m, v))
+        r = got[i]
+        assert r.feasible == (goal in best)
+        if r.feasible:
+            assert abs(r.detour_m - best[goal]) < 0.1 and r.detour_m >= r.direct_m and len(r.path) == r.n_segments + 1
+            assert r.path[0] == [r.entry_lat, r.entry_lon] and r.path[-1] == [r.exit_lat, r.exit_lon]
+    hull = {r.id: r.hull for r in DV.hulls(routes, inc).collect()}
+    for i, h in hull.items():
+        pts = [tuple(p) for p in got[i].path] + [(r.latitude, r.longitude) for r in inc.collect() if r.id == i]
+        for a, b in zip(h, h[1:] + h[:1]):
+            assert all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= -1e-9 for x, y in pts)

@@ -1,130 +1,54 @@
-"""Officer allocation: min-cost flow per time window, solved for all windows in parallel.
+"""Officer allocation per time window, in closed form.
 
-Each window's network (stations -> events, plus an 'unmet' arc per event priced
-by severity) is small, so it is solved inside one grouped-map task with a
-successive-shortest-path solver on integer costs.  Candidate station x event
-pairs come from a broadcast join (stations are a closed, small set).
+Officers go to a window's events in order of severity, then id, until the
+stations' capacity is used: who is short is what the penalties of unmet demand
+decide.  Events and stations both lie on one line of officers (running sums), so
+the split by station is an overlap of intervals; it is not the one with the
+least travel.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.geo import haversine_km
 
-TRAVEL_SCALE = 10  # km -> integer cost
+BEFORE = Window.unboundedPreceding, -1
 
-ALLOC_SCHEMA = "window timestamp_ntz, id long, station string, officers long, km double"
 
-
-def _min_cost_flow(cap: dict, demand: dict, cost: dict, penalty: dict) -> tuple[dict, dict]:
-    """Exact min-cost flow (successive shortest paths, Bellman-Ford on the residual graph).
-
-    Supplies: station capacities; demands: event officers; every event can also
-    be served by a virtual 'unmet' source at its severity penalty.
-    """
-    S, U, T = "__src", "__unmet", "__sink"
-    nodes = [S, U, T] + [("s", s) for s in cap] + [("e", e) for e in demand]
-    total = sum(demand.values())
-    graph: dict = {n: [] for n in nodes}
-
-    def add(u, v, c, w):
-        graph[u].append([v, c, w, len(graph[v])])
-        graph[v].append([u, 0, -w, len(graph[u]) - 1])
-
-    add(S, U, total, 0)
-    for s, c in cap.items():
-        add(S, ("s", s), int(c), 0)
-    for e, d in demand.items():
-        add(U, ("e", e), int(d), int(penalty[e]))
-        add(("e", e), T, int(d), 0)
-        for s in cap:
-            add(("s", s), ("e", e), int(d), int(cost[(s, e)]))
-    flow = 0
-    while flow < total:
-        dist = {n: float("inf") for n in nodes}
-        prev = {}
-        dist[S] = 0
-        changed = True
-        while changed:
-            changed = False
-            for u in nodes:
-                if dist[u] == float("inf"):
-                    continue
-                for i, (v, c, w, _) in enumerate(graph[u]):
-                    if c > 0 and dist[u] + w < dist[v]:
-                        dist[v] = dist[u] + w
-                        prev[v] = (u, i)
-                        changed = True
-        if dist[T] == float("inf"):
-            break
-        f, v = total - flow, T
-        while v != S:
-            u, i = prev[v]
-            f = min(f, graph[u][i][1])
-            v = u
-        v = T
-        while v != S:
-            u, i = prev[v]
-            graph[u][i][1] -= f
-            graph[v][graph[u][i][3]][1] += f
-            v = u
-        flow += f
-    alloc, unmet = {}, {}
-    for s in cap:
-        for v, c, w, r in graph[("s", s)]:
-            if isinstance(v, tuple) and v[0] == "e":
-                used = graph[v][r][1]
-                if used > 0:
-                    alloc[(s, v[1])] = used
-    for v, c, w, r in graph[U]:
-        if isinstance(v, tuple) and v[0] == "e":
-            unmet[v[1]] = graph[v][r][1]
-    return alloc, unmet
-
-
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    window = pdf["window"].iloc[0]
-    ev = pdf.drop_duplicates("id")
-    demand = dict(zip(ev["id"], ev["demand"].astype(int)))
-    penalty = {i: vocab.UNMET_PENALTY.get(s, vocab.UNMET_PENALTY["Medium"]) for i, s in zip(ev["id"], ev["severity_class"])}
-    st = pdf.dropna(subset=["station"])
-    st = st[st["capacity"] > 0]
-    cap = dict(zip(st.drop_duplicates("station")["station"], st.drop_duplicates("station")["capacity"].astype(int)))
-    cost = {(s, i): int(round(k * TRAVEL_SCALE)) for s, i, k in zip(st["station"], st["id"], st["km"])}
-    km = {(s, i): k for s, i, k in zip(st["station"], st["id"], st["km"])}
-    rows = []
-    if sum(demand.values()) == 0 or not cap:
-        for i, d in demand.items():
-            rows.append((window, i, None, int(d), 0.0))
-        return pd.DataFrame(rows, columns=["window", "id", "station", "officers", "km"])
-    alloc, unmet = _min_cost_flow(cap, demand, cost, penalty)
-    for (s, i), f in alloc.items():
-        rows.append((window, i, s, int(f), float(km[(s, i)])))
-    for i, u in unmet.items():
-        if u > 0:
-            rows.append((window, i, None, int(u), 0.0))
-    return pd.DataFrame(rows, columns=["window", "id", "station", "officers", "km"])
+def event_grants(scen: DataFrame, capacity_total: DataFrame) -> DataFrame:
+    """``scen`` plus lo (officers asked for before it), sent and short; ``capacity_total`` is one row (capacity)."""
+    urgency = vocab.map_lit({"High": 0, "Medium": 1, "Low": 2})[F.col("severity_class")]
+    w = Window.partitionBy("window").orderBy(urgency, "id").rowsBetween(*BEFORE)
+    left = F.greatest(F.coalesce(F.col("capacity"), F.lit(0)) - F.col("lo"), F.lit(0))
+    return (scen.withColumn("lo", F.coalesce(F.sum("demand").over(w), F.lit(0)))
+            .crossJoin(F.broadcast(capacity_total))
+            .withColumn("sent", F.least(F.col("demand").cast("bigint"), left.cast("bigint")))
+            .withColumn("short", F.col("demand") - F.col("sent")).drop("capacity"))
 
 
 def roster_allocate(scen: DataFrame, stations: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Allocation rows ``(window, id, station, officers, km)``; ``station`` NULL = unmet demand."""
+    """Rows (window, id, station, officers, km); ``station`` null: unmet demand."""
     st = stations.join(capacity, "station").filter(F.col("capacity") > 0)
-    pairs = (scen.select("window", "id", "latitude", "longitude", "severity_class", "demand")
-                 .join(F.broadcast(st), how="left")
-                 .withColumn("km", haversine_km(F.col("slat"), F.col("slon"), F.col("latitude"), F.col("longitude"))))
-    return (pairs.select("window", "id", "severity_class", "demand", "station", "capacity", "km")
-                 .groupBy("window").applyInPandas(_solve, ALLOC_SCHEMA))
+    # one row per station of a closed vocabulary
+    st = st.withColumn("hi", F.sum("capacity").over(Window.orderBy("station"))).withColumn("low", F.col("hi") - F.col("capacity"))
+    e = event_grants(scen, st.agg(F.sum("capacity").alias("capacity")))
+    share = F.least(F.col("lo") + F.col("demand"), F.col("hi")) - F.greatest("lo", "low")
+    km = haversine_km(F.col("slat"), F.col("slon"), F.col("latitude"), F.col("longitude"))
+    given = (e.join(F.broadcast(st), (F.col("lo") < F.col("hi")) & (F.col("low") < F.col("lo") + F.col("demand")))
+             .select("window", "id", "station", share.cast("int").alias("officers"), F.round(km, 6).alias("km")))
+    unmet = e.filter("short > 0").select("window", "id", F.lit(None).cast("string").alias("station"),
+                                         F.col("short").cast("int").alias("officers"), F.lit(0.0).alias("km"))
+    return given.union(unmet)
 
 
 def roster_event_table(scen: DataFrame, alloc: DataFrame) -> DataFrame:
-    """Per event: sent, short, ``station x n`` list sorted by station; ordered by short, demand desc."""
+    """Per event: sent, short, travel and the ``station×n`` list by station."""
     sent = alloc.filter(F.col("station").isNotNull())
     per = sent.groupBy("window", "id").agg(
-        F.sum("officers").alias("sent"), F.sum(F.col("officers") * F.col("km")).alias("travel_km"),
+        F.sum("officers").alias("sent"), F.round(F.sum(F.col("officers") * F.col("km")), 3).alias("travel_km"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("station", "officers"))),
                                  lambda x: F.concat(x["station"], F.lit("×"), x["officers"].cast("string"))), ", ")
         .alias("from_stations"))
@@ -137,7 +61,7 @@ def roster_kpis(table: DataFrame) -> DataFrame:
     status = F.when(F.col("short") == 0, "fulfilled").when(F.col("sent") > 0, "partial").otherwise("unmet")
     return table.groupBy("window").agg(
         F.count_if(F.col("short") > 0).cast("bigint").alias("events_short"),
-        (100.0 * F.sum("sent") / F.sum("demand")).alias("pct_demand_met"),
+        F.round(100.0 * F.sum("sent") / F.sum("demand"), 6).alias("pct_demand_met"),
         F.sum("short").cast("bigint").alias("shortage"),
         F.count_if(status == "fulfilled").cast("bigint").alias("fulfilled"),
         F.count_if(status == "partial").cast("bigint").alias("partial"),

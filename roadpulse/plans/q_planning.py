@@ -242,24 +242,48 @@ def _alloc(spark, sf):
     return scen, RO.roster_allocate(scen, _stations(spark, sf), _capacity(spark, sf))
 
 
-@register("roster_allocate")
+_ALLOC = _ST + _SCEN + [
+    "stc AS (SELECT station, slat, slon, capacity, sum(capacity) OVER (ORDER BY station) AS hi, "
+    "sum(capacity) OVER (ORDER BY station) - capacity AS low FROM st JOIN cap USING (station) WHERE capacity > 0)",
+    "eg AS (SELECT *, coalesce(sum(demand) OVER (PARTITION BY \"window\" ORDER BY CASE severity_class WHEN 'High' THEN 0 "
+    "WHEN 'Medium' THEN 1 ELSE 2 END, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM scn)",
+    "gr AS (SELECT *, CAST(least(demand, greatest((SELECT sum(capacity) FROM stc) - lo, 0)) AS BIGINT) AS sent FROM eg)",
+    "al AS (SELECT \"window\", id, station, CAST(least(lo + demand, hi) - greatest(lo, low) AS INTEGER) AS officers, round("
+    + haversine_sql("slat", "slon", "latitude", "longitude") + ", 6) AS km FROM gr JOIN stc ON lo < hi AND low < lo + demand)",
+    "tb AS (SELECT g.\"window\", g.id, severity_class, demand, sent, CAST(demand - sent AS BIGINT) AS short, "
+    "coalesce(x.travel_km, 0.0) AS travel_km, x.from_stations FROM gr g LEFT JOIN (SELECT \"window\", id, "
+    "round(sum(officers * km), 3) AS travel_km, string_agg(station || '×' || officers, ', ' ORDER BY station) AS from_stations "
+    "FROM al GROUP BY 1, 2) x ON g.\"window\" = x.\"window\" AND g.id = x.id)",
+]
+
+
+@register("roster_allocate", with_base(
+    "SELECT * FROM al UNION ALL SELECT \"window\", id, NULL AS station, CAST(short AS INTEGER) AS officers, "
+    "CAST(0.0 AS DOUBLE) AS km FROM tb WHERE short > 0", extra=_ALLOC))
 def roster_allocate(spark, sf):
     return _alloc(spark, sf)[1]
 
 
-@register("roster_table")
+@register("roster_table", with_base("SELECT * FROM tb", extra=_ALLOC))
 def roster_table(spark, sf):
     scen, alloc = _alloc(spark, sf)
     return RO.roster_event_table(scen, alloc)
 
 
-@register("roster_kpis")
+@register("roster_kpis", with_base(
+    "SELECT \"window\", CAST(count(*) FILTER (WHERE short > 0) AS BIGINT) AS events_short, round(100.0 * sum(sent) / sum(demand), 6) "
+    "AS pct_demand_met, CAST(sum(short) AS BIGINT) AS shortage, CAST(count(*) FILTER (WHERE short = 0) AS BIGINT) AS fulfilled, "
+    "CAST(count(*) FILTER (WHERE short > 0 AND sent > 0) AS BIGINT) AS partial, CAST(count(*) FILTER (WHERE short > 0 AND sent = 0) "
+    "AS BIGINT) AS unmet FROM tb GROUP BY 1", extra=_ALLOC))
 def roster_kpis(spark, sf):
     scen, alloc = _alloc(spark, sf)
     return RO.roster_kpis(RO.roster_event_table(scen, alloc))
 
 
-@register("severity_alloc_unpivot")
+@register("severity_alloc_unpivot", with_base(
+    "SELECT \"window\", severity_class, kind, CAST(officers AS BIGINT) AS officers FROM (SELECT \"window\", severity_class, 'sent' AS kind, "
+    "sum(sent) AS officers FROM tb GROUP BY 1, 2 UNION ALL SELECT \"window\", severity_class, 'short' AS kind, sum(short) AS officers "
+    "FROM tb GROUP BY 1, 2) t", extra=_ALLOC))
 def severity_alloc_unpivot(spark, sf):
     scen, alloc = _alloc(spark, sf)
     return RO.severity_alloc_unpivot(RO.roster_event_table(scen, alloc))

@@ -28,10 +28,5 @@ def register(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     # importing registers
-    from . import q_clean, q_features, q_analytics  # noqa: F401
-    for mod in ("q_decide", "q_spatial", "q_roads", "q_models", "q_planning", "q_stream", "q_feedback", "q_io", "q_more"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from . import (q_analytics, q_clean, q_decide, q_features, q_feedback, q_io, q_models, q_more,  # noqa: F401
+                   q_planning, q_roads, q_spatial, q_stream)

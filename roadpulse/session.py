@@ -7,7 +7,9 @@ Library functions never create sessions; they take the caller's session.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +48,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
+    """The shared folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) is a scratch folder created.
+    Only a ``local`` session without the setting gets a scratch folder (driver and
+    executors are one process there); a cluster without it is an error.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -56,13 +59,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = sc._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
-        d = tempfile.mkdtemp(prefix="roadpulse-ckpt-", dir="/tmp")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="roadpulse-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
-    sc.setCheckpointDir(d)
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, cluster_by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    The files survive a lost executor, and readers prune columns and push filters
+    into the scan.  ``cluster_by`` keeps rows of near values in the same files, so
+    that their row-group statistics skip what a filter on it excludes.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    out = df if cluster_by is None else df.repartitionByRange(cluster_by).sortWithinPartitions(cluster_by)
+    out.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,8 +14,8 @@ Plan
    node is the cell (key = smallest core row key in it).  Edges join core
    points of neighbouring cells (exact haversine) and are de-duplicated per
    cell pair.
-4. **Connected components** by min-label propagation with pointer jumping;
-   each round is cut with a reliable checkpoint (shared checkpoint folder).
+4. **Connected components** by star contraction (``functions.graph``); each
+   round is a table in the shared folder, and the rounds end at convergence.
 5. **Labels.**  Component key = smallest core row key; clusters are numbered
    by that key (the sequential algorithm's discovery order when row keys
    follow row order).  A border point takes the smallest label among its core
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.geo import haversine_km
+from ..functions.graph import connected_components
 from ..functions.windows import rank_dense_by
 from ..session import cut_lineage
 
@@ -46,7 +47,7 @@ def _cell_plan(df: DataFrame, eps_km: float) -> tuple[float, int, int]:
 
 
 def dbscan(df: DataFrame, eps_km: float = vocab.DBSCAN_EPS_KM, min_samples: int = vocab.DBSCAN_MIN_SAMPLES,
-           id_col: str = "id", order_col: str | None = None, max_rounds: int = 64) -> DataFrame:
+           id_col: str = "id", order_col: str | None = None) -> DataFrame:
     """Return ``(id, cluster_label, is_core)`` for every located row of ``df``.
 
     ``order_col`` (default ``id_col``) is the row order that numbers clusters.
@@ -99,23 +100,10 @@ def dbscan(df: DataFrame, eps_km: float = vocab.DBSCAN_EPS_KM, min_samples: int
     n1 = cells.select(F.col("cr"), F.col("cc"), F.col("node").alias("a"))
     n2 = cells.select(F.col("cr").alias("ncr"), F.col("cc").alias("ncc"), F.col("node").alias("b"))
     e = near.join(n1, ["cr", "cc"]).join(n2, ["ncr", "ncc"]).select("a", "b")
-    edges = cut_lineage(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-
-    # --- 4. connected components ------------------------------------------------
-    labels = cut_lineage(cells.select(F.col("node"), F.col("node").alias("lab")))
-    for _ in range(max_rounds):
-        nb = (edges.join(labels.withColumnRenamed("node", "b"), "b")
-                   .groupBy("a").agg(F.min("lab").alias("nlab")).withColumnRenamed("a", "node"))
-        step = (labels.join(nb, "node", "left")
-                      .select("node", F.least("lab", F.coalesce("nlab", "lab")).alias("lab")))
-        # pointer jumping: adopt the label of your label
-        jump = (step.join(step.select(F.col("node").alias("lab"), F.col("lab").alias("lab2")), "lab", "left")
-                    .select("node", F.least("lab", F.coalesce("lab2", "lab")).alias("lab")))
-        jump = cut_lineage(jump)
-        changed = jump.join(labels.withColumnRenamed("lab", "old"), "node").filter(F.col("lab") != F.col("old")).count()
-        labels = jump
-        if changed == 0:
-            break
+    # --- 4. connected components (ends when no edge changes) ------------------
+    linked = connected_components(e).withColumnRenamed("root", "lab")
+    labels = cut_lineage(cells.select("node").join(linked, "node", "left")
+                         .select("node", F.coalesce("lab", "node").alias("lab")))
 
     comp = rank_dense_by(labels.select("lab").distinct(), "lab", "cluster_label")
     cell_lab = (cells.join(labels, "node").join(comp, "lab")

@@ -39,7 +39,7 @@ def topk_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
 
 
 def knn_join(queries: DataFrame, points: DataFrame, keys: list[str], k: int,
-             start_km: float = 1.0, max_passes: int = 10, metric: str = "haversine",
+             start_km: float = 1.0, metric: str = "haversine",
              exclude_self: bool = False) -> DataFrame:
     """Exact k nearest ``points`` (haversine, ties by start/id) per query with equal ``keys``.
 
@@ -59,8 +59,8 @@ def knn_join(queries: DataFrame, points: DataFrame, keys: list[str], k: int,
     pending = cut_lineage(queries.select("qid", *keys, "latitude", "longitude"))
     done = None
     c = start_km
-    for i in range(max_passes):
-        last = c >= span_km or i == max_passes - 1
+    while True:
+        last = c >= span_km
         if metric == "euclid_deg":  # plain euclidean distance in degree space, cell side c/111 degrees
             dlat = dlon = c / 111.0
         else:
@@ -196,10 +196,6 @@ def plan_events(queries: DataFrame, history: DataFrame, stats: DataFrame | None
 # calendar
 # --------------------------------------------------------------------------
 
-CALENDAR_COLUMNS = ["date", "start_time", "venue", "latitude", "longitude", "event_type",
-                    "expected_attendance", "notes"]
-
-
 def calendar_read(df: DataFrame) -> DataFrame:
     """Validate a calendar table: needs ``date`` and ``event_type``; unparseable dates -> NULL."""
     missing = [c for c in ("date", "event_type") if c not in df.columns]

@@ -58,8 +58,7 @@ def _proj(df: DataFrame, lat: str, lon: str, lat0: Column, prefix: str) -> DataF
               .withColumn(f"{prefix}x", F.radians(F.col(lon)) * r * F.cos(F.radians(lat0))))
 
 
-def road_join(incidents: DataFrame, roads: DataFrame, max_m: float = vocab.ROAD_MATCH_MAX_M,
-              max_passes: int = 12) -> DataFrame:
+def road_join(incidents: DataFrame, roads: DataFrame, max_m: float = vocab.ROAD_MATCH_MAX_M) -> DataFrame:
     """Nearest road point per incident; road attributes only within ``max_m``.
 
     Returns ``incidents`` + ``road_class, road_class_rank, lane_count,
@@ -78,7 +77,7 @@ def road_join(incidents: DataFrame, roads: DataFrame, max_m: float = vocab.ROAD_
     found = None
     pending = inc.select("id", "iy", "ix")
     cell = float(max_m)
-    for _ in range(max_passes):
+    while True:
         q = (pending.withColumn("cy", F.floor(F.col("iy") / cell).cast("long"))
                     .withColumn("cx", F.floor(F.col("ix") / cell).cast("long")))
         off = F.array(*[F.lit(i) for i in (-1, 0, 1)])
@@ -91,7 +90,7 @@ def road_join(incidents: DataFrame, roads: DataFrame, max_m: float = vocab.ROAD_
         ok = cut_lineage(best.filter(F.col("b.d") <= cell).select("id", "b"))
         found = ok if found is None else found.unionByName(ok)
         pending = cut_lineage(pending.join(ok.select("id"), "id", "left_anti"))
-        if pending.limit(1).count() == 0:
+        if pending.isEmpty() or rds.isEmpty():
             break
         cell *= 4.0
 

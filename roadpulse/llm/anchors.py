@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import chunks, column, gram_hashes, group_min, long_column, text_bytes, whole, word_hashes
+from .arrays import among, chunks, column, gram_hashes, group_min, long_column, text_bytes, whole, word_hashes
 from .common import shuffle_partitions
 from .packed import answer, arrays_of, ask, count_answer, count_request, counts_of, dealt, key_codes, meet, message, part_of
 
@@ -75,16 +75,18 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         """The windows around anchors that occur again: hash and least doc_id."""
         if not len(table):
             return message(0, [])
-        codes, counts = counts_of(answers, anchor_codes(table), nb)
+        held = []
+        for ids, _, _, h, _, _, first in _documents(table):
+            g, at = _anchors(h, first)
+            held.append((ids, h, first, np.flatnonzero(at), key_codes(g[at], nb)))
+        codes, counts = counts_of(answers, np.concatenate([x[-1] for x in held]), nb)
         again = codes[counts > 1]
         keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for ids, _, _, h, _, _, first in _documents(table):
+        for ids, h, first, hit, code in held:
             w = gram_hashes(h, WINDOW)
             if not len(w):
                 continue
-            g, at = _anchors(h, first)
-            hit = np.flatnonzero(at)
-            hit = hit[np.isin(key_codes(g[hit], nb), again)]
+            hit = hit[among(code, again)]
             near = np.zeros(len(h) + PERIOD + 1, np.int32)   # windows that start 0 .. PERIOD-1 words before a hit
             np.add.at(near, np.maximum(hit - PERIOD + 1, 0), 1)
             np.add.at(near, hit + 1, -1)
@@ -113,23 +115,22 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     def cut(table, answers):
         ids_null = column(table, "doc_id").is_null().to_numpy(zero_copy_only=False)
-        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for ids, _, _, h, _, _, first in _documents(table):
+        keys, owners, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        for ids, d, o, h, s, e, first in _documents(table):
             w = gram_hashes(h, WINDOW)
-            ok = whole(first, WINDOW, len(w))
+            ok = np.flatnonzero(whole(first, WINDOW, len(w)))
             keys.append(w[ok])
-            owners.append(_owner(ids, first)[:len(w)][ok])
+            owners.append(_owner(ids, first)[ok])
+            held.append((ids, d, o, s, e, first, ok, keys[-1], owners[-1]))
         if len(answers):
             keys.append(np.concatenate(arrays_of(answers, "keys", np.uint64)))
             owners.append(np.concatenate(arrays_of(answers, "extra", np.int64)))
         known, least = group_min(np.concatenate(keys), np.concatenate(owners))
         out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")}
-        for ids, d, o, h, s, e, first in _documents(table):
-            w = gram_hashes(h, WINDOW)
-            flag = np.zeros(len(h) + 1, np.int64)
-            if len(w):
-                ok = np.flatnonzero(whole(first, WINDOW, len(w)))
-                flag[ok] = least[np.searchsorted(known, w[ok])] < _owner(ids, first)[ok]
+        for ids, d, o, s, e, first, ok, w, owner in held:
+            flag = np.zeros(len(s) + 1, np.int64)
+            if len(ok):
+                flag[ok] = least[np.searchsorted(known, w)] < owner
             c = np.cumsum(flag[:-1])
             gone = c > 0
             gone[WINDOW:] = c[WINDOW:] > c[:-WINDOW]

@@ -2,9 +2,8 @@
 
 All of these are partial/final hash aggregates: map-side combine bounds the
 shuffle to (#groups x #partitions) rows regardless of input size, and a hot
-group only grows one accumulator.  Exact medians (``percentile``) keep a
-per-group buffer; ``approx=True`` switches to ``percentile_approx`` for groups
-too large for one task.
+group only grows one accumulator.  Medians and quartiles are exact and
+distributed (``functions.quantiles``): no task holds a group.
 """
 
 from __future__ import annotations
@@ -15,30 +14,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.quantiles import group_quantiles
 
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
-def median(c: Column | str, approx: bool = False) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.percentile_approx(c, 0.5, 100000) if approx else F.percentile(c, 0.5)
-
-
 def r6(c: Column) -> Column:
     """Round a double to 6 places (engine-independent last digits)."""
     return F.round(c, 6)
 
 
-def kpi_home(df: DataFrame, approx: bool = False) -> DataFrame:
+def _with_median(row: DataFrame, df: DataFrame, value: str, out: str) -> DataFrame:
+    """A one-row summary plus the exact median of ``value``."""
+    med = group_quantiles(df, [], value, {"q": 0.5}).select(r6(F.col("q")).alias(out))
+    return row.crossJoin(F.broadcast(med))
+
+
+def kpi_home(df: DataFrame) -> DataFrame:
     sev = F.col("severity_class")
-    return df.agg(
+    row = df.agg(
         F.count(F.lit(1)).alias("total_events"),
         F.count_distinct("corridor").alias("corridors"),
         F.count_distinct(F.when(F.col("junction") != "unknown", F.col("junction"))).alias("junctions"),
         F.count_if(sev == "High").cast("bigint").alias("high_events"),
         r6(100 * F.avg((sev == "High").cast("double"))).alias("high_pct"),
-        r6(median("duration_minutes", approx)).alias("median_duration"),
     )
+    return _with_median(row, df, "duration_minutes", "median_duration")
 
 
 def severity_breakdown(df: DataFrame) -> DataFrame:
@@ -77,14 +78,14 @@ def analytics_filter(df: DataFrame, zones: list[str] | None = None, causes: list
     return df.filter(cond)
 
 
-def kpi_filtered(df: DataFrame, approx: bool = False) -> DataFrame:
-    return df.agg(
+def kpi_filtered(df: DataFrame) -> DataFrame:
+    row = df.agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("severity_class") == "High").cast("bigint").alias("high_events"),
         F.count("duration_minutes").alias("with_duration"),
-        r6(median("duration_minutes", approx)).alias("median_duration"),
         F.count_distinct("corridor").alias("corridors"),
     )
+    return _with_median(row, df, "duration_minutes", "median_duration")
 
 
 def cause_label(c: Column) -> Column:
@@ -117,12 +118,11 @@ def corridor_weekly(df: DataFrame, k: int = 6) -> DataFrame:
                .agg(r6(F.avg("corridor_7d_score")).alias("avg_7d_score")))
 
 
-def resolution_by_cause(df: DataFrame, approx: bool = False) -> DataFrame:
-    return (df.filter(F.col("duration_minutes").isNotNull())
-              .groupBy(cause_label(F.col("event_cause")).alias("cause_label"))
-              .agg(r6(F.avg("duration_minutes")).alias("mean_minutes"),
-                   r6(median("duration_minutes", approx)).alias("median_minutes"),
-                   F.count(F.lit(1)).alias("n")))
+def resolution_by_cause(df: DataFrame) -> DataFrame:
+    d = df.filter(F.col("duration_minutes").isNotNull()).withColumn("cause_label", cause_label(F.col("event_cause")))
+    med = group_quantiles(d, ["cause_label"], "duration_minutes", {"q": 0.5})
+    return (d.groupBy("cause_label").agg(r6(F.avg("duration_minutes")).alias("mean_minutes"), F.count(F.lit(1)).alias("n"))
+             .join(med, "cause_label").select("cause_label", "mean_minutes", r6(F.col("q")).alias("median_minutes"), "n"))
 
 
 def semantic_distribution(df: DataFrame) -> DataFrame:
@@ -148,51 +148,43 @@ def deterministic_mode(df: DataFrame, keys: list[str], value: str, out: str | No
         F.min_by(F.col(value), F.struct(-F.col("__n"), F.col(value))).alias(out))
 
 
-def clearance_stats(df: DataFrame, min_n: int = 5, max_minutes: float = 1440.0, approx: bool = False) -> DataFrame:
-    """Per cause (n >= min_n) plus an ``_overall`` row: median/p25/p75 (linear) and n.
-
-    One pass with GROUPING SETS ((event_cause), ()).
-    """
+def clearance_stats(df: DataFrame, min_n: int = 5, max_minutes: float = 1440.0) -> DataFrame:
+    """Per cause (n >= min_n) plus an ``_overall`` row: median/p25/p75 (linear) and n."""
     d = df.filter((F.col("duration_minutes") > 0) & (F.col("duration_minutes") <= max_minutes))
-    pct = (F.percentile_approx("duration_minutes", [0.25, 0.5, 0.75], 100000) if approx
-           else F.percentile(F.col("duration_minutes"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    g = (d.groupingSets([["event_cause"], []], "event_cause")
-           .agg(pct.alias("__q"), F.count(F.lit(1)).alias("n"), F.grouping("event_cause").alias("__g")))
-    return (g.filter((F.col("__g") == 1) | (F.col("n") >= min_n))
-             .select(F.when(F.col("__g") == 1, F.lit("_overall")).otherwise(F.col("event_cause")).alias("cause"),
-                     r6(F.col("__q")[1]).alias("median"), r6(F.col("__q")[0]).alias("p25"),
-                     r6(F.col("__q")[2]).alias("p75"), "n"))
+    d = d.select("duration_minutes", F.explode(F.array("event_cause", F.lit("_overall"))).alias("cause"))
+    q = group_quantiles(d, ["cause"], "duration_minutes", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    n = d.groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
+    return (n.filter((F.col("cause") == "_overall") | (F.col("n") >= min_n)).join(q, "cause", "left")
+             .select("cause", r6(F.col("q50")).alias("median"), r6(F.col("q25")).alias("p25"),
+                     r6(F.col("q75")).alias("p75"), "n"))
 
 
 def corridor_history_medians(df: DataFrame, features: list[str] | None = None,
-                             rate_features: tuple[str, ...] = ("cluster_closure_rate", "lane_count"),
-                             approx: bool = False) -> DataFrame:
-    """Per-corridor and global medians of history features (GROUPING SETS, one pass).
+                             rate_features: tuple[str, ...] = ("cluster_closure_rate", "lane_count")) -> DataFrame:
+    """Per-corridor and global medians of history features (one distributed quantile pass).
 
     Counts -> integer half-even, rates -> 4 places half-even.  The global row
     has ``corridor = NULL`` and ``is_global = true``.
     """
     feats = [f for f in (features or ["corridor_7d_score", "junction_repeat_count", "cluster_prior_events",
                                        "cluster_closure_rate", "road_class_rank", "lane_count"]) if f in df.columns]
-    aggs = []
-    for f in feats:
-        m = median(f, approx)
-        aggs.append((F.bround(m, 4) if f in rate_features else F.bround(m, 0).cast("bigint")).alias(f))
-    g = df.groupingSets([["corridor"], []], "corridor").agg(*aggs, F.grouping("corridor").alias("__g"))
-    return g.select(F.when(F.col("__g") == 0, F.col("corridor")).alias("corridor"),
-                    (F.col("__g") == 1).alias("is_global"), *feats)
+    scope = F.array(F.struct(F.lit(False).alias("is_global"), F.coalesce("corridor", F.lit("")).alias("at")),
+                    F.struct(F.lit(True).alias("is_global"), F.lit("").alias("at")))
+    value = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in feats])
+    long = df.select(F.explode(scope).alias("s"), value.alias("a")).select("s.*", F.inline("a"))
+    med = group_quantiles(long, ["is_global", "at", "f"], "v", {"m": 0.5})
+    pick = [F.max(F.when(F.col("f") == f, F.bround("m", 4) if f in rate_features else F.bround("m", 0))) for f in feats]
+    pick = [(p if f in rate_features else p.cast("bigint")).alias(f) for f, p in zip(feats, pick)]
+    return med.groupBy("is_global", "at").agg(*pick).select(
+        F.when(~F.col("is_global"), F.col("at")).alias("corridor"), "is_global", *feats)
 
 
 def history_lookup(queries: DataFrame, medians: DataFrame) -> DataFrame:
-    """Corridor medians for each query row, else the global medians.
-
-    ``medians`` has one row per corridor plus one global row -- bounded by the
-    number of corridors, so it is broadcast.
-    """
+    """Corridor medians for each query row, else the global medians (the one global row is broadcast)."""
     feats = [c for c in medians.columns if c not in ("corridor", "is_global")]
     per = medians.filter(~F.col("is_global")).select(F.col("corridor").alias("__c"), *[F.col(f).alias(f"__p_{f}") for f in feats])
     glob = medians.filter(F.col("is_global")).select(*[F.col(f).alias(f"__g_{f}") for f in feats])
-    j = queries.join(F.broadcast(per), queries["corridor"] == per["__c"], "left").crossJoin(F.broadcast(glob))
+    j = queries.join(per, queries["corridor"] == per["__c"], "left").crossJoin(F.broadcast(glob))
     known = F.col("__c").isNotNull()
     return j.select(*queries.columns,
                     *[F.when(known, F.col(f"__p_{f}")).otherwise(F.col(f"__g_{f}")).alias(f) for f in feats])

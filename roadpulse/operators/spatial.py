@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.geo import circle_ring, haversine_km
+from ..functions.quantiles import group_quantiles
 from .analytics import deterministic_mode
 from .decide import round_binary
 
@@ -188,8 +189,8 @@ def _cluster_profile(labelled: DataFrame, label: str) -> DataFrame:
     cl = labelled.filter(F.col(label) >= 0)
     agg = cl.groupBy(label).agg(
         F.count(F.lit(1)).alias("event_count"),
-        F.percentile(F.col("duration_minutes"), 0.5).alias("__med"),
         F.avg("latitude").alias("__clat"), F.avg("longitude").alias("__clon"))
+    agg = agg.join(group_quantiles(cl, [label], "duration_minutes", {"__med": 0.5}), label, "left")
     modes = [deterministic_mode(cl, [label], c, f"__mode_{c}")
              for c in ("event_cause", "junction", "address", "zone", "severity_class") if c in cl.columns]
     for m in modes:
@@ -244,14 +245,12 @@ def hotspot_feature_filter(features: DataFrame, zones: list[str], causes: list[s
 # --------------------------------------------------------------------------
 
 def kde_heatmap(df: DataFrame, bandwidth: float = vocab.KDE_BANDWIDTH, grid: int = vocab.KDE_GRID,
-                pad: float = vocab.KDE_PAD_DEG, min_weight: float = vocab.KDE_MIN_WEIGHT,
-                cutoff_sigma: float = 8.0) -> DataFrame:
+                pad: float = vocab.KDE_PAD_DEG, min_weight: float = vocab.KDE_MIN_WEIGHT) -> DataFrame:
     """Gaussian KDE on a ``grid x grid`` lattice over the padded extent, min-max normalised.
 
-    Kernel covariance = bandwidth^2 x sample covariance (lon, lat).  Each point
-    contributes only to lattice nodes inside its ``cutoff_sigma`` box (terms
-    beyond are < exp(-32) of the peak): work is O(points x box), not
-    O(points x grid^2), and the per-node sums are partial aggregates.
+    Kernel covariance = bandwidth^2 x sample covariance (lon, lat).  Points are
+    counted by coordinate first; each distinct coordinate then meets the fixed
+    lattice, and the per-node sums are partial aggregates.
     """
     spark = df.sparkSession
     pts = df.select("latitude", "longitude").dropna()
@@ -268,20 +267,14 @@ def kde_heatmap(df: DataFrame, bandwidth: float = vocab.KDE_BANDWIDTH, grid: int
             .withColumn("stx", (F.col("glo1") - F.col("glo0")) / (grid - 1))
             .withColumn("sty", (F.col("gla1") - F.col("gla0")) / (grid - 1))
             .withColumn("norm", 1.0 / (F.col("n") * 2 * math.pi * F.sqrt(F.col("det")))))
-    j = pts.crossJoin(F.broadcast(st))
-    rx = cutoff_sigma * F.sqrt(F.col("sxx")) / F.col("stx")
-    ry = cutoff_sigma * F.sqrt(F.col("syy")) / F.col("sty")
-    fx = (F.col("longitude") - F.col("glo0")) / F.col("stx")
-    fy = (F.col("latitude") - F.col("gla0")) / F.col("sty")
-    j = (j.withColumn("gi", F.explode(F.sequence(F.greatest(F.ceil(fx - rx), F.lit(0)).cast("int"),
-                                                 F.least(F.floor(fx + rx), F.lit(grid - 1)).cast("int"))))
-          .withColumn("gj", F.explode(F.sequence(F.greatest(F.ceil(fy - ry), F.lit(0)).cast("int"),
-                                                 F.least(F.floor(fy + ry), F.lit(grid - 1)).cast("int")))))
+    places = pts.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("here"))
+    axis = F.sequence(F.lit(0), F.lit(grid - 1))
+    j = (places.crossJoin(F.broadcast(st)).withColumn("gi", F.explode(axis)).withColumn("gj", F.explode(axis)))
     gx = F.when(F.col("gi") == grid - 1, F.col("glo1")).otherwise(F.col("glo0") + F.col("gi") * F.col("stx"))
     gy = F.when(F.col("gj") == grid - 1, F.col("gla1")).otherwise(F.col("gla0") + F.col("gj") * F.col("sty"))
     dx, dy = gx - F.col("longitude"), gy - F.col("latitude")
     m = (F.col("syy") * dx * dx - 2 * F.col("sxy") * dx * dy + F.col("sxx") * dy * dy) / F.col("det")
-    dens = j.groupBy("gi", "gj").agg(F.sum(F.exp(-0.5 * m)).alias("__s"))
+    dens = j.groupBy("gi", "gj").agg(F.sum(F.col("here") * F.exp(-0.5 * m)).alias("__s"))
     lattice = (spark.range(grid * grid).select((F.col("id") % grid).cast("int").alias("gi"),
                                                (F.col("id") / grid).cast("int").alias("gj")))
     z = (lattice.join(dens, ["gi", "gj"], "left").crossJoin(F.broadcast(st))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import group_quantiles
 from ..operators import metrics as M
 from ..operators import models as MD
 from ..session import cut_lineage
@@ -157,7 +158,7 @@ _DUR = ["dd AS (SELECT id, start_datetime, duration_minutes AS d FROM feat WHERE
 def _duration_split(spark, sf):
     d = base.features(spark, sf).filter(F.col("duration_minutes").isNotNull() & (F.col("duration_minutes") <= 1440))
     s = M.chrono_split(d.select("id", "start_datetime", "duration_minutes"), 0.8)
-    med = s.filter("is_train").agg(F.percentile("duration_minutes", 0.5).alias("med"))
+    med = group_quantiles(s.filter("is_train"), [], "duration_minutes", {"med": 0.5})
     return s.crossJoin(F.broadcast(med))
 
 
@@ -249,8 +250,7 @@ def duration_model(spark, sf):
     m = MD.duration_model(tr)
     te = te.filter(F.col("duration_minutes").isNotNull() & (F.col("duration_minutes") <= 1440))
     p = m.transform(te).withColumn("predicted_minutes", F.expm1("prediction"))
-    med = tr.filter(F.col("duration_minutes").isNotNull() & (F.col("duration_minutes") <= 1440)) \
-        .agg(F.percentile("duration_minutes", 0.5).alias("med"))
+    med = group_quantiles(tr.filter("duration_minutes <= 1440"), [], "duration_minutes", {"med": 0.5})
     r = M.regression_metrics(p, "duration_minutes", "predicted_minutes")
     b = M.regression_metrics(p.crossJoin(F.broadcast(med)), "duration_minutes", "med") \
         .select(F.col("mae").alias("baseline_mae"))

@@ -129,7 +129,7 @@ def history_read(spark, sf):
 
 def _replay(spark, sf, name):
     from .q_stream import _replayed
-    return _replayed(spark, sf, name)
+    return _replayed(spark, sf, name, 8)
 
 
 @register("stream_enrich")
@@ -140,7 +140,7 @@ def stream_enrich(spark, sf):
     from .q_stream import _static
     folder, s = _replay(spark, sf, "enrich")
     med, _ = _static(spark, sf)
-    d = FE.text_semantic_encode(FE.text_semantic_type(s))
+    d = FE.text_semantic_encode(FE.text_semantic_type(L.without_closing(s))).drop("corridor_7d_score", "junction_repeat_count")
     e = A.history_lookup(d, med)  # stream-static: medians are a small static table
     return L.run_to_table(e.drop("event_time"), folder, "enriched").select(
         "id", "event_semantic_type", "corridor_7d_score", "junction_repeat_count", "lane_count")
@@ -155,7 +155,7 @@ def road_snap_stream(spark, sf):
 
     def handle(batch, batch_id):
         from ..operators import roads as R
-        R.road_join(batch.drop("event_time"), roads).select("id", "road_class", "road_class_rank", "lane_count",
+        R.road_join(L.without_closing(batch).drop("event_time"), roads).select("id", "road_class", "road_class_rank", "lane_count",
                                                             "road_dist_m") \
             .write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
     L.run_foreach(s, folder, "snap", handle)
@@ -171,7 +171,7 @@ def stream_divert(spark, sf):
     roads = network(spark, sf)
 
     def handle(batch, batch_id):
-        r = D.recommend(batch.withColumn("severity_class", F.col("severity")), prob_col="closure_prob")
+        r = D.recommend(L.without_closing(batch).withColumn("severity_class", F.col("severity")), prob_col="closure_prob")
         t = r.filter(F.col("diversion_recommended") & F.col("latitude").isNotNull()).select(
             "id", "latitude", "longitude")
         DV.plan_routes(t, roads).drop("path") \

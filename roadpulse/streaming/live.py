@@ -27,8 +27,7 @@ from ..operators import decide as D
 from ..operators import features as FE
 from ..session import checkpoint_dir, prepare
 
-LIVE_COLUMNS = ["id", "ts", "event_cause", "zone", "corridor", "junction", "latitude", "longitude", "severity",
-                "closure_prob", "status", "description", "hour_of_day", "day_of_week", "road_closure_binary"]
+LAST_BLOCK = 1_000_000   # after every day number
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -36,37 +35,59 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def live_rows(features: DataFrame, days: int = 2) -> DataFrame:
-    """Live events = the last ``days`` of incidents (relative to the newest one), in store shape."""
-    last = features.agg(F.max("start_datetime").alias("__last"))
-    f = features.crossJoin(F.broadcast(last)).filter(
-        F.col("start_datetime") > F.col("__last") - F.expr(f"INTERVAL {int(days)} DAYS"))
-    return f.select("id", F.col("start_datetime").alias("ts"), "event_cause", "zone", "corridor", "junction",
-                    "latitude", "longitude", F.col("severity_class").alias("severity"),
-                    F.lit(None).cast("double").alias("closure_prob"), "status", "description", "hour_of_day",
-                    "day_of_week", "road_closure_binary")
+LATE_MOD = 37          # replayed rows whose id is a multiple arrive last
+CLOSING = "30 DAYS"    # event time of the closing rows after the newest row
 
 
-def write_replay(live: DataFrame, folder: str, block_hours: int = 12, late_mod: int = 37) -> str:
-    """Replay live rows as files, one per ``block_hours`` of event time; rows with
-    ``id % late_mod == 0`` arrive in a final file (late data)."""
+def live_rows(features: DataFrame) -> DataFrame:
+    """Every incident in store shape; ``closure_prob`` is taken over where the features carry it."""
+    prob = F.col("closure_prob") if "closure_prob" in features.columns else F.lit(None).cast("double")
+    return features.select("id", F.col("start_datetime").alias("ts"), "event_cause", "zone", "corridor", "junction",
+                           "latitude", "longitude", F.col("severity_class").alias("severity"),
+                           prob.alias("closure_prob"), "status", "description", "hour_of_day",
+                           "day_of_week", "road_closure_binary", "corridor_7d_score", "junction_repeat_count")
+
+
+def write_replay(live: DataFrame, folder: str, late_mod: int = LATE_MOD) -> str:
+    """Write the live rows once, a folder per day of event time, and date the files in that order.
+
+    Rows with ``id % late_mod == 0`` form a last block (late data).  Two closing
+    rows without id, far in the future, follow: they move the watermark past all
+    windows, so that every window is emitted.  A file source reads files by date.
+    """
     spark = live.sparkSession
     src = os.path.join(folder, "in")
-    blk = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (block_hours * 3600 * 1_000_000)).cast("long")
-    tagged = live.withColumn("__blk", F.when(F.col("id") % late_mod == 0, F.lit(None)).otherwise(blk))
-    blocks = sorted(r[0] for r in tagged.select("__blk").distinct().collect() if r[0] is not None)
-    for b in blocks + [None]:
-        part = tagged.filter(F.col("__blk").isNull() if b is None else F.col("__blk") == b).drop("__blk")
-        part.coalesce(1).write.mode("append").parquet(src)
+    day = F.unix_date(F.to_date("ts"))
+    order = F.when(F.col("id") % late_mod == 0, F.lit(LAST_BLOCK)).otherwise(day)
+    newest = live.agg(F.max("ts").alias("newest"))
+    # a junction of their own lets the closing rows through the filter of the site sessions
+    known = {"ts": F.col("newest") + F.expr(f"INTERVAL {CLOSING}"), "junction": F.lit("closing")}
+    empty = [known.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in live.schema.fields]
+    closing = newest.filter("newest is not null").select(*empty)
+    closing = closing.withColumn("blk", F.explode(F.array(F.lit(LAST_BLOCK + 1), F.lit(LAST_BLOCK + 2))))
+    (live.withColumn("blk", order).unionByName(closing).repartition("blk").sortWithinPartitions("blk", "ts", "id")
+     .write.partitionBy("blk").parquet(src))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(src).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    blocks = sorted((int(f.getPath().getName().split("=")[1]), f.getPath()) for f in fs.listStatus(hadoop.Path(src)) if f.isDirectory())
+    for i, (_, path) in enumerate(blocks):
+        for f in fs.listStatus(path):
+            fs.setTimes(f.getPath(), 1_600_000_000_000 + 10_000 * i, -1)
     return src
 
 
-def read_live(spark: SparkSession, src: str, schema) -> DataFrame:
+def read_live(spark: SparkSession, src: str, schema, files_per_trigger: int = 1) -> DataFrame:
+    """The replay as a stream; ``schema`` is that of the live rows (the block is a folder, not a column)."""
     prepare(spark)
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+         .option("recursiveFileLookup", "true").parquet(src))
     return s.withColumn("event_time", F.col("ts").cast("timestamp"))
 
 
+def without_closing(stream: DataFrame) -> DataFrame:
+    return stream.filter(F.col("id").isNotNull())
+
+
 def run_to_table(stream_df: DataFrame, folder: str, name: str, mode: str = "append") -> DataFrame:
     """Run a streaming DataFrame to a Parquet sink with availableNow; return the sink as a batch table."""
     spark = stream_df.sparkSession
@@ -88,16 +109,16 @@ def run_foreach(stream_df: DataFrame, folder: str, name: str, fn) -> None:
 # stateless pipeline: validate -> enrich -> score -> alerts / log
 # --------------------------------------------------------------------------
 
-def ingest(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Input contract split into (valid, quarantine)."""
-    d = stream.withColumn("corridor_7d_score", F.lit(0)).withColumn("junction_repeat_count", F.lit(0))
-    return C.validate_live_event(d)
+def ingest(stream: DataFrame) -> DataFrame:
+    """Every event with ``valid``: whether it meets the input contract (the others are quarantined)."""
+    valid, bad = C.validate_live_event(without_closing(stream))
+    return valid.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
 
 
 def enrich_score(batch: DataFrame, medians: DataFrame, stats: DataFrame) -> DataFrame:
     """One micro-batch: text mining, corridor history (medians, else global), rules, impact."""
     d = FE.text_semantic_encode(FE.text_semantic_type(batch))
-    d = d.withColumn("severity_class", F.col("severity"))
+    d = d.withColumn("severity_class", F.col("severity")).drop("corridor_7d_score", "junction_repeat_count")
     hist = A.history_lookup(d.select("id", "corridor"), medians).drop("corridor")
     d = d.join(hist, "id", "left")
     d = d.withColumn("is_peak_hour", F.col("hour_of_day").isin(vocab.PEAK_HOURS).cast("int"))
@@ -113,7 +134,7 @@ def live_pipeline(stream: DataFrame, medians: DataFrame, stats: DataFrame, folde
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # the batch id is the partition folder (idempotent overwrite on replay)
-        s = enrich_score(batch, medians, stats).drop("event_time").persist()
+        s = enrich_score(without_closing(batch), medians, stats).drop("event_time").persist()
         s.write.mode("overwrite").parquet(os.path.join(out["scored"], f"batch_id={batch_id}"))
         a = D.alert_message(s.filter("barricade_required"), prob_col="closure_probability")
         a.select("id", "alert_text").write.mode("overwrite").parquet(
@@ -159,31 +180,25 @@ def site_sessions(stream: DataFrame, gap: str = "30 minutes", watermark: str = "
 
 
 def late_rows(stream: DataFrame, folder: str, lateness_hours: int = 24) -> str:
-    """Rows older than (max event time seen in earlier batches - lateness) go to a side table.
+    """Rows older than (max event time of earlier batches - lateness) go to a side table.
 
     The aggregate drops them silently, so this branch compares each row with the
-    stored max event time *before* aggregation (foreachBatch; the max is kept in
-    a tiny table under the checkpoint folder).
+    newest event time *before* aggregation.  That time is kept per batch id: a
+    replayed batch reads only the batches before it and overwrites its own rows.
     """
-    side = os.path.join(folder, "late")
-    state = os.path.join(folder, "late_state")
+    spark = stream.sparkSession
+    side, state = os.path.join(folder, "late"), os.path.join(folder, "late_state")
+    row = stream.drop("event_time").schema
+    spark.createDataFrame([], row).write.parquet(os.path.join(side, "batch_id=-1"))
+    spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS max_ts").write.parquet(os.path.join(state, "batch_id=-1"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            prev = spark.read.parquet(state).agg(F.max("max_ts")).first()[0]
-        except Exception:  # noqa: BLE001  (first batch: no state yet)
-            prev = None
-        if prev is not None:
-            cut = F.lit(prev).cast("timestamp") - F.expr(f"INTERVAL {int(lateness_hours)} HOURS")
-            batch.filter(F.col("event_time") < cut).drop("event_time") \
-                .write.mode("overwrite").parquet(os.path.join(side, f"batch_id={batch_id}"))
-        m = batch.agg(F.max("event_time").alias("max_ts"))
-        m.write.mode("overwrite").parquet(os.path.join(state + "_tmp", f"b{batch_id}"))
-        cur = spark.read.parquet(os.path.join(state + "_tmp", f"b{batch_id}"))
-        if prev is not None:
-            cur = cur.union(spark.createDataFrame([(prev,)], "max_ts timestamp"))
-        cur.agg(F.max("max_ts").alias("max_ts")).write.mode("overwrite").parquet(state)
+        own = without_closing(batch)
+        seen = batch.sparkSession.read.parquet(state).filter(F.col("batch_id") < batch_id).agg(F.max("max_ts").alias("__seen"))
+        late = own.crossJoin(F.broadcast(seen)).filter(
+            F.col("event_time") < F.col("__seen") - F.expr(f"INTERVAL {int(lateness_hours)} HOURS"))
+        late.drop("event_time", "__seen").write.mode("overwrite").parquet(os.path.join(side, f"batch_id={batch_id}"))
+        own.agg(F.max("event_time").alias("max_ts")).write.mode("overwrite").parquet(os.path.join(state, f"batch_id={batch_id}"))
 
     run_foreach(stream, folder, "late", handle)
     return side

@@ -7,6 +7,9 @@ Label maps and feature lists are the source system's; learners are Spark's
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +18,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from . import metrics as M
 
 # FIXED VALUES: model inputs and label coding.
@@ -29,12 +33,11 @@ CLOSURE_FEATURES = ["cause_severity_weight", "event_semantic_encoded", "hour_of_
 SEVERITY_LABEL = {"Low": 0, "Medium": 1, "High": 2}
 SEVERITY_NAME = {0: "Low", 1: "Medium", 2: "High"}
 
-# Learner settings (tree depth / learning rate / row and column sampling of the
-# source models; iteration counts sized for Spark's per-iteration jobs).
+# FIXED VALUES: learner settings (tree depth, learning rate, number of trees, row and column sampling).
 TREE_PARAMS = dict(maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
-GBT_ITER = 60
-GBT_STEP = 0.1
-RF_TREES = 100
+GBT_ITER = 300
+GBT_STEP = 0.05
+RF_TREES = 300
 
 
 def train_frame(features: DataFrame) -> DataFrame:
@@ -52,6 +55,11 @@ def _assembler(cols: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep")
 
 
+def _tree_checkpoints(df: DataFrame) -> None:
+    """Boosting cuts its lineage every few rounds: into the shared folder."""
+    df.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(df.sparkSession))
+
+
 def severity_model(train: DataFrame) -> PipelineModel:
     w = M.class_weights(train, "severity_label").select("severity_label", F.col("weight").alias("w"))
     t = train.join(F.broadcast(w), "severity_label")
@@ -61,6 +69,7 @@ def severity_model(train: DataFrame) -> PipelineModel:
 
 
 def duration_model(train: DataFrame) -> PipelineModel:
+    _tree_checkpoints(train)
     t = train.filter(F.col("duration_minutes").isNotNull() & (F.col("duration_minutes") <= 1440)) \
         .withColumn("log_duration", F.log1p("duration_minutes"))
     gbt = GBTRegressor(labelCol="log_duration", featuresCol="features", maxIter=GBT_ITER, stepSize=GBT_STEP,
@@ -69,12 +78,12 @@ def duration_model(train: DataFrame) -> PipelineModel:
 
 
 def closure_model(train: DataFrame) -> tuple[PipelineModel, object]:
-    """GBT with positive-class weight neg/pos on the first 80 % of train; isotonic calibration on the rest."""
+    """GBT on the first 80 % of train, positive-class weight neg/pos over all of train; isotonic calibration on the rest."""
+    _tree_checkpoints(train)
     d = M.chrono_split(train, 0.8).withColumnRenamed("is_train", "__fit").drop("row_idx")
-    fit = d.filter("__fit")
-    cnt = fit.agg(F.count_if(F.col("road_closure_binary") == 1).alias("p"),
-                  F.count_if(F.col("road_closure_binary") == 0).alias("n"))
-    fit = fit.crossJoin(F.broadcast(cnt)).withColumn(
+    cnt = train.agg(F.count_if(F.col("road_closure_binary") == 1).alias("p"),
+                    F.count_if(F.col("road_closure_binary") == 0).alias("n"))
+    fit = d.filter("__fit").crossJoin(F.broadcast(cnt)).withColumn(
         "w", F.when(F.col("road_closure_binary") == 1, F.col("n") / F.greatest(F.col("p"), F.lit(1))).otherwise(1.0))
     gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="w", maxIter=GBT_ITER, stepSize=GBT_STEP,
                         **TREE_PARAMS)
@@ -104,6 +113,7 @@ def score_batch(sev: PipelineModel, dur: PipelineModel, clo: PipelineModel, iso,
 
 def walk_forward(frame: DataFrame, n_splits: int = 5) -> DataFrame:
     """Expanding-window closure backtest: one fit per fold (folds are few; each fit is distributed)."""
+    _tree_checkpoints(frame)
     d = M.row_index(frame, ["start_datetime", "id"]).cache()
     folds = M.walk_forward_folds(frame, n_splits).collect()  # n_splits rows of bounds
     rows = []
@@ -129,6 +139,27 @@ def walk_forward(frame: DataFrame, n_splits: int = 5) -> DataFrame:
     return spark.createDataFrame(rows, "fold int, roc_auc double, pr_auc double")
 
 
+def permutation_importance(model: PipelineModel, test: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Loss of accuracy when one feature's values are dealt to other rows, per feature.
+
+    Row i gets the feature of the row that follows it in a hash order of its own:
+    an exact permutation by two joins on row numbers, without a shuffle of the
+    whole row.  All features are scored in one pass.
+    """
+    t = M.row_index(test.select("id", label, *features), ["id"], "pos")
+    total = t.count()
+    hit = (F.col("prediction") == F.col(label)).cast("double")
+    plain = model.transform(t).agg(F.avg(hit).alias("a")).first()["a"]
+    parts = []
+    for i, f in enumerate(features):
+        # multiplication by a unit of the residue ring is a permutation of the row numbers
+        step = next(s for s in range(total // 2 + i + 1, total * 2 + 2) if math.gcd(s, total) == 1)
+        other = t.select(((F.col("pos") * F.lit(step) + i + 1) % total).alias("pos"), F.col(f).alias("__dealt"))
+        parts.append(t.join(other, "pos").withColumn(f, F.col("__dealt")).drop("__dealt").withColumn("feature", F.lit(f)))
+    dealt = reduce(DataFrame.unionByName, parts)
+    return (model.transform(dealt).groupBy("feature").agg((F.lit(plain) - F.avg(hit)).alias("permutation_importance")))
+
+
 def feature_importance(model: PipelineModel, features: list[str]) -> DataFrame:
     """Impurity importances of the fitted trees, one row per input feature."""
     from pyspark.sql import SparkSession
@@ -141,7 +172,8 @@ def quality_gate(metrics: DataFrame) -> DataFrame:
     """Gate rows (rule, value, floor, pass) from a one-row metrics table."""
     rules = [("closure_roc_auc", "closure_roc_auc", ">=", 0.66), ("closure_pr_auc_vs_base", "closure_pr_lift", ">", 0.0),
              ("walk_forward_roc_auc", "wf_roc_auc", ">=", 0.60), ("severity_acc_vs_majority", "severity_lift", ">", 0.0),
-             ("severity_macro_f1", "severity_macro_f1", ">=", 0.55), ("duration_mae_vs_median", "duration_lift", ">=", 0.0)]
+             ("severity_macro_f1", "severity_macro_f1", ">=", 0.55), ("duration_mae_vs_median", "duration_lift", ">=", 0.0),
+             ("road_features_present", "road_features", ">=", 1.0)]
     parts = []
     for rule, col, op, floor in rules:
         v = F.col(col).cast("double")

@@ -6,12 +6,16 @@ deterministic score column; model fits are checked by invariants (tests).
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import group_quantiles
 from ..operators import metrics as M
 from ..operators import models as MD
-from ..session import cut_lineage
+from ..session import checkpoint_dir
 from . import base
 from .catalog import register
 from .oracle import SCORE, with_base
@@ -219,21 +223,49 @@ def _split(spark, sf):
     return d.filter("is_train"), d.filter(~F.col("is_train"))
 
 
+def _held(spark, sf, name, fit) -> str:
+    """Folder of a model fitted once per session and input, saved in the shared folder."""
+    def run():
+        path = f"{checkpoint_dir(spark).rstrip('/')}/model-{name}-{uuid.uuid4().hex}"
+        fit().write().save(path)
+        return spark.createDataFrame([(path,)], "path string")
+    return base._stage(spark, f"model-{name}", sf, run).first()["path"]
+
+
+def severity(spark, sf):
+    return PipelineModel.load(_held(spark, sf, "severity", lambda: MD.severity_model(_split(spark, sf)[0])))
+
+
+def duration(spark, sf):
+    return PipelineModel.load(_held(spark, sf, "duration", lambda: MD.duration_model(_split(spark, sf)[0])))
+
+
+def closure(spark, sf):
+    """(classifier, calibration)."""
+    fitted = []
+
+    def part(i):
+        if not fitted:
+            fitted.extend(MD.closure_model(_split(spark, sf)[0]))
+        return fitted[i]
+    return (PipelineModel.load(_held(spark, sf, "closure", lambda: part(0))),
+            IsotonicRegressionModel.load(_held(spark, sf, "calibration", lambda: part(1))))
+
+
+def walk_forward_scores(spark, sf):
+    return base._stage(spark, "walk_forward", sf, lambda: MD.walk_forward(frame(spark, sf), 5))
+
+
 @register("severity_model")
 def severity_model(spark, sf):
-    tr, te = _split(spark, sf)
-    m = MD.severity_model(tr)
-    pred = m.transform(te).select("severity_label", "prediction")
+    pred = severity(spark, sf).transform(_split(spark, sf)[1]).select("severity_label", "prediction")
     return M.multiclass_metrics(pred, "severity_label", "prediction")
 
 
 @register("severity_cv")
 def severity_cv(spark, sf):
-    """Stratified 5-fold accuracy (fold = row rank within class mod 5, ordered by a hash)."""
-    from pyspark.sql import Window
-    d = frame(spark, sf)
-    w = Window.partitionBy("severity_label").orderBy(F.xxhash64("id"), "id")
-    d = cut_lineage(d.withColumn("fold", (F.row_number().over(w) - 1) % 5))
+    """5-fold accuracy; a row's fold is a hash of its id."""
+    d = frame(spark, sf).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(5)))
     rows = []
     for k in range(5):
         m = MD.severity_model(d.filter(F.col("fold") != k))
@@ -247,9 +279,7 @@ def severity_cv(spark, sf):
 @register("duration_model")
 def duration_model(spark, sf):
     tr, te = _split(spark, sf)
-    m = MD.duration_model(tr)
-    te = te.filter(F.col("duration_minutes").isNotNull() & (F.col("duration_minutes") <= 1440))
-    p = m.transform(te).withColumn("predicted_minutes", F.expm1("prediction"))
+    p = duration(spark, sf).transform(te.filter("duration_minutes <= 1440")).withColumn("predicted_minutes", F.expm1("prediction"))
     med = group_quantiles(tr.filter("duration_minutes <= 1440"), [], "duration_minutes", {"med": 0.5})
     r = M.regression_metrics(p, "duration_minutes", "predicted_minutes")
     b = M.regression_metrics(p.crossJoin(F.broadcast(med)), "duration_minutes", "med") \
@@ -260,23 +290,18 @@ def duration_model(spark, sf):
 @register("sink_backtest")
 def sink_backtest(spark, sf):
     """Predicted / actual clearance pairs rounded to 0.1 (write as a table)."""
-    tr, te = _split(spark, sf)
-    m = MD.duration_model(tr)
-    te = te.filter(F.col("duration_minutes").isNotNull() & (F.col("duration_minutes") <= 1440))
-    p = m.transform(te)
+    p = duration(spark, sf).transform(_split(spark, sf)[1].filter("duration_minutes <= 1440"))
     return p.select("id", (F.rint(F.col("duration_minutes") * 10) / 10).alias("actual_minutes"),
                     (F.rint(F.expm1("prediction") * 10) / 10).alias("predicted_minutes"))
 
 
 def _closure(spark, sf):
-    tr, te = _split(spark, sf)
-    model, iso = MD.closure_model(tr)
-    return MD.score_closure(model, iso, te), model
+    return MD.score_closure(*closure(spark, sf), _split(spark, sf)[1])
 
 
 @register("closure_model")
 def closure_model(spark, sf):
-    p, _ = _closure(spark, sf)
+    p = _closure(spark, sf)
     roc = M.roc_auc(p, "road_closure_binary", "closure_prob").select("roc_auc")
     ap = M.average_precision(p, "road_closure_binary", "closure_prob")
     base_rate = p.agg(F.avg("road_closure_binary").alias("base_rate"))
@@ -289,54 +314,53 @@ def closure_model(spark, sf):
 @register("closure_calibrate")
 def closure_calibrate(spark, sf):
     """Calibration table: mean calibrated probability vs observed rate per raw-score decile."""
-    p, _ = _closure(spark, sf)
-    return (p.withColumn("bin", F.least(F.floor(F.col("raw_score") * 10), F.lit(9)).cast("int"))
+    return (_closure(spark, sf).withColumn("bin", F.least(F.floor(F.col("raw_score") * 10), F.lit(9)).cast("int"))
              .groupBy("bin").agg(F.avg("closure_prob").alias("mean_calibrated"),
                                  F.avg("road_closure_binary").alias("observed_rate"), F.count(F.lit(1)).alias("n")))
 
 
 @register("closure_walk_forward")
 def closure_walk_forward(spark, sf):
-    wf = MD.walk_forward(frame(spark, sf), 5)
-    return wf.agg(F.count(F.lit(1)).alias("n_folds"), F.avg("roc_auc").alias("roc_auc_mean"),
-                  F.stddev_pop("roc_auc").alias("roc_auc_std"), F.avg("pr_auc").alias("pr_auc_mean"))
+    return walk_forward_scores(spark, sf).agg(
+        F.count(F.lit(1)).alias("n_folds"), F.avg("roc_auc").alias("roc_auc_mean"),
+        F.stddev_pop("roc_auc").alias("roc_auc_std"), F.avg("pr_auc").alias("pr_auc_mean"))
 
 
 @register("feature_importance")
 def feature_importance(spark, sf):
-    tr, _ = _split(spark, sf)
-    return MD.feature_importance(MD.severity_model(tr), MD.CLF_FEATURES)
+    """Impurity and permutation importance of the severity model's inputs."""
+    m = severity(spark, sf)
+    loss = MD.permutation_importance(m, _split(spark, sf)[1], MD.CLF_FEATURES, "severity_label")
+    return MD.feature_importance(m, MD.CLF_FEATURES).join(loss, "feature", "left")
 
 
 @register("score_batch")
 def score_batch(spark, sf):
-    """Score the active incidents with all three models."""
-    tr, te = _split(spark, sf)
-    sev, dur = MD.severity_model(tr), MD.duration_model(tr)
-    clo, iso = MD.closure_model(tr)
+    """Score the active incidents with all three stored models."""
     act = frame(spark, sf).filter(F.col("status") == "active")
-    s = MD.score_batch(sev, dur, clo, iso, act)
+    s = MD.score_batch(severity(spark, sf), duration(spark, sf), *closure(spark, sf), act)
     return s.select("id", "predicted_severity", "predicted_minutes", "closure_prob")
 
 
 @register("quality_gate")
 def quality_gate(spark, sf):
     tr, te = _split(spark, sf)
-    sev = MD.severity_model(tr).transform(te).select("severity_label", "prediction")
-    sm = M.multiclass_metrics(sev, "severity_label", "prediction").select("accuracy", "macro_f1").limit(1)
+    sm = severity_model(spark, sf).select("accuracy", "macro_f1").limit(1)
     maj = tr.groupBy("severity_label").count().orderBy(F.desc("count"), "severity_label").limit(1) \
         .select(F.col("severity_label").alias("__maj"))
     base_acc = te.crossJoin(maj).agg(F.avg((F.col("severity_label") == F.col("__maj")).cast("double")).alias("__b"))
-    p, _ = _closure(spark, sf)
+    p = _closure(spark, sf)
     roc = M.roc_auc(p, "road_closure_binary", "closure_prob").select("roc_auc")
     ap = M.average_precision(p, "road_closure_binary", "closure_prob")
     br = p.agg(F.avg("road_closure_binary").alias("__br"))
-    wf = MD.walk_forward(frame(spark, sf), 5).agg(F.avg("roc_auc").alias("wf_roc_auc"))
+    wf = walk_forward_scores(spark, sf).agg(F.avg("roc_auc").alias("wf_roc_auc"))
     dm = duration_model(spark, sf).select("mae", "baseline_mae")
+    road = all(f in cols for f in ("road_class_rank", "lane_count") for cols in (MD.CLF_FEATURES, MD.CLOSURE_FEATURES))
     row = (sm.crossJoin(base_acc).crossJoin(roc).crossJoin(ap).crossJoin(br).crossJoin(wf).crossJoin(dm)
              .select(F.col("roc_auc").alias("closure_roc_auc"),
                      (F.col("average_precision") - F.col("__br")).alias("closure_pr_lift"),
                      "wf_roc_auc", (F.col("accuracy") - F.col("__b")).alias("severity_lift"),
                      F.col("macro_f1").alias("severity_macro_f1"),
-                     (F.col("baseline_mae") - F.col("mae")).alias("duration_lift")))
+                     (F.col("baseline_mae") - F.col("mae")).alias("duration_lift"),
+                     F.lit(float(road)).alias("road_features")))
     return MD.quality_gate(row)

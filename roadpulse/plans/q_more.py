@@ -182,20 +182,12 @@ def stream_divert(spark, sf):
 
 @register("train_all")
 def train_all(spark, sf):
-    """Fit the three models and report their hold-out metrics in one row per model."""
+    """The three stored models' hold-out metrics, one row per model."""
     from ..operators import metrics as M
-    from ..operators import models as MD
-    from .q_models import _split
-    tr, te = _split(spark, sf)
-    sev = MD.severity_model(tr).transform(te)
-    s = M.multiclass_metrics(sev.select("severity_label", "prediction"), "severity_label", "prediction") \
-        .agg(F.first("accuracy").alias("value")).select(F.lit("severity_accuracy").alias("metric"), "value")
-    dur = MD.duration_model(tr).transform(te.filter(F.col("duration_minutes").isNotNull()
-                                                    & (F.col("duration_minutes") <= 1440)))
-    d = M.regression_metrics(dur.withColumn("p", F.expm1("prediction")), "duration_minutes", "p") \
-        .select(F.lit("duration_mae").alias("metric"), F.col("mae").alias("value"))
-    clo, iso = MD.closure_model(tr)
-    c = M.roc_auc(MD.score_closure(clo, iso, te), "road_closure_binary", "closure_prob") \
+    from . import q_models as Q
+    s = Q.severity_model(spark, sf).agg(F.first("accuracy").alias("value")).select(F.lit("severity_accuracy").alias("metric"), "value")
+    d = Q.duration_model(spark, sf).select(F.lit("duration_mae").alias("metric"), F.col("mae").alias("value"))
+    c = M.roc_auc(Q._closure(spark, sf), "road_closure_binary", "closure_prob") \
         .select(F.lit("closure_roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
     return s.unionByName(d).unionByName(c)
 

@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from .common import bounded_sample
 
 TRAIN_DOCS = 20_000
-MAX_WORDS = 40_000
-MAX_GRAMS = 20_000        # for each length
+MAX_WORDS = 30_000
+MAX_GRAMS = 10_000        # for each length
 MAX_LANGS = 200
 LENGTHS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
@@ -44,11 +44,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def _top(counts: DataFrame, key: str, n: int) -> list:
-    """Counts by language of the n most frequent keys."""
-    total = counts.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(
-        F.collect_list(F.struct("lang", "n"))).alias("by"))
-    return total.filter("total > 1").orderBy(F.desc("total"), key).limit(n).select(key, "by").collect()
+def _top(counts: DataFrame, key: str, langs: list[str], n: int) -> tuple[list[str], np.ndarray]:
+    """The n most frequent keys and their counts by language; they reach the driver as Arrow columns."""
+    by = counts.groupBy(key).agg(F.sum("n").alias("total"), *[
+        F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)])
+    got = by.filter("total > 1").orderBy(F.desc("total"), key).limit(n).drop("total").toArrow()
+    return got.column(0).to_pylist(), np.array([c.to_numpy() for c in got.columns[1:]], float).T.reshape(len(got), len(langs))
 
 
 def train(docs: DataFrame) -> dict:
@@ -62,21 +63,20 @@ def train(docs: DataFrame) -> dict:
         totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n"))
                   .orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
         langs = sorted(totals)
-        known = [("w", _top(counts, "w", MAX_WORDS))]
+        known = [("w", _top(counts, "w", langs, MAX_WORDS))]
         marked = F.concat(F.lit("^"), "w", F.lit("$"))
         for k in LENGTHS:
             grams = F.transform(F.sequence(F.lit(1), F.char_length(marked) - k + 1),
                                 lambda i: F.substr(marked, i, F.lit(k)))  # noqa: B023
             grams = F.when(F.char_length(marked) >= k, grams)
             g = counts.select("lang", "n", F.explode(grams).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
-            known.append((k, _top(g, "g", MAX_GRAMS)))
+            known.append((k, _top(g, "g", langs, MAX_GRAMS)))
     finally:
         counts.unpersist()
     tables = {}
-    for k, rows in known:
-        c = np.array([[r[1].get(x, 0) for x in langs] for r in rows], float).reshape(len(rows), len(langs))
-        total = c.sum(axis=0) + SMOOTH * max(len(rows), 1)
-        tables[k] = ([r[0] for r in rows], np.log((c + SMOOTH) / total).astype(np.float32))
+    for k, (names, c) in known:
+        total = c.sum(axis=0) + SMOOTH * max(len(names), 1)
+        tables[k] = (names, np.log((c + SMOOTH) / total).astype(np.float32))
     return {"langs": langs, "tables": tables}
 
 

@@ -86,7 +86,7 @@ def road_join(incidents: DataFrame, roads: DataFrame, max_m: float = vocab.ROAD_
         cand = (q.join(r, ["cy", "cx"])
                  .withColumn("d", F.sqrt(F.pow(F.col("iy") - F.col("ry"), 2) + F.pow(F.col("ix") - F.col("rx"), 2))))
         best = cand.groupBy("id").agg(F.min_by(F.struct("d", "way_id", "seq", "highway", "road_class_rank", "lanes"),
-                                               F.struct("d", "way_id", "seq")).alias("b"))
+                                               F.struct(F.round("d", 6), "way_id", "seq")).alias("b"))
         ok = cut_lineage(best.filter(F.col("b.d") <= cell).select("id", "b"))
         found = ok if found is None else found.unionByName(ok)
         pending = cut_lineage(pending.join(ok.select("id"), "id", "left_anti"))

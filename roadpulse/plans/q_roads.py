@@ -25,7 +25,7 @@ def network(spark, sf):
     inc = base.incidents(spark, sf).dropna(subset=["latitude", "longitude"])
     box = inc.agg((F.min("latitude") - 0.01).alias("s"), (F.max("latitude") + 0.01).alias("n"),
                   (F.min("longitude") - 0.01).alias("w"), (F.max("longitude") + 0.01).alias("e"))
-    pts = fixtures.road_points(spark)
+    pts = fixtures.road_points(spark, sf)
     lat, lon = F.col("lat_e5") / 100000.0, F.col("lon_e5") / 100000.0
     return (pts.crossJoin(F.broadcast(box))
                .filter(lat.between(F.col("s"), F.col("n")) & lon.between(F.col("w"), F.col("e")))
@@ -41,7 +41,7 @@ _RANK_SQL = f"CAST(coalesce({case_map('highway', vocab.ROAD_CLASS_RANK)}, 0) AS
 NET = [
     "bx AS (SELECT min(latitude) - 0.01 AS s, max(latitude) + 0.01 AS n, min(longitude) - 0.01 AS w, "
     "max(longitude) + 0.01 AS e FROM clean WHERE latitude IS NOT NULL AND longitude IS NOT NULL)",
-    f"rp AS (SELECT r.* FROM ({fixtures.road_points_sql('duckdb')}) r, bx "
+    f"rp AS (SELECT r.* FROM ({fixtures.road_points_sql()}) r, bx "
     "WHERE lat_e5 / 100000.0 BETWEEN s AND n AND lon_e5 / 100000.0 BETWEEN w AND e)",
     f"rpp AS (SELECT way_id, seq, highway, {_RANK_SQL} AS road_class_rank, {_LANES_SQL} AS lanes, "
     "lat_e5 / 100000.0 AS lat, lon_e5 / 100000.0 AS lon FROM rp)",
@@ -58,12 +58,12 @@ _JOIN = NET + [
     "rqc AS (SELECT rq.*, floor(ry / 120.0) + dy AS cy, floor(rx / 120.0) + dx AS cx FROM rq, "
     "(SELECT unnest([-1, 0, 1]) AS dy) a, (SELECT unnest([-1, 0, 1]) AS dx) b)",
     "nb AS (SELECT id, arg_min({'d': d, 'way_id': way_id, 'seq': seq, 'highway': highway, "
-    "'road_class_rank': road_class_rank, 'lanes': lanes}, (d, way_id, seq)) AS b FROM ("
+    "'road_class_rank': road_class_rank, 'lanes': lanes}, (round(d, 6), way_id, seq)) AS b FROM ("
     "SELECT ipc.id, rqc.*, sqrt(pow(iy - ry, 2) + pow(ix - rx, 2)) AS d FROM ipc JOIN rqc USING (cy, cx)) t "
     "GROUP BY id)",
     "nb_ok AS (SELECT * FROM nb WHERE b.d <= 120.0)",
     "far AS (SELECT id, arg_min({'d': d, 'way_id': way_id, 'seq': seq, 'highway': highway, "
-    "'road_class_rank': road_class_rank, 'lanes': lanes}, (d, way_id, seq)) AS b FROM ("
+    "'road_class_rank': road_class_rank, 'lanes': lanes}, (round(d, 6), way_id, seq)) AS b FROM ("
     "SELECT ip.id, rq.*, sqrt(pow(iy - ry, 2) + pow(ix - rx, 2)) AS d FROM ip JOIN rq ON true "
     "WHERE ip.id NOT IN (SELECT id FROM nb_ok)) t GROUP BY id)",
     "nn AS (SELECT * FROM nb_ok UNION ALL SELECT * FROM far)",

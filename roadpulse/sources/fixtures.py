@@ -122,23 +122,22 @@ FROM (
 """
 
 
-def road_points_sql(dialect: str, events: str | None = None) -> str:
-    """Street grid through the sites (FIXTURES 2.2): one row per way point.
+def road_points_sql(orders: str = "orders", lineitem: str = "lineitem") -> str:
+    """Street segments through the sites (one SQL text for Spark and DuckDB): one row per way point.
 
-    41 east-west ways (0..40) and 43 north-south ways (41..83) at 0.01 degree
-    spacing, with points every 0.001 degree.
+    An order is a way and its line numbers are the way's points, 0.001 degree
+    apart.  Even orders run east along the lines of latitude of the site grid, odd
+    ones north along its lines of longitude, so the network grows with the tables.
     """
-    rng = "range(84)" if dialect == "spark" else "range(84) t(id)"
-    rng2 = "range(421)" if dialect == "spark" else "range(421) t(id)"
     return f"""
 SELECT CAST(w AS BIGINT) AS way_id, CAST(q AS BIGINT) AS seq,
- CAST(CASE WHEN w < 41 THEN 1280000 + w*1000 ELSE 1280000 + q*100 END AS BIGINT) AS lat_e5,
- CAST(CASE WHEN w < 41 THEN 7740000 + q*100 ELSE 7740000 + (w-41)*1000 END AS BIGINT) AS lon_e5,
+ CAST(CASE WHEN w % 2 = 0 THEN 1280000 + (c*7 % 41)*1000 ELSE 1280000 + (w*131 % 394)*100 + q*100 END AS BIGINT) AS lat_e5,
+ CAST(CASE WHEN w % 2 = 0 THEN 7740000 + (w*577 % 414)*100 + q*100 ELSE 7740000 + (c*11 % 43)*1000 END AS BIGINT) AS lon_e5,
  CASE w % 7 WHEN 0 THEN 'trunk' WHEN 1 THEN 'tertiary' WHEN 2 THEN 'secondary' WHEN 3 THEN 'primary'
             WHEN 4 THEN 'tertiary' WHEN 5 THEN 'motorway_link' ELSE 'secondary' END AS highway,
  CASE w % 5 WHEN 0 THEN '2;3' WHEN 1 THEN '4' WHEN 2 THEN NULL WHEN 3 THEN 'two' ELSE '2,2' END AS lanes_raw
-FROM (SELECT id AS w FROM {rng}) ws CROSS JOIN (SELECT id AS q FROM {rng2}) qs
-WHERE (w < 41 AND q <= 420) OR (w >= 41 AND q <= 400)
+FROM (SELECT DISTINCT o_orderkey AS w, o_custkey AS c, l_linenumber AS q
+      FROM {lineitem} l JOIN {orders} o ON l_orderkey = o_orderkey) p
 """
 
 
@@ -154,9 +153,11 @@ def incident_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(incident_raw_sql("spark", "{events}"), events=events)
 
 
-def road_points(spark: SparkSession) -> DataFrame:
-    """Street-grid way points (a fixed network the fixture sites sit on)."""
-    return spark.sql(road_points_sql("spark"))
+def road_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Way points derived from the driver's ``orders`` and ``lineitem`` tables."""
+    return spark.sql(road_points_sql("{orders}", "{lineitem}"),
+                     orders=read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]),
+                     lineitem=read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"]))
 
 
 def closure_score_sql(events: str) -> str:

@@ -83,7 +83,7 @@ def test_holdout_fixture_numbers(spark):
 def test_road_join_fixture_match_count(spark):
     from roadpulse.plans.q_roads import joined
     j = joined(spark, SF001)
-    assert j.filter(F.col("road_dist_m") <= 120).count() == 9797
+    assert j.filter(F.col("road_dist_m") <= 120).count() == 9475
     assert j.filter(F.col("road_dist_m").isNull()).count() == 0
 
 

@@ -94,3 +94,46 @@ def op7_mixing(spark, sf_dir):
     """Per document: its cell, calibrated probability and whether it is sampled."""
     return mixing.assign(documents(spark, sf_dir)).select(
         "doc_id", "m_source", "m_lang", "m_topic", "m_tokens", "weight", "probability", "sampled")
+
+
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLES["op1_jaccard_join"] = """
+WITH RECURSIVE w AS (SELECT doc_id, """ + _WORDS.format(
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + """ AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0) t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.k = q.k AND p.doc_id <> q.doc_id
+      GROUP BY 1, 2) x JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)"""
+
+ORACLES["op4_substring_dedup"] = """
+WITH w AS (SELECT doc_id, """ + _WORDS.format("coalesce(text, '')") + """ AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13) t),
+m AS (SELECT k, min(doc_id) AS low FROM x GROUP BY k),
+g AS (SELECT DISTINCT doc_id, i + j AS p FROM x JOIN m USING (k), range(13) r(j) WHERE low < doc_id),
+p AS (SELECT doc_id, ws[p] AS word, p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w) t),
+k AS (SELECT p.doc_id, count(*) FILTER (WHERE g.p IS NOT NULL) AS gone, string_agg(word, ' ' ORDER BY p.p) FILTER (WHERE g.p IS NULL) AS kept
+      FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.p = g.p GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)"""
+
+ORACLES["op2_suffix_dedup"] = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, x, length(x) // 2 AS n FROM h),
+s AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM b WHERE n >= 50) t),
+m AS (SELECT k, min(doc_id) AS low FROM s GROUP BY k),
+t AS (SELECT doc_id, i FROM s JOIN m USING (k) WHERE low < doc_id),
+u AS (SELECT doc_id, i, i > lag(i) OVER v + 50 OR lag(i) OVER v IS NULL AS fresh FROM t WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, grp, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS grp
+      FROM u) y GROUP BY 1, 2),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM r),
+f AS (SELECT k.doc_id, count(*) AS n_spans, sum(z - a) AS gone, max(z) AS last, string_agg(substr(x, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS head
+      FROM k JOIN b ON b.doc_id = k.doc_id GROUP BY 1)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN f USING (doc_id)"""

@@ -34,7 +34,7 @@ MAX_GRAMS = 10_000        # for each length
 MAX_LANGS = 200
 LENGTHS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
-MEMO = 200_000            # unseen words remembered by a task
+MEMO = 50_000             # unseen words remembered by a task
 SURE = 8                  # words after which the score rests on the average word
 LETTERS = r"[^\p{L}\p{M}]+"
 WORD = re.compile(r"[^\W\d_]+")
@@ -86,6 +86,7 @@ class Scorer(dict):
     def __init__(self, model: dict):
         super().__init__()
         words, known = model["tables"]["w"]
+        self.words = words
         self.update(zip(words, range(len(words))))
         self.n_known = len(words)
         self.n_langs = len(model["langs"])
@@ -118,9 +119,10 @@ class Scorer(dict):
         return out
 
     def trim(self) -> None:
+        """Forget the unseen words once there are more than MEMO."""
         if len(self.new) > MEMO:
-            for w in list(self)[self.n_known:]:
-                del self[w]
+            self.clear()
+            self.update(zip(self.words, range(self.n_known)))
             self.new = []
 
 
@@ -144,8 +146,10 @@ def annotate(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         scorer, langs = Scorer(model), model["langs"]
         for b in batches:
-            pred = [predict(t.as_py(), scorer, langs) for t in b.column("text")]
-            scorer.trim()
+            pred = []
+            for t in b.column("text"):
+                pred.append(predict(t.as_py(), scorer, langs))
+                scorer.trim()
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([p[0] for p in pred], pa.string()), pa.array([p[1] for p in pred], pa.float64())],
                 [*b.schema.names, "lang_pred", "score"])

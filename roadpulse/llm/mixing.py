@@ -23,6 +23,8 @@ ignored and the others are normalised; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,28 +74,30 @@ def targets(cells: DataFrame, dim: str, given: dict[str, float] | None = None) -
 
 
 def rake(cells: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
-    """Adds ``weight`` to (m_source, m_lang, m_topic, tokens): shares that meet the targets."""
+    """Adds ``weight`` to (m_source, m_lang, m_topic, tokens): shares that meet the targets.
+
+    The targets become columns of the cells, so a round is a sum and a merge join
+    per marginal, and its error one aggregation.
+    """
     total = cells.agg(F.sum("tokens").alias("all"))
-    c = staged(cells.join(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("all")), "mix-cells")
-    goals = {d: staged(g, f"mix-{d}") for d, g in goals.items()}
+    c = cells.join(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("all")).drop("all")
+    for d, g in goals.items():
+        c = c.join(g.withColumnRenamed("target", f"goal_{d}").hint("merge"), d)
+    c = staged(c, "mix-cells")
     before = None
     while True:
-        error = None
-        for d, g in goals.items():
+        for d in goals:
             have = c.groupBy(d).agg(F.sum("weight").alias("have"))
-            ratio = have.join(g, d).select(d, F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(0.0).alias("ratio"))
-            c = c.join(ratio, d).withColumn("weight", F.col("weight") * F.col("ratio")).drop("ratio")
-            error = ratio if error is None else error
+            ratio = F.when(F.col("have") > 0, F.col(f"goal_{d}") / F.col("have")).otherwise(0.0)
+            c = c.join(have.hint("merge"), d).withColumn("weight", F.col("weight") * ratio).drop("have")
         c = staged(c, "mix-round")
         # after the last marginal was met, the first ones tell how far the fit is off
-        off = 0.0
-        for d, g in goals.items():
-            have = c.groupBy(d).agg(F.sum("weight").alias("have"))
-            worst = have.join(g, d).filter("target > 0").agg(
-                F.max(F.abs(F.col("have") - F.col("target")) / F.col("target"))).first()[0]
-            off = max(off, worst or 0.0)
+        sums = [c.groupBy(d).agg(F.sum("weight").alias("have"), F.first(f"goal_{d}").alias("goal")).select("have", "goal")
+                for d in goals]
+        off = reduce(DataFrame.union, sums).filter("goal > 0").agg(
+            F.max(F.abs(F.col("have") - F.col("goal")) / F.col("goal"))).first()[0] or 0.0
         if off < TOLERANCE or (before is not None and off >= before):   # met, or cannot come nearer
-            return c
+            return c.drop(*[f"goal_{d}" for d in goals])
         before = off
 
 

@@ -7,8 +7,11 @@ spaced address, a phone number without its plus, a card number with dots).
 
 The labelled table: windows of words around digits, ``@`` and ``+`` of a bounded
 sample of documents, labelled by the base patterns, and for each labelled span a
-rewritten copy (``VARIANTS``) with the same labels.  Training is full-batch
-gradient ascent in numpy on at most ``TRAIN_WINDOWS`` windows.  Decoding is
+rewritten copy (``VARIANTS``) with the same labels.  Equal windows are one row with
+their number.  The rows are bounded by a hash of the window: about ``TRAIN_WINDOWS``
+without a span and ``SPAN_WINDOWS`` of each combination of kinds, so that neither
+what sorts first nor what is frequent crowds the others out.  Training is full-batch
+gradient ascent in numpy, each row weighted by its number.  Decoding is
 Viterbi in numpy over batches of windows; words further than ``CONTEXT`` words
 from a digit, ``@`` or ``+`` are outside every window and carry no label.
 
@@ -28,6 +31,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import bounded_sample
 
@@ -40,7 +44,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TRAIN_DOCS = 6000
-TRAIN_WINDOWS = 3000
+TRAIN_WINDOWS = 3000        # distinct windows without a labelled span
+SPAN_WINDOWS = 1000         # distinct windows of each combination of labelled kinds
 CONTEXT = 2
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 EPOCHS, RATE, RIDGE = 120, 0.5, 1e-3
@@ -191,21 +196,23 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(samples: list[tuple[list[str], list[int]]]) -> dict:
-    """Weights that maximise the conditional likelihood of the labelled windows (with a ridge)."""
+def train(samples: list[tuple[list[str], list[int], int]]) -> dict:
+    """Weights that maximise the conditional likelihood of the labelled windows (shapes, labels, number), with a ridge."""
     n_l = len(LABELS)
-    index = {f: i for i, f in enumerate(sorted({f for s, _ in samples for x in features(s) for f in x}))}
+    index = {f: i for i, f in enumerate(sorted({f for s, _, _ in samples for x in features(s) for f in x}))}
     w, tr = np.zeros((len(index) + 1, n_l)), np.zeros((n_l, n_l))
-    if not any(any(y) for _, y in samples):
+    if not any(any(y) for _, y, _ in samples):
         return {"index": {}, "w": np.zeros((1, n_l)), "tr": tr, "empty": True}
     groups: dict[int, list] = {}
-    for s, y in samples:
-        groups.setdefault(len(s), []).append((s, y))
-    data = [(_batch([s for s, _ in g], index)[0], np.array([y for _, y in g])) for _, g in sorted(groups.items())]
+    for s, y, c in samples:
+        groups.setdefault(len(s), []).append((s, y, c))
+    data = [(_batch([s for s, _, _ in g], index)[0], np.array([y for _, y, _ in g]), np.array([c for _, _, c in g], float))
+            for _, g in sorted(groups.items())]
+    total = sum(c for _, _, c in samples)
     gw, gt = np.zeros_like(w), np.zeros_like(tr)
     for _ in range(EPOCHS):
-        dw, dt = -RIDGE * len(samples) * w, -RIDGE * len(samples) * tr
-        for ids, y in data:
+        dw, dt = -RIDGE * total * w, -RIDGE * total * tr
+        for ids, y, c in data:
             n, t, _ = ids.shape
             em = w[ids].sum(axis=2)
             fwd, bwd = [em[:, 0]], [np.zeros((n, n_l))]
@@ -218,11 +225,12 @@ def train(samples: list[tuple[list[str], list[int]]]) -> dict:
             for i in range(t):
                 p = -np.exp(fwd[i] + bwd[i] - z[:, None])
                 p[np.arange(n), y[:, i]] += 1
+                p *= c[:, None]
                 np.add.at(dw, ids[:, i].ravel(), np.repeat(p, ids.shape[2], axis=0))
                 if i:
                     q = np.exp(fwd[i - 1][:, :, None] + tr + (em[:, i] + bwd[i])[:, None, :] - z[:, None, None])
-                    dt -= q.sum(axis=0)
-                    np.add.at(dt, (y[:, i - 1], y[:, i]), 1)
+                    dt -= (q * c[:, None, None]).sum(axis=0)
+                    np.add.at(dt, (y[:, i - 1], y[:, i]), c)
         dw[-1] = 0
         gw += dw * dw
         gt += dt * dt
@@ -304,18 +312,30 @@ SCHEMA = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
           "n_added long")
 
 
-def labelled_table(docs: DataFrame) -> list[tuple[list[str], list[int]]]:
-    """The small labelled table: windows of a bounded sample of documents, at most TRAIN_WINDOWS."""
+def labelled_table(docs: DataFrame) -> list[tuple[list[str], list[int], int]]:
+    """The small labelled table: distinct windows of a bounded sample of documents and their numbers."""
     def run(batches):
         for b in batches:
             got = [x for t in b.column("text").to_pylist() for x in labelled_windows(t or "")]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.list_(pa.string())),
                                               pa.array([x[1] for x in got], pa.list_(pa.int32()))], ["shapes", "labels"])
 
+    # the kinds of a window as bits; 0 without a labelled span
+    kinds = F.aggregate(F.array_distinct(F.expr("transform(filter(labels, x -> x > 0), x -> cast(power(2, (x - 1) div 2) as int))")),
+                        F.lit(0), lambda a, x: a + x)
     rows = (bounded_sample(docs.select("doc_id", "text"), TRAIN_DOCS).select("text")
-            .mapInArrow(run, "shapes array<string>, labels array<int>").orderBy("shapes", "labels")
-            .limit(TRAIN_WINDOWS).collect())
-    return [(list(r["shapes"]), list(r["labels"])) for r in rows]
+            .mapInArrow(run, "shapes array<string>, labels array<int>").groupBy("shapes", "labels").agg(F.count("*").alias("n"))
+            .withColumn("kinds", kinds).cache())
+    try:
+        share = F.lit(0)
+        for r in rows.groupBy("kinds").agg(F.count("*").alias("n")).collect():
+            bound = SPAN_WINDOWS if r["kinds"] else TRAIN_WINDOWS
+            share = F.when(F.col("kinds") == r["kinds"], min(1 << 30, -(-(bound << 30) // r["n"]))).otherwise(share)
+        h = F.pmod(F.xxhash64(F.lit("window"), "shapes", "labels"), F.lit(1 << 30))
+        got = rows.filter(h < share).collect()
+    finally:
+        rows.unpersist()
+    return sorted((list(r["shapes"]), list(r["labels"]), r["n"]) for r in got)
 
 
 def find(docs: DataFrame, model: dict) -> DataFrame:

@@ -10,9 +10,13 @@ tokens raised to ``TEMPER`` and normalised, which lifts small sources and
 languages.  The topic of a document is a coarse class of its text form.
 
 Scale: one pass aggregates the corpus to cells (partial sums, so a hot source is
-no hot task); the rounds run over the cell table only, as joins and sums, and end
-when the largest relative error of a marginal is below ``TOLERANCE``.  The weights come
-back to the documents by a join on the cell; Spark broadcasts the cell table only
+no hot task); the rounds run over the cell table only: up to ``DRIVER_CELLS`` cells as
+arrays in the driver, beyond as joins and sums.  They end when the largest relative
+error of a marginal is below ``TOLERANCE``, or when a round moves less than ``STILL``
+of the weight: then no weights over the present cells meet all targets, and those
+missed are logged and given by ``missed``.  The error may rise on the way (with three
+marginals it is not monotone), so a round that does not lower it ends nothing.  The
+weights come back to the documents by a join on the cell; Spark broadcasts the cell table only
 under its size threshold and splits hot cells otherwise.
 
 Edge cases: nulls in source, lang or text are values of their own (``?``, ``?``,
@@ -23,8 +27,11 @@ ignored and the others are normalised; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +39,12 @@ from .common import SPACES, staged
 
 TEMPER = 0.7
 TOLERANCE = 1e-4
+STILL = 1e-12              # share of the weight that a round moves when the fit stands still
+DRIVER_CELLS = 1 << 18     # cells that the driver fits as arrays
 KEEP = 0.6                 # share of all tokens to sample
 DIMS = ("m_source", "m_lang", "m_topic")
 GRAIN = 1 << 40
+log = logging.getLogger(__name__)
 
 
 def topic(text: Column) -> Column:
@@ -73,32 +83,76 @@ def targets(cells: DataFrame, dim: str, given: dict[str, float] | None = None) -
     return seen.join(F.broadcast(total)).select(dim, F.when(F.col("all") > 0, F.col("s") / F.col("all")).otherwise(0.0).alias("target"))
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
-    """Adds ``weight`` to (m_source, m_lang, m_topic, tokens): shares that meet the targets.
+def ended(off: float, moved: float) -> bool:
+    """Whether the rounds are over: the targets are met, or the weights stand still."""
+    return off < TOLERANCE or moved < STILL
 
-    The targets become columns of the cells, so a round is a sum and a merge join
-    per marginal, and its error one aggregation.
-    """
-    total = cells.agg(F.sum("tokens").alias("all"))
-    c = cells.join(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("all")).drop("all")
-    for d, g in goals.items():
-        c = c.join(g.withColumnRenamed("target", f"goal_{d}").hint("merge"), d)
-    c = staged(c, "mix-cells")
-    before = None
+
+def rake_arrays(weight: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The rounds over arrays; a side is (number of each cell's value, target of each value)."""
+    while len(weight):
+        before = weight
+        for at, goal in sides:
+            have = np.bincount(at, weight, len(goal))
+            weight = weight * np.divide(goal, have, out=np.zeros(len(goal)), where=have > 0)[at]
+        # after the last marginal was met, the first ones tell how far the fit is off
+        off = max(np.max(np.abs(np.bincount(at, weight, len(goal)) - goal)[goal > 0] / goal[goal > 0], initial=0.0)
+                  for at, goal in sides)
+        if ended(off, np.abs(weight - before).sum()):
+            break
+    return weight
+
+
+def rake_joins(c: DataFrame, dims: list[str]) -> DataFrame:
+    """The rounds over a table with the targets as columns: a sum and a merge join per marginal."""
     while True:
-        for d in goals:
+        c = c.withColumn("before", F.col("weight"))
+        for d in dims:
             have = c.groupBy(d).agg(F.sum("weight").alias("have"))
             ratio = F.when(F.col("have") > 0, F.col(f"goal_{d}") / F.col("have")).otherwise(0.0)
             c = c.join(have.hint("merge"), d).withColumn("weight", F.col("weight") * ratio).drop("have")
         c = staged(c, "mix-round")
-        # after the last marginal was met, the first ones tell how far the fit is off
+        moved = c.agg(F.sum(F.abs(F.col("weight") - F.col("before")))).first()[0] or 0.0
         sums = [c.groupBy(d).agg(F.sum("weight").alias("have"), F.first(f"goal_{d}").alias("goal")).select("have", "goal")
-                for d in goals]
+                for d in dims]
         off = reduce(DataFrame.union, sums).filter("goal > 0").agg(
             F.max(F.abs(F.col("have") - F.col("goal")) / F.col("goal"))).first()[0] or 0.0
-        if off < TOLERANCE or (before is not None and off >= before):   # met, or cannot come nearer
-            return c.drop(*[f"goal_{d}" for d in goals])
-        before = off
+        c = c.drop("before")
+        if ended(off, moved):
+            return c
+
+
+def missed(cells: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """(dim, value, target, reached) of the targets that the raked weights do not meet."""
+    out = [cells.groupBy(d).agg(F.sum("weight").alias("reached")).join(g, d)
+           .select(F.lit(d).alias("dim"), F.col(d).alias("value"), "target", "reached") for d, g in goals.items()]
+    return reduce(DataFrame.union, out).filter(F.abs(F.col("reached") - F.col("target")) >= F.col("target") * TOLERANCE).filter("target > 0")
+
+
+def rake(cells: DataFrame, goals: dict[str, DataFrame], driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """Adds ``weight`` to (m_source, m_lang, m_topic, tokens): shares that meet the targets."""
+    total = cells.agg(F.sum("tokens").alias("all"))
+    c = cells.join(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("all")).drop("all")
+    for d, g in goals.items():
+        c = c.join(g.withColumnRenamed("target", f"goal_{d}").hint("merge"), d)
+    c = staged(c, "mix-cells")
+    if c.count() <= driver_cells:
+        t = c.orderBy(*goals).toArrow()
+        sides = []
+        for d in goals:
+            at = t[d].combine_chunks().dictionary_encode()
+            goal = np.zeros(len(at.dictionary))
+            goal[at.indices.to_numpy()] = t[f"goal_{d}"].to_numpy()
+            sides.append((at.indices.to_numpy(), goal))
+        fit = pa.array(rake_arrays(t["weight"].to_numpy(), sides), pa.float64())
+        t = t.set_column(t.schema.get_field_index("weight"), "weight", fit).select([x for x in c.columns if not x.startswith("goal_")])
+        c = staged(c.sparkSession.createDataFrame(t), "mix-fit")
+    else:
+        c = rake_joins(c, list(goals)).drop(*[f"goal_{d}" for d in goals])
+    short = missed(c, goals).orderBy(F.desc(F.abs(F.col("reached") - F.col("target")) / F.col("target")), "dim", "value").limit(20).collect()
+    if short:
+        log.warning("targets not met (the worst): %s", "; ".join(f"{r.dim}={r.value}: {r.target:.6f}, reached {r.reached:.6f}" for r in short))
+    return c
 
 
 def weights(docs: DataFrame, source: dict | None = None, lang: dict | None = None, topics: dict | None = None) -> DataFrame:

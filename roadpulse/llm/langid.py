@@ -4,6 +4,12 @@ A word seen in training scores by its log frequency in each language.  An unseen
 word falls back to its character n-grams, the longest length first, and stops at
 the first length with a known n-gram.  The scores of a text's words add up.
 
+The n-grams hold the marks of a word's ends (``^``, ``$``); a mark alone is none.
+
+How much of a text the model knows is told by ``matched``, the share of its
+letters in known words, where an unseen word counts by its share of known
+n-grams of length ``EVIDENCE``.  It does not depend on the number of languages.
+
 Training is a Spark aggregation over at most about ``TRAIN_DOCS`` labelled rows;
 the model is bounded by ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams a length,
 so it may travel with the job.  Prediction is one Arrow-batched projection of the
@@ -13,7 +19,7 @@ Edge cases: null text, or text without a letter, is ``und`` with score 0; text
 without any known word or n-gram gets the first learned language with the score
 of a tie; with nothing learned every text is ``und``; an empty table gives an
 empty result; repeated rows are judged each; extra columns stay, those named like
-an output are replaced.
+an output are replaced; a text without a letter matches 0.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ MAX_WORDS = 30_000
 MAX_GRAMS = 10_000        # for each length
 MAX_LANGS = 200
 LENGTHS = (5, 4, 3, 2, 1)
+EVIDENCE = 3              # n-gram length that tells known from unknown; letter junk is full of known 2-grams
+MARK_ONLY = ("^", "$", "^$")
 SMOOTH = 0.5
 MEMO = 50_000             # unseen words remembered by a task
 SURE = 8                  # words after which the score rests on the average word
@@ -69,7 +77,8 @@ def train(docs: DataFrame) -> dict:
             grams = F.transform(F.sequence(F.lit(1), F.char_length(marked) - k + 1),
                                 lambda i: F.substr(marked, i, F.lit(k)))  # noqa: B023
             grams = F.when(F.char_length(marked) >= k, grams)
-            g = counts.select("lang", "n", F.explode(grams).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
+            g = counts.select("lang", "n", F.explode(grams).alias("g")).filter(~F.col("g").isin(*MARK_ONLY))
+            g = g.groupBy("lang", "g").agg(F.sum("n").alias("n"))
             known.append((k, _top(g, "g", langs, MAX_GRAMS)))
     finally:
         counts.unpersist()
@@ -83,7 +92,7 @@ def train(docs: DataFrame) -> dict:
 class Scorer(dict):
     """word -> row of ``scores``; unseen words are scored by backoff and remembered."""
 
-    def __init__(self, model: dict):
+    def __init__(self, model: dict, evidence: bool = True):
         super().__init__()
         words, known = model["tables"]["w"]
         self.words = words
@@ -93,6 +102,8 @@ class Scorer(dict):
         self.known = known
         self.grams = [(k, dict(zip(g, v))) for k, (g, v) in model["tables"].items() if k != "w"]
         self.new: list[np.ndarray] = []
+        self.share: list[float] = []       # known n-grams of length EVIDENCE of each unseen word
+        self.evident = dict(self.grams).get(EVIDENCE, {}) if evidence else None
         self.nothing = np.zeros(self.n_langs, np.float32)
 
     def __missing__(self, word: str) -> int:
@@ -105,12 +116,17 @@ class Scorer(dict):
                 break
         i = self.n_known + len(self.new)
         self.new.append(score)
+        if self.evident is not None:
+            own = [marked[i:i + EVIDENCE] for i in range(len(marked) - EVIDENCE + 1)]
+            self.share.append(sum(g in self.evident for g in own) / len(own))
         if len(word) <= 64:
             self[word] = i
         return i
 
-    def total(self, words: list[str]) -> np.ndarray:
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def total(self, ids: np.ndarray) -> np.ndarray:
         seen = ids[ids < self.n_known]
         out = self.known[seen].sum(axis=0, dtype=np.float64) if len(seen) else np.zeros(self.n_langs)
         far = ids[ids >= self.n_known] - self.n_known
@@ -118,40 +134,55 @@ class Scorer(dict):
             out = out + self.new[i]
         return out
 
+    def matched(self, words: list[str], ids: np.ndarray) -> float:
+        """Share of the letters in known words and n-grams."""
+        letters = np.fromiter(map(len, words), np.int64, len(words))
+        new = np.flatnonzero(ids >= self.n_known)
+        lost = sum(int(letters[i]) * (1.0 - self.share[ids[i] - self.n_known]) for i in new.tolist())
+        return float(1.0 - lost / letters.sum())
+
     def trim(self) -> None:
         """Forget the unseen words once there are more than MEMO."""
         if len(self.new) > MEMO:
             self.clear()
             self.update(zip(self.words, range(self.n_known)))
-            self.new = []
+            self.new, self.share = [], []
 
 
-def predict(text: str | None, scorer: Scorer, langs: list[str]) -> tuple[str, float]:
+def judge(text: str | None, scorer: Scorer, langs: list[str], evidence: bool = True) -> tuple[str, float, float]:
+    """(language, score, share matched); the share is 0 without ``evidence``."""
     words = WORD.findall(text.lower()) if text else []
     if not words or not langs:
-        return "und", 0.0
-    total = scorer.total(words)
+        return "und", 0.0, 0.0
+    ids = scorer.ids(words)
+    total = scorer.total(ids)
     x = total / len(words) * min(len(words), SURE)
     x = np.exp(x - x.max())
     best = int(np.argmax(x))
-    return langs[best], float(x[best] / x.sum())
+    return langs[best], float(x[best] / x.sum()), scorer.matched(words, ids) if evidence else 0.0
+
+
+def predict(text: str | None, scorer: Scorer, langs: list[str]) -> tuple[str, float]:
+    return judge(text, scorer, langs, evidence=False)[:2]
 
 
-def annotate(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` plus lang_pred and score."""
-    kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+def annotate(docs: DataFrame, model: dict, evidence: bool = False) -> DataFrame:
+    """All columns of ``docs`` plus lang_pred and score, and with ``evidence`` also matched."""
+    added = [("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64())]
+    added += [("matched", T.DoubleType(), pa.float64())] if evidence else []
+    names = [n for n, _, _ in added]
+    kept = docs.select(*[c for c in docs.columns if c not in names])
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, t) for n, t, _ in added]])
 
     def run(batches):
-        scorer, langs = Scorer(model), model["langs"]
+        scorer, langs = Scorer(model, evidence), model["langs"]
         for b in batches:
             pred = []
             for t in b.column("text"):
-                pred.append(predict(t.as_py(), scorer, langs))
+                pred.append(judge(t.as_py(), scorer, langs, evidence))
                 scorer.trim()
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([p[0] for p in pred], pa.string()), pa.array([p[1] for p in pred], pa.float64())],
-                [*b.schema.names, "lang_pred", "score"])
+                [*b.columns, *[pa.array([p[i] for p in pred], t) for i, (_, _, t) in enumerate(added)]],
+                [*b.schema.names, *names])
 
     return kept.mapInArrow(run, schema)

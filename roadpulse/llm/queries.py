@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import anchors, decontaminate, jaccard_join, langid, mixing, pii, secrets, sketch, suffix, url_filter
+from . import anchors, decontaminate, jaccard_join, langid, mixing, pieces, pii, secrets, sketch, suffix, token_align, url_filter
 from .common import documents
 
 QUERIES: dict = {}
@@ -96,6 +96,23 @@ def op7_mixing(spark, sf_dir):
         "doc_id", "m_source", "m_lang", "m_topic", "m_tokens", "weight", "probability", "sampled")
 
 
+def _vocabulary(name: str) -> str:
+    """The place of a public vocabulary file; the operators take the path as a parameter."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@_query
+def op12_sentencepiece(spark, sf_dir):
+    return pieces.round_trip(documents(spark, sf_dir), pieces.load_model(_vocabulary("piece_bpe_32k.model")))
+
+
+@_query
+def op13_token_alignment(spark, sf_dir):
+    pair = token_align.load_pair(_vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+    return token_align.align(documents(spark, sf_dir), *pair)
+
+
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES["op1_jaccard_join"] = """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import anchors, decontaminate, jaccard_join, langid, mixing, pieces, pii, secrets, sketch, suffix, token_align, url_filter
+from . import anchors, decontaminate, jaccard_join, langid, lexical_search, mixing, pieces, pii, secrets, sketch, suffix, token_align, url_filter
 from .common import documents
 
 QUERIES: dict = {}
@@ -102,6 +102,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @_query
 def op12_sentencepiece(spark, sf_dir):
     return pieces.round_trip(documents(spark, sf_dir), pieces.load_model(_vocabulary("piece_bpe_32k.model")))
@@ -154,3 +159,18 @@ f AS (SELECT k.doc_id, count(*) AS n_spans, sum(z - a) AS gone, max(z) AS last,
 SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM b LEFT JOIN f USING (doc_id)"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op11_lexical_search"] = """
+WITH q AS (SELECT row_number() OVER () AS item, item_id, """ + _TERMS.format("text") + """ AS ts FROM benchmark),
+qt AS (SELECT item, t, count(*) AS times FROM (SELECT item, unnest(ts) AS t FROM q) x GROUP BY 1, 2),
+d AS (SELECT row_number() OVER () AS r, doc_id, """ + _TERMS.format("text") + """ AS ts FROM documents),
+n AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+g AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+v AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) x WHERE t IN (SELECT t FROM qt) GROUP BY 1, 2),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM v, g GROUP BY t, n_docs),
+c AS (SELECT v.r, v.t, w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS x FROM v JOIN w USING (t) JOIN n USING (r), g),
+s AS (SELECT item, r, CAST(sum(times * x) AS BIGINT) AS score FROM qt JOIN c USING (t) GROUP BY 1, 2 HAVING sum(times * x) > 0),
+k AS (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s JOIN n USING (r))
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k JOIN q USING (item) WHERE rank <= 10"""

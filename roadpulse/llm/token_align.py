@@ -17,13 +17,15 @@ groups; within a group, A and B tokens whose bytes overlap are linked.
   space before other text; B: a run of markers behind other text), so the two sides
   of a range differ and its ends are open.
 * Shorter documents are ranges of one task.  Places that are sure for both make
-  pieces without open ends; a distinct piece is tokenized and aligned once per task.
+  pieces without open ends; a distinct piece is tokenized and aligned once per block of about 4 MB.
 * Counts of linked id pairs are exact sums over the corpus: documents are packed into
   units of about ``UNIT_BYTES`` of text, a unit tells each of its distinct pairs once, and
   gets the pairs' counts back by joins on pair and unit.  The highest count of a B id
   has a row for each id of the vocabulary at most.
 
 The vocabularies are read by the driver and sent to the tasks (at most 64 MB each).
+A's merges are run by the tiktoken library, whose order of merges is that of the ids;
+``load_pair`` checks that the file's merges have that order, the tests that the ids agree.
 
 Edge cases: texts null, empty, or that B does not give back as they were (such as texts
 that hold U+2581) have no tokens: zeros and an empty digest; very long texts are cut
@@ -39,8 +41,7 @@ import json
 import os
 import re
 from functools import reduce
-from itertools import chain
-from operator import add
+from itertools import batched, chain
 from pathlib import Path
 from typing import NamedTuple
 
@@ -51,12 +52,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, staged
-from .pieces import LONG_WORD, TABLE_WORDS, blocks, cuttable, load_model, words_of
+from .pieces import MARK, blocks, cuttable, load_model, words_of
 
 LONG_BYTES = 1 << 16
 RANGE_CHARS = 1 << 15
 FAN_IN = 16
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 8 << 20
 OTHER_SPACES = r"᠎​﻿"      # white space of some Unicode versions
 A_CUT = re.compile(rf" (?=[^\s{OTHER_SPACES}])")                          # A's tokens end before this space
 B_CUT = re.compile("(?<=[^ ▁])(?=[ ▁]+[^ ▁])")             # B's tokens end here
@@ -64,6 +65,10 @@ BOTH_CUT = re.compile(rf"(?<=[^ ▁])(?= [^\s{OTHER_SPACES}▁])")
 # texts that are not just split at their spaces: white space at the begin, behind a space or a space at the end, U+2581
 _WHITE = r"[\s\x0b\x1c-\x1f\x85\p{Z}\x{180e}\x{200b}\x{feff}]"
 NOT_PLAIN = rf"^{_WHITE}| {_WHITE}|\x{{2581}}| $|^$"
+# words that others may not follow or precede without a change to tokens
+WHITE_EDGE = rf"^{_WHITE}| $|^$"
+RUN_WORDS = 4096
+TENS = 10 ** np.arange(1, 19)
 NONE = np.zeros((2, 0), np.int64)
 
 
@@ -91,36 +96,61 @@ class Fragment(NamedTuple):
 BROKEN = Fragment(ok=False)     # of a text that B does not give back: absorbs its neighbours
 
 
-def links(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pairs of tokens that overlap, in order; both sides begin and end at the same offset.
+def both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The values of two ascending arrays that are in both."""
+    if not len(x) or not len(y):
+        return x[:0]
+    return x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x]
+
+
+def either(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distinct values of two ascending arrays."""
+    z = np.sort(np.concatenate([x, y]), kind="stable")
+    return z[np.r_[True, z[1:] != z[:-1]]] if len(z) else z
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first[i], first[i] + 1, ... (size[i] of them), for all i."""
+    ends = np.cumsum(size)
+    return np.repeat(first - np.r_[0, ends[:-1]], size) + np.arange(ends[-1] if len(size) else 0)
+
+
+def links(a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Pairs of tokens that overlap, in order; both sides begin and end at the same offset, ``ends`` are all ends.
 
     Between two neighbouring ends of either side lies one token of each, and two
     tokens overlap in exactly one such interval.
     """
-    ends = np.union1d(a[1], b[1])
     return a[0][np.searchsorted(a[1], ends)] << 32 | b[0][np.searchsorted(b[1], ends)]
 
 
-def group_texts(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The text 'a1,a2|b1;' of the groups that end at ``common``, as strings in order, and the number of strings up to each group's end."""
+def group_text(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The text 'a1,a2|b1;' of the groups that end at ``common``, and its length up to each group's end."""
+    if not len(common):
+        return b"", np.zeros(0, np.int64)
     sides = []
     for x, last in ((a, 1), (b, 2)):
         group = np.searchsorted(common, x[1])
-        ends = common[group] == x[1]
-        sides.append((2 * group + (last - 1), x[0], np.where(ends, last, 0)))
+        sides.append((2 * group + (last - 1), x[0], np.where(common[group] == x[1], last, 0)))
     key, ids, mark = (np.concatenate(v) for v in zip(*sides))
     order = np.argsort(key, kind="stable")
-    parts = list(map(add, map(str, ids[order].tolist()), map(",|;".__getitem__, mark[order].tolist())))
-    return parts, np.searchsorted(a[1], common, "right") + np.searchsorted(b[1], common, "right")
-
-
-def group_text(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> bytes:
-    return "".join(group_texts(a, b, common)[0])[:-1].encode()
+    ids, mark = ids[order], mark[order]
+    digits = np.searchsorted(TENS, ids, "right") + 1
+    stop = np.cumsum(digits + 1)
+    out = np.empty(stop[-1], np.uint8)
+    out[stop - 1] = np.frombuffer(b",|;", np.uint8)[mark]
+    for k in range(digits.max()):               # the k-th digit from the right
+        have = digits > k
+        out[stop[have] - 2 - k] = 48 + ids[have] // 10**k % 10
+    count = np.searchsorted(a[1], common, "right") + np.searchsorted(b[1], common, "right")
+    return out.tobytes(), stop[count - 1]
 
 
 def tally(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, c = np.unique(pairs, return_counts=True)
-    return u, c.astype(np.int64)
+    """Distinct pairs, ascending, and how often each occurs."""
+    k = np.sort(pairs)
+    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    return k[at], np.diff(np.r_[at, len(k)])
 
 
 def joined(*parts: bytes) -> bytes:
@@ -129,7 +159,7 @@ def joined(*parts: bytes) -> bytes:
 
 def settle(a: np.ndarray, b: np.ndarray, closed_before: bool) -> Fragment:
     """The fragment of neighbouring tokens; ``closed_before``: a common end lies right before them."""
-    common = np.intersect1d(a[1], b[1], assume_unique=True)
+    common = both(a[1], b[1])
     if not len(common):
         if not closed_before:
             return Fragment(a_prefix=a, b_prefix=b)
@@ -138,8 +168,8 @@ def settle(a: np.ndarray, b: np.ndarray, closed_before: bool) -> Fragment:
     p, q = (0, 0) if closed_before else (i[0], j[0])
     inner = common if closed_before else common[1:]
     ac, bc = a[:, p:i[1]], b[:, q:j[1]]
-    pairs, counts = tally(links(ac, bc)) if len(inner) else (Fragment().pairs, Fragment().counts)
-    return Fragment(True, False, a[:, :p], b[:, :q], group_text(ac, bc, inner) if len(inner) else b"",
+    pairs, counts = tally(links(ac, bc, either(ac[1], bc[1])))
+    return Fragment(True, False, a[:, :p], b[:, :q], group_text(ac, bc, inner)[0][:-1],
                     ac.shape[1], bc.shape[1], pairs, counts, a[:, i[1]:], b[:, j[1]:])
 
 
@@ -166,8 +196,6 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     parts = [p for p in parts if len(p[0])]
     if not parts:
         return Fragment().pairs, Fragment().counts
-    if len(parts) == 1:
-        return parts[0]
     k, c = (np.concatenate(v) for v in zip(*parts))
     o = np.argsort(k, kind="stable")
     at = np.flatnonzero(np.r_[True, np.diff(k[o]) != 0])
@@ -197,88 +225,83 @@ def byte_symbols() -> dict[str, int]:
     return {chr(i): i for i in plain} | {chr(256 + n): i for n, i in enumerate(rest)}
 
 
-def load_pair(a_path: str, b_path: str) -> tuple[str, bytes]:
-    """Both vocabularies, checked: the places where their tokens surely end hold for these kinds only."""
-    a, b = load_model(a_path).decode(), load_model(b_path)
-    spec = json.loads(a)
-    pre = spec["pre_tokenizer"] or {}
-    if spec["model"]["type"] != "BPE" or spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") \
-            or not pre.get("use_regex", True):
+# FIXED VALUE: how byte-level BPE of this kind parts a text before merging.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def load_pair(a_path: str, b_path: str) -> tuple[dict[bytes, int], bytes]:
+    """(A's tokens in the order of their merges, B's model), checked: the places where tokens surely end hold for these kinds only."""
+    spec, b = json.loads(load_model(a_path)), load_model(b_path)
+    pre, model, symbol = spec["pre_tokenizer"] or {}, spec["model"], byte_symbols()
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", [])]
+    vocab = model["vocab"]
+    plain = model["type"] == "BPE" and not spec["normalizer"] and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") \
+        and pre.get("use_regex", True) and not model.get("ignore_merges") and not model.get("dropout")
+    # ids ascend as the merges do, so the lowest id is the merge that comes first
+    if not plain or [vocab[m] for m in merged] != list(range(256, 256 + len(merged))) or any(vocab.get(c, 256) > 255 for c in symbol):
         raise ValueError(f"{Path(a_path).name} is no plain byte-level BPE")
     if not cuttable(b):
         raise ValueError(f"{Path(b_path).name} is no BPE whose pieces stay within marked words")
-    return a, b
+    return {bytes(symbol[c] for c in t): vocab[t] for t in [*symbol, *merged]}, b
 
 
 class Tokens:
-    """Both tokenizers in a task, and the aligned pieces that it has met."""
+    """Both tokenizers in a task."""
 
-    def __init__(self, a_spec: str, b_model: bytes):
+    def __init__(self, a_ranks: dict[bytes, int], b_model: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_str(a_spec)
-        self.a.encode_special_tokens = True
+        import tiktoken
+        self.a = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=a_ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
-        symbol = byte_symbols()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for t, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(symbol[c] for c in t) if all(c in symbol for c in t) else t.encode()
+        self.a_bytes = sorted(a_ranks, key=a_ranks.get)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, tuple] = {}
-        self.aligned = 0
 
     def side(self, ids: list, size: np.ndarray, at: int) -> np.ndarray:
         x = np.array(ids, np.int64)
         return np.array([x, at + np.cumsum(size[x])])
 
-    def closed(self, words: list[str]) -> list[tuple]:
-        """(gives back, groups with a ';' behind each, A tokens, links as int64 bytes) of distinct pieces, each a space and a word."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > TABLE_WORDS // 2:
-            self.known, new = {}, words
-        self.aligned += len(new)
-        fresh = {}
-        for i in range(0, len(new), 1 << 14):
-            fresh.update(zip(new[i:i + (1 << 14)], self.align(new[i:i + (1 << 14)])))
-        out = [fresh[w] if w in fresh else self.known[w] for w in words]
-        self.known |= {w: x for w, x in fresh.items() if len(w) <= LONG_WORD}
-        return out
+    def tokenized(self, plain: list[str], odd: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(A's tokens, B's tokens, end of each piece) of pieces behind each other, each a space and a word that B gives back.
 
-    def align(self, words: list[str]) -> list[tuple]:
-        """``closed`` for pieces that are not known, side by side: all their ends are common."""
-        raw = [b" " + w.encode() for w in words]
-        a = [e.ids for e in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)]
-        b = self.b.encode(words, num_threads=1)
-        sides, good = [], np.ones(len(words), bool)
-        want = np.fromiter(map(len, raw), np.int64, len(raw))
-        for ids, size, spelled in ((a, self.a_size, self.a_bytes), (b, self.b_size, self.b_bytes)):
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, n.sum())
-            total = np.bincount(np.repeat(np.arange(len(n)), n), size[flat], len(n)).astype(np.int64)
-            if (total != want).any() or b"".join(map(spelled.__getitem__, flat.tolist())) != b"".join(raw):
-                good &= [b"".join(map(spelled.__getitem__, x)) == r for x, r in zip(ids, raw)]
-            sides.append((flat, size, n))
-        if not good.all():
-            which = np.flatnonzero(good).tolist()
-            out = [(False, "", 0, b"")] * len(words)
-            for i, x in zip(which, self.align([words[i] for i in which]) if which else []):
-                out[i] = x
-            return out
-        x, y = (np.array([flat, np.cumsum(size[flat])]) for flat, size, _ in sides)
-        common = np.intersect1d(x[1], y[1], assume_unique=True)
-        parts, upto = group_texts(x, y, common)
-        ends = np.cumsum(want)
-        cut = [0, *upto[np.searchsorted(common, ends)].tolist()]
-        pairs = links(x, y).tobytes()
-        at = [0, *(8 * np.searchsorted(np.union1d(x[1], y[1]), ends, "right")).tolist()]
-        return [(True, "".join(parts[c:d]), n, pairs[p:q])
-                for c, d, p, q, n in zip(cut, cut[1:], at, at[1:], sides[0][2].tolist())]
+        Both sides end where a plain piece ends, so plain ones are given to the libraries in runs.
+        """
+        a, b = [], []
+        for run in chain(map(" ".join, batched(plain, RUN_WORDS)), odd):
+            a += self.a.encode_ordinary(" " + run)
+            b += self.b.encode(run)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != b"".join(map(self.b_bytes.__getitem__, b)):
+            raise ValueError("the tokenizers do not give the texts back")
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in chain(plain, odd)), np.int64, len(plain) + len(odd)) + 1)
+        return self.side(a, self.a_size, 0), self.side(b, self.b_size, 0), ends
+
+    def closed(self, words: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(gives back, groups with a ';' behind each, A tokens, links, first link, number of links) of distinct pieces, each a space and a word.
+
+        Both ends of a piece are common, so the pieces are aligned side by side.
+        """
+        def matches(pattern):
+            return pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+
+        good, odd = ~matches(MARK), matches(WHITE_EDGE)
+        parts = [np.flatnonzero(good & ~odd), np.flatnonzero(good & odd)]
+        order = np.concatenate(parts)
+        a, b, ends = self.tokenized(*(words.take(pa.array(p)).to_pylist() for p in parts))
+        common, every = both(a[1], b[1]), either(a[1], b[1])
+        text, upto = group_text(a, b, common)
+        groups, (n_a, first, size) = [b""] * len(words), np.zeros((3, len(words)), np.int64)
+        to = upto[np.searchsorted(common, ends)].tolist()
+        for i, p, q in zip(order.tolist(), [0, *to], to):
+            groups[i] = text[p:q]
+        n_a[order] = np.diff(np.r_[0, np.searchsorted(a[1], ends, "right")])
+        at = np.r_[0, np.searchsorted(every, ends, "right")]
+        first[order], size[order] = at[:-1], np.diff(at)
+        return good, groups, n_a, links(a, b, every), first, size
 
     def open_part(self, a_text: str, a_at: int, b_text: str, b_at: int) -> Fragment:
         """The fragment of a range whose A side is ``a_text`` from byte ``a_at`` and whose B side is ``b_text``."""
-        a = self.a.encode(a_text, add_special_tokens=False).ids if a_text else []
+        a = self.a.encode_ordinary(a_text)
         b = self.b.encode(b_text[1:]) if b_text else []
         if b"".join(map(self.a_bytes.__getitem__, a)) != a_text.encode() or b"".join(map(self.b_bytes.__getitem__, b)) != b_text.encode():
             return BROKEN
@@ -303,15 +326,14 @@ class Tokens:
         first, last = cuts[0], cuts[-1]
         before = self.open_part(text[a0:first], byte(a0), text[b0:first], byte(b0))
         after = self.open_part(text[last:a1], byte(last), text[last:b1], byte(last))
-        words = [text[i + 1:j] for i, j in zip(cuts, cuts[1:])]
-        distinct = list(set(words))
-        closed = dict(zip(distinct, self.closed(distinct)))
-        ok, groups, n_a, pairs = zip(*map(closed.__getitem__, words))
-        if not all(ok):
+        words, which = np.unique(np.array([text[i + 1:j] for i, j in zip(cuts, cuts[1:])], object), return_inverse=True)
+        ok, groups, n_a, found, first_link, size = self.closed(pa.array(words, pa.large_string()))
+        if not ok.all():
             return BROKEN
-        found, text_of, n = np.frombuffer(b"".join(pairs), np.int64), "".join(groups)[:-1].encode(), sum(n_a)
+        pairs, times = merged([(found[spread(first_link, size)], np.repeat(np.bincount(which, minlength=len(words)), size))])
+        text_of, n = b"".join(map(groups.__getitem__, which.tolist()))[:-1], int(n_a[which].sum())
         # a range that has nothing open at `first`: its neighbour's tokens end there too
-        middle = Fragment(True, False, NONE, NONE, text_of, n, len(found) + text_of.count(b";") + 1 - n, *tally(found))
+        middle = Fragment(True, False, NONE, NONE, text_of, n, int(times.sum()) + text_of.count(b";") + 1 - n, pairs, times)
         return composed([before, middle, after])
 
     def documents(self, texts: pa.Array) -> list[tuple]:
@@ -319,21 +341,18 @@ class Tokens:
         words, first = words_of(texts, NOT_PLAIN, lambda t: [p[1:] for p in BOTH_CUT.split(" " + t)])
         coded = words.dictionary_encode()
         which = np.asarray(coded.indices)
-        closed = self.closed(coded.dictionary.to_pylist())
-        ok, groups, n_a, pairs = zip(*closed) if closed else ((), (), (), ())
-        size = np.fromiter(map(len, pairs), np.int64, len(pairs)) // 8
-        start, n = np.r_[0, np.cumsum(size)], size[which]
-        ends = np.r_[0, np.cumsum(n)]
-        flat = np.frombuffer(b"".join(pairs), np.int64)[np.repeat(start[which] - ends[:-1], n) + np.arange(ends[-1])]
-        bad = np.r_[0, np.cumsum(~np.array(ok, bool)[which])]
-        tokens = np.r_[0, np.cumsum(np.array(n_a, np.int64)[which])]
+        ok, groups, n_a, found, first_link, size = self.closed(coded.dictionary)
+        flat = found[spread(first_link[which], size[which])]
+        ends = np.r_[0, np.cumsum(size[which])]
+        bad = np.r_[0, np.cumsum(~ok[which])]
+        tokens = np.r_[0, np.cumsum(n_a[which])]
         out = []
         for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
             if i == j or bad[j] > bad[i]:
                 out.append(BLANK)
             else:
-                text = "".join(map(groups.__getitem__, which[i:j].tolist()))[:-1]
-                out.append((True, text.encode(), int(tokens[j] - tokens[i]), *tally(flat[ends[i]:ends[j]])))
+                text = b"".join(map(groups.__getitem__, which[i:j].tolist()))[:-1]
+                out.append((True, text, int(tokens[j] - tokens[i]), *tally(flat[ends[i]:ends[j]])))
         return out
 
 
@@ -382,7 +401,8 @@ class Unit:
 
     def row(self) -> pa.RecordBatch:
         flat, times = np.concatenate(self.pairs), np.concatenate(self.counts)
-        distinct, place = np.unique(flat, return_inverse=True)
+        distinct, _ = tally(flat)
+        place = np.searchsorted(distinct, flat)
         totals = np.bincount(place, times, len(distinct)).astype(np.int64)
         upto = np.cumsum([len(p) for p in self.pairs])
         unit = int.from_bytes(os.urandom(8), "little") >> 1     # the units are written at once, so a task that runs again does no harm
@@ -435,7 +455,7 @@ def from_row(r: dict) -> Fragment:
                     np.frombuffer(r["pairs"], np.int64), np.frombuffer(r["counts"], np.int64), side(r["a_suffix"]), side(r["b_suffix"]))
 
 
-def short_units(docs: DataFrame, a: str, b: bytes) -> DataFrame:
+def short_units(docs: DataFrame, a: dict, b: bytes) -> DataFrame:
     """Documents of at most LONG_BYTES bytes, aligned whole and packed into units."""
     def run(batches):
         tokens = Tokens(a, b)
@@ -456,7 +476,7 @@ def short_units(docs: DataFrame, a: str, b: bytes) -> DataFrame:
     return short.mapInArrow(run, UNIT)
 
 
-def long_fragments(docs: DataFrame, a: str, b: bytes) -> tuple[DataFrame, int]:
+def long_fragments(docs: DataFrame, a: dict, b: bytes) -> tuple[DataFrame, int]:
     """The fragments of the ranges of longer documents, and the largest number of ranges (0: there are none)."""
     def cut(batches):
         schema = arrow_schema(RANGE)
@@ -469,7 +489,7 @@ def long_fragments(docs: DataFrame, a: str, b: bytes) -> tuple[DataFrame, int]:
     def align(batches):
         tokens, schema = Tokens(a, b), arrow_schema(PART)
         for x in batches:
-            for r in x.to_pylist():
+            for r in (x.slice(i, 1).to_pylist()[0] for i in range(len(x))):
                 f = tokens.range_fragment(r["text"], r["at"], r["a0"], r["a1"], r["b0"], r["b1"])
                 yield batch([to_row(r["doc"], r["doc_id"], r["no"], f)], schema)
 
@@ -505,7 +525,7 @@ def long_units(parts: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, UNIT)
 
 
-def aligned_units(docs: DataFrame, a: str, b: bytes) -> DataFrame:
+def aligned_units(docs: DataFrame, a: dict, b: bytes) -> DataFrame:
     """All documents, aligned and packed into units (a written table)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = short_units(docs, a, b)
@@ -534,7 +554,7 @@ def links_report(units: DataFrame) -> DataFrame:
     def run(batches):
         schema = arrow_schema(RESULT)
         for x in batches:
-            for r in x.to_pylist():
+            for r in (x.slice(i, 1).to_pylist()[0] for i in range(len(x))):
                 upto, place, times = (np.frombuffer(r[k], t) for k, t in (("upto", np.int64), ("place", np.uint32), ("times", np.uint32)))
                 n, top = np.array(r["n"] or [], np.int64), np.array(r["top"] or [], np.int64)
                 sums = np.r_[0, np.cumsum(n[place] * times)], np.r_[0, np.cumsum(top[place] * times)]
@@ -547,6 +567,6 @@ def links_report(units: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, RESULT)
 
 
-def align(docs: DataFrame, a: str, b: bytes) -> DataFrame:
+def align(docs: DataFrame, a: dict, b: bytes) -> DataFrame:
     """Per document: tokens, groups and links of the two tokenizers, and how its links stand among the corpus's."""
     return links_report(aligned_units(docs, a, b))

@@ -238,52 +238,79 @@ def roster_totals(spark, sf):
 
 
 def _alloc(spark, sf):
+    """The scenario and its allocation (one auction per session and input)."""
     scen = _scenario(spark, sf)
-    return scen, RO.roster_allocate(scen, _stations(spark, sf), _capacity(spark, sf))
-
-
-_ALLOC = _ST + _SCEN + [
-    "stc AS (SELECT station, slat, slon, capacity, sum(capacity) OVER (ORDER BY station) AS hi, "
-    "sum(capacity) OVER (ORDER BY station) - capacity AS low FROM st JOIN cap USING (station) WHERE capacity > 0)",
-    "eg AS (SELECT *, coalesce(sum(demand) OVER (PARTITION BY \"window\" ORDER BY CASE severity_class WHEN 'High' THEN 0 "
-    "WHEN 'Medium' THEN 1 ELSE 2 END, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM scn)",
-    "gr AS (SELECT *, CAST(least(demand, greatest((SELECT sum(capacity) FROM stc) - lo, 0)) AS BIGINT) AS sent FROM eg)",
-    "al AS (SELECT \"window\", id, station, CAST(least(lo + demand, hi) - greatest(lo, low) AS INTEGER) AS officers, round("
-    + haversine_sql("slat", "slon", "latitude", "longitude") + ", 6) AS km FROM gr JOIN stc ON lo < hi AND low < lo + demand)",
-    "tb AS (SELECT g.\"window\", g.id, severity_class, demand, sent, CAST(demand - sent AS BIGINT) AS short, "
-    "coalesce(x.travel_km, 0.0) AS travel_km, x.from_stations FROM gr g LEFT JOIN (SELECT \"window\", id, "
-    "round(sum(officers * km), 3) AS travel_km, string_agg(station || '×' || officers, ', ' ORDER BY station) AS from_stations "
-    "FROM al GROUP BY 1, 2) x ON g.\"window\" = x.\"window\" AND g.id = x.id)",
-]
-
-
-@register("roster_allocate", with_base(
-    "SELECT * FROM al UNION ALL SELECT \"window\", id, NULL AS station, CAST(short AS INTEGER) AS officers, "
-    "CAST(0.0 AS DOUBLE) AS km FROM tb WHERE short > 0", extra=_ALLOC))
+    return scen, base._stage(spark, "roster", sf, lambda: RO.roster_allocate(scen, _stations(spark, sf), _capacity(spark, sf)))
+
+
+def _least_cost_sql(n_stations: int, n_events: int = 3) -> str:
+    """Least cost per window by trying every split of one station's officers after the other (windows of a few events)."""
+    ev = range(1, n_events + 1)
+    left = ", ".join(f"r{i}" for i in ev)
+    steps = ["f0 AS (SELECT \"window\", " + ", ".join(f"d{i} AS r{i}" for i in ev) + ", CAST(0 AS BIGINT) AS cost FROM we)"]
+    for k in range(1, n_stations + 1):
+        splits = " ".join(f"JOIN range(0, 1 + (SELECT max(capacity) FROM stc)) t{i}(x{i}) ON x{i} <= r{i}" for i in ev)
+        steps.append(f"f{k} AS (SELECT f.\"window\", " + ", ".join(f"r{i} - x{i} AS r{i}" for i in ev) + ", min(cost + "
+                     + " + ".join(f"x{i} * coalesce(c{i}, 0)" for i in ev) + f") AS cost FROM f{k - 1} f JOIN wc ON wc.\"window\" = f.\"window\" "
+                     f"AND wc.k = {k} {splits} WHERE {' + '.join(f'x{i}' for i in ev)} <= capacity GROUP BY ALL)")
+    steps.append("lc AS (SELECT f.\"window\", min(cost + " + " + ".join(f"r{i} * coalesce(p{i}, 0)" for i in ev)
+                 + f") AS cost FROM f{n_stations} f JOIN we USING (\"window\") GROUP BY 1)")
+    pivot = ", ".join(f"coalesce(max(demand) FILTER (WHERE n = {i}), 0) AS d{i}, max(penalty) FILTER (WHERE n = {i}) AS p{i}" for i in ev)
+    costs = ", ".join(f"max(cost) FILTER (WHERE n = {i}) AS c{i}" for i in ev)
+    return ", ".join([
+        "stc AS (SELECT station, slat, slon, capacity, row_number() OVER (ORDER BY station) AS k FROM st JOIN cap USING (station) WHERE capacity > 0)",
+        "en AS (SELECT *, row_number() OVER (PARTITION BY \"window\" ORDER BY id) AS n, CASE severity_class "
+        + " ".join(f"WHEN {q(s)} THEN {p}" for s, p in vocab.UNMET_PENALTY.items()) + f" ELSE {vocab.UNMET_PENALTY['Medium']} END AS penalty FROM scn WHERE demand > 0)",
+        f"we AS (SELECT \"window\", {pivot} FROM en GROUP BY 1)",
+        f"wc AS (SELECT \"window\", k, capacity, {costs} FROM (SELECT *, CAST(round(10 * " + haversine_sql("slat", "slon", "latitude", "longitude")
+        + ") AS BIGINT) AS cost FROM en, stc) x GROUP BY 1, 2, 3)", *steps])
+
+
+@register("roster_allocate")
 def roster_allocate(spark, sf):
     return _alloc(spark, sf)[1]
 
 
-@register("roster_table", with_base("SELECT * FROM tb", extra=_ALLOC))
+@register("roster_cost", with_base("SELECT \"window\", CAST(cost AS BIGINT) AS cost FROM lc", extra=_ST + _SCEN + [
+    _least_cost_sql(len(set(_FIRST.values())))]))
+def roster_cost(spark, sf):
+    """Per window: the least total of travel and unmet demand."""
+    scen, alloc = _alloc(spark, sf)
+    return RO.roster_cost(scen, alloc).select("window", "cost")
+
+
+# what every least-cost allocation has in common: officers run out for Low, then Medium, then High events
+_SENT = ["tt AS (SELECT \"window\", severity, demand, least(demand, greatest(capacity - before, 0)) AS sent FROM ("
+         "SELECT *, coalesce(sum(demand) OVER (PARTITION BY \"window\" ORDER BY CASE severity WHEN 'High' THEN 0 "
+         "WHEN 'Medium' THEN 1 ELSE 2 END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ("
+         "SELECT \"window\", severity_class AS severity, sum(demand) AS demand, (SELECT sum(capacity) FROM cap) AS capacity "
+         "FROM scn GROUP BY 1, 2) g) t)"]
+
+
+@register("roster_table")
 def roster_table(spark, sf):
     scen, alloc = _alloc(spark, sf)
     return RO.roster_event_table(scen, alloc)
 
 
-@register("roster_kpis", with_base(
-    "SELECT \"window\", CAST(count(*) FILTER (WHERE short > 0) AS BIGINT) AS events_short, round(100.0 * sum(sent) / sum(demand), 6) "
-    "AS pct_demand_met, CAST(sum(short) AS BIGINT) AS shortage, CAST(count(*) FILTER (WHERE short = 0) AS BIGINT) AS fulfilled, "
-    "CAST(count(*) FILTER (WHERE short > 0 AND sent > 0) AS BIGINT) AS partial, CAST(count(*) FILTER (WHERE short > 0 AND sent = 0) "
-    "AS BIGINT) AS unmet FROM tb GROUP BY 1", extra=_ALLOC))
+@register("roster_kpis")
 def roster_kpis(spark, sf):
     scen, alloc = _alloc(spark, sf)
     return RO.roster_kpis(RO.roster_event_table(scen, alloc))
 
 
+@register("roster_shortage", with_base(
+    "SELECT \"window\", round(100.0 * sum(sent) / sum(demand), 6) AS pct_demand_met, CAST(sum(demand - sent) AS BIGINT) AS shortage "
+    "FROM tt GROUP BY 1", extra=_ST + _SCEN + _SENT))
+def roster_shortage(spark, sf):
+    """The part of the KPIs that every least-cost allocation shares."""
+    return roster_kpis(spark, sf).select("window", "pct_demand_met", "shortage")
+
+
 @register("severity_alloc_unpivot", with_base(
-    "SELECT \"window\", severity_class, kind, CAST(officers AS BIGINT) AS officers FROM (SELECT \"window\", severity_class, 'sent' AS kind, "
-    "sum(sent) AS officers FROM tb GROUP BY 1, 2 UNION ALL SELECT \"window\", severity_class, 'short' AS kind, sum(short) AS officers "
-    "FROM tb GROUP BY 1, 2) t", extra=_ALLOC))
+    "SELECT \"window\", severity AS severity_class, kind, CAST(officers AS BIGINT) AS officers FROM (SELECT \"window\", severity, 'sent' AS kind, "
+    "sent AS officers FROM tt UNION ALL SELECT \"window\", severity, 'short' AS kind, demand - sent AS officers FROM tt) t",
+    extra=_ST + _SCEN + _SENT))
 def severity_alloc_unpivot(spark, sf):
     scen, alloc = _alloc(spark, sf)
     return RO.severity_alloc_unpivot(RO.roster_event_table(scen, alloc))

@@ -97,6 +97,10 @@ CLOSURE_PROB_BARRICADE_THRESHOLD = 0.15
 PRIORITY_FLAGS = {"High": "URGENT", "Medium": "PRIORITY", "Low": "ROUTINE"}
 CLEARANCE_FALLBACK = {"median": 57.0, "p25": 30.0, "p75": 120.0}
 
+# --- FIXED VALUES: cost of an unmet officer by severity; cost units per km -
+UNMET_PENALTY = {"High": 9000, "Medium": 3000, "Low": 1000}
+TRAVEL_SCALE = 10
+
 # --- FIXED VALUES: zone -> police stations (first = nearest) --------------
 ZONE_STATIONS = {
     "North Zone 1": ["Hebbala", "Hennuru", "Byatarayanapura"],

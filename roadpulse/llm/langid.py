@@ -15,6 +15,11 @@ the model is bounded by ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams a length,
 so it may travel with the job.  Prediction is one Arrow-batched projection of the
 text: no shuffle.
 
+A word is a run of letters and combining marks that holds a letter, in training and
+in prediction, so scripts whose vowels are marks keep their words whole; number
+signs are no letters.  Words above 64 characters are not learned, and of words and
+n-grams only those seen twice or more; prediction reads whole texts.
+
 Edge cases: null text, or text without a letter, is ``und`` with score 0; text
 without any known word or n-gram gets the first learned language with the score
 of a tie; with nothing learned every text is ``und``; an empty table gives an
@@ -28,6 +33,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +51,9 @@ SMOOTH = 0.5
 MEMO = 50_000             # unseen words remembered by a task
 SURE = 8                  # words after which the score rests on the average word
 LETTERS = r"[^\p{L}\p{M}]+"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
+# Without these, letters are what Python's word characters leave but for digits and '_': a faster search, the same words
+PLAIN, MARKED = re.compile(r"[^\W\d_]+"), re.compile("[²³¹¼½¾\u0300-\U0010ffff]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -64,7 +72,7 @@ def train(docs: DataFrame) -> dict:
     """Model from the labelled documents that are not held out: text and lang only."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sample = bounded_sample(rows.select("doc_id", "text", "lang"), TRAIN_DOCS)
-    word = F.explode(F.array_remove(F.split(F.lower("text"), LETTERS), ""))
+    word = F.explode(F.filter(F.split(F.lower("text"), LETTERS), lambda w: w.rlike(r"\p{L}")))
     counts = (sample.select("lang", word.alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
               .filter(F.char_length("w") <= 64).cache())
     try:
@@ -149,9 +157,15 @@ class Scorer(dict):
             self.new, self.share = [], []
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters and marks that hold a letter, in lower case: the rule of the training."""
+    low = text.lower()
+    return PLAIN.findall(low) if MARKED.search(low) is None else WORD.findall(low)
+
+
 def judge(text: str | None, scorer: Scorer, langs: list[str], evidence: bool = True) -> tuple[str, float, float]:
     """(language, score, share matched); the share is 0 without ``evidence``."""
-    words = WORD.findall(text.lower()) if text else []
+    words = words_of(text) if text else []
     if not words or not langs:
         return "und", 0.0, 0.0
     ids = scorer.ids(words)

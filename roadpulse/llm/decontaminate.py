@@ -6,12 +6,14 @@ A benchmark item of n words leaks into a document that has a run of words within
 1. Windows.  A run within k edits of an item shares at least n - q + 1 - k q of its
    q-word grams, so only word positions with that many item grams among the words
    that follow start a window; none of the others can be a leak.
-2. Embedding.  ``WALKS`` random walks map the item-sized window at each such
+2. Embedding.  Random walks map the item-sized window at each such
    position to sequences of words: a walk emits the current word and a random bit
    of (step, word) decides whether it moves on.  Walks over similar texts fall
    into step again, so a small edit distance becomes a small Hamming distance.
-3. LSH.  ``TABLES`` times per walk, ``BITS`` sampled places of the walk form a key;
-   windows that share a key with an item are candidates.
+3. LSH.  Several times per walk, a few sampled places of the walk form a key; windows
+   that share a key with an item are candidates.  Walks drift apart over long texts, so
+   ``SETTINGS`` has more walks and shorter keys for longer items: each row was chosen to
+   reach a recall of ``TARGET`` at the full edit limit (measured in ``tests/llm``).
 4. Every candidate is verified by exact edit distance (bit-parallel, words as
    symbols, the end of the run free).
 
@@ -37,7 +39,8 @@ from .arrays import LOWER, MARKS, chunks, gram_hashes, mix, text_bytes, whole, w
 
 EDIT_PERCENT = 25
 GRAM = 3
-WALKS, TABLES, BITS = 8, 6, 3
+TARGET = 0.9
+SETTINGS = ((0, 8, 6, 3), (48, 12, 8, 3), (96, 16, 8, 2), (240, 24, 8, 2))      # from a size class on: walks, tables a walk, places a key
 BLOCK_ITEMS = 20_000
 WINDOWS_AT_ONCE = 1 << 14
 SEED = np.uint64(0x2545F4914F6CDD1D)
@@ -63,10 +66,15 @@ def _walk(h: np.ndarray, at: np.ndarray, stop: np.ndarray, steps: int, walk: int
     return out
 
 
-def _places(size: int, walk: int, table: int) -> np.ndarray:
+def settings(size: int) -> tuple[int, int, int]:
+    """(walks, tables a walk, places a key) of a size class."""
+    return next(s[1:] for s in reversed(SETTINGS) if size >= s[0])
+
+
+def _places(size: int, walk: int, table: int, bits: int) -> np.ndarray:
     """The sampled steps for items of a size class."""
     rng = np.random.default_rng([size, walk, table])
-    return np.sort(rng.choice(max(BITS, 2 * size), BITS, replace=False))
+    return np.sort(rng.choice(max(bits, 2 * size), bits, replace=False))
 
 
 def _key(emitted: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -104,16 +112,19 @@ class Items:
         self.classes: dict[int, list[int]] = {}
         for i, (_, w) in enumerate(self.items):
             self.classes.setdefault(size_class(len(w)), []).append(i)
-        self.steps = max([2 * c for c in self.classes] + [BITS])
+        self.steps = max([max(2 * c, settings(c)[2]) for c in self.classes] + [1])
         self.tables = []           # (walk, places, sorted keys, item of each)
-        for walk in range(WALKS):
+        for walk in range(max([settings(c)[0] for c in self.classes], default=0)):
             for c, members in self.classes.items():
+                n_walks, n_tables, bits = settings(c)
+                if walk >= n_walks:
+                    continue
                 lens = np.array([len(self.items[i][1]) for i in members])
                 flat = np.concatenate([self.items[i][1] for i in members])
                 at = np.r_[0, np.cumsum(lens)[:-1]]
-                em = _walk(flat, at, at + lens, max(2 * c, BITS), walk)
-                for t in range(TABLES):
-                    places = _places(c, walk, t)
+                em = _walk(flat, at, at + lens, max(2 * c, bits), walk)
+                for t in range(n_tables):
+                    places = _places(c, walk, t, bits)
                     k = _key(em, places)
                     o = np.argsort(k, kind="stable")
                     self.tables.append((walk, places, k[o], np.array(members)[o]))

@@ -63,7 +63,7 @@ def op2_suffix_dedup(spark, sf_dir):
 
 @_query
 def op1_jaccard_join(spark, sf_dir):
-    return jaccard_join.similar_components(documents(spark, sf_dir)).drop("sig")
+    return jaccard_join.similar_components(documents(spark, sf_dir)).drop("sig", "root")
 
 
 @_query

@@ -93,22 +93,30 @@ def _level(keys: DataFrame, level: int) -> DataFrame:
         "transform(sequence(0, cast(n_words as int) - 1), i -> coalesce(m[i], 0L))").alias("words"))
 
 
-def build_cascade(universe: DataFrame, shard_keys: int = SHARD_KEYS, max_words: int = MAX_LITERAL_WORDS):
+def words_for(n_keys: int) -> int:
+    """64-bit words of a filter over so many keys."""
+    return math.ceil(n_keys * BITS_PER_KEY / 64)
+
+
+def build_cascade(universe: DataFrame, shard_keys: int = SHARD_KEYS, max_words: int = MAX_LITERAL_WORDS, n_shards: int = 0):
     """Cascade over ``universe`` (key, listed).
 
     Returns ``(levels, n_shards, table)``: ``levels`` are Python lists of words
     per level when the whole cascade is small (one shard), else ``None`` and
     ``table`` holds (shard, f0, f1, ...).
     """
-    n_listed = universe.agg(F.count(F.when(F.col("listed"), 1))).first()[0]
-    est_words = math.ceil(4 * n_listed * BITS_PER_KEY / 64)
-    n_shards = 1 if est_words <= max_words else math.ceil(n_listed / shard_keys)
+    if not n_shards:
+        n_listed = universe.agg(F.count(F.when(F.col("listed"), 1))).first()[0]
+        n_shards = 1 if words_for(n_listed) <= max_words else max(2, math.ceil(n_listed / shard_keys))
     u = staged(universe.withColumn("shard", F.pmod(F.xxhash64(F.lit(-1), "key"), F.lit(n_shards)).cast("int")),
                "urls-universe")
     inside = u.filter("listed").select("shard", "key")          # what the next level encodes
     outside = u.filter("not listed").select("shard", "key")     # what it must not accept
     levels, tables, level = [], [], 0
     while True:
+        # a level encodes what the one before wrongly accepts of the universe, so each is measured before it is built
+        if n_shards == 1 and (n := inside.count()) and words_for(n) + sum(map(len, levels)) > max_words:
+            return build_cascade(universe, shard_keys, max_words, max(2, math.ceil(n / shard_keys)))
         f = staged(_level(inside, level), f"urls-level{level}")
         tables.append(f)
         if n_shards == 1:
@@ -167,9 +175,10 @@ def judge_urls(pages: DataFrame, rules=RULES, labels=LISTED_LABELS, url_col: str
     if table is None:
         listed = _member(F.col("__key"), [_words_lit(w) for w in levels])
     else:
-        p = p.withColumn("shard", F.pmod(F.xxhash64(F.lit(-1), "__key"), F.lit(n_shards)).cast("int"))
-        p = p.join(table, "shard", "left")
-        filters = [c for c in table.columns if c != "shard"]
+        p = p.withColumn("__shard", F.pmod(F.xxhash64(F.lit(-1), "__key"), F.lit(n_shards)).cast("int"))
+        table = table.toDF(*[f"__{c}" for c in table.columns])
+        p = p.join(table, "__shard", "left")
+        filters = [c for c in table.columns if c != "__shard"]
         # a shard without a level ends there: an empty filter accepts nothing
         listed = _member(F.col("__key"), [F.coalesce(F.col(c), F.expr("cast(array() as array<bigint>)")) for c in filters])
     rule = first_rule(rules, F.col("host"), F.col("path"), lambda r: r[0] + r[1])

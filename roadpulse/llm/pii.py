@@ -96,16 +96,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # -- windows and features -------------------------------------------------------------
 
+SHAPE = 64
+
+
 def shape(word: str) -> str:
-    """Letters a/A, digits 9, other characters as they are; runs longer than four are cut to four."""
+    """Letters a/A, digits 9, other characters as they are; runs of digits longer than four are cut to four, others to one.
+
+    Of the whole word; beyond ``SHAPE`` signs only which ones there are.
+    """
     out, last, run = [], "", 0
-    for c in word[:64]:
+    for c in word:
         k = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c
         run = run + 1 if k == last else 1
         last = k
         if run <= (4 if k == "9" else 1):
             out.append(k)
-    return "".join(out)
+    return "".join(out[:SHAPE]) + "".join(sorted(set(out[SHAPE:])))
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:

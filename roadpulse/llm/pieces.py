@@ -167,10 +167,10 @@ class Codec:
         return self.byte_texts[run]
 
 
-def blocks(texts: pa.Array):
-    """Slices of a column of texts of about ``BLOCK`` bytes, one text at least."""
+def blocks(texts: pa.Array, size: int = BLOCK):
+    """Slices of a column of texts of about ``size`` bytes, one text at least."""
     offs = np.r_[0, np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)))]
-    for i, j in chunks(offs, BLOCK, len(texts)):
+    for i, j in chunks(offs, size, len(texts)):
         yield texts[i:j]
 
 

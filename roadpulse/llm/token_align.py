@@ -17,7 +17,8 @@ groups; within a group, A and B tokens whose bytes overlap are linked.
   space before other text; B: a run of markers behind other text), so the two sides
   of a range differ and its ends are open.
 * Shorter documents are ranges of one task.  Places that are sure for both make
-  pieces without open ends; a distinct piece is tokenized and aligned once per block of about 4 MB.
+  pieces without open ends; a distinct piece is tokenized and aligned once per block of
+  ``BLOCK_BYTES``.
 * Counts of linked id pairs are exact sums over the corpus: documents are packed into
   units of about ``UNIT_BYTES`` of text, a unit tells each of its distinct pairs once, and
   gets the pairs' counts back by joins on pair and unit.  The highest count of a B id
@@ -57,7 +58,8 @@ from .pieces import MARK, blocks, cuttable, load_model, words_of
 LONG_BYTES = 1 << 16
 RANGE_CHARS = 1 << 15
 FAN_IN = 16
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 OTHER_SPACES = r"᠎​﻿"      # white space of some Unicode versions
 A_CUT = re.compile(rf" (?=[^\s{OTHER_SPACES}])")                          # A's tokens end before this space
 B_CUT = re.compile("(?<=[^ ▁])(?=[ ▁]+[^ ▁])")             # B's tokens end here
@@ -464,7 +466,7 @@ def short_units(docs: DataFrame, a: dict, b: bytes) -> DataFrame:
             for x in batches:
                 ids, texts = x.column(0).to_pylist(), x.column(1)
                 i = 0
-                for part in blocks(texts):
+                for part in blocks(texts, BLOCK_BYTES):
                     sizes = pc.binary_length(part).fill_null(0).to_pylist()
                     for got, size in zip(tokens.documents(part), sizes):
                         yield ids[i], *got, size

@@ -8,6 +8,7 @@ Label maps and feature lists are the source system's; learners are Spark's
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,10 +16,11 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from . import metrics as M
 
 # FIXED VALUES: model inputs and label coding.
@@ -111,31 +113,53 @@ def score_batch(sev: PipelineModel, dur: PipelineModel, clo: PipelineModel, iso,
     return s.withColumn("predicted_severity", vocab.map_lit(SEVERITY_NAME)[F.col("__sev").cast("int")]).drop("__sev")
 
 
+def at_once(spark: SparkSession, jobs: list) -> list:
+    """Results of functions that each run Spark jobs, run side by side in threads of their own scheduler pools.
+
+    Boosting rounds are many short jobs that leave most executors idle; side by side
+    they share the cluster.  Under FAIR scheduling the pools get equal shares; without
+    it the jobs still overlap.
+    """
+    def run(job, i):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{i}")
+        try:
+            return job()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run), job, i) for i, job in enumerate(jobs)]]
+
+
 def walk_forward(frame: DataFrame, n_splits: int = 5) -> DataFrame:
-    """Expanding-window closure backtest: one fit per fold (folds are few; each fit is distributed)."""
-    _tree_checkpoints(frame)
-    d = M.row_index(frame, ["start_datetime", "id"]).cache()
-    folds = M.walk_forward_folds(frame, n_splits).collect()  # n_splits rows of bounds
-    rows = []
-    for f in folds:
-        tr = d.filter(F.col("row_idx") < f["test_start"])
-        te = d.filter((F.col("row_idx") >= f["test_start"]) & (F.col("row_idx") < f["test_end"]))
-        stats = te.agg(F.count_distinct("road_closure_binary").alias("k")).first()["k"]
-        pos = tr.agg(F.sum("road_closure_binary").alias("p")).first()["p"] or 0
-        if stats < 2 or pos == 0:
-            continue
-        cnt = tr.agg(F.count_if(F.col("road_closure_binary") == 0).alias("n")).first()["n"]
-        t = tr.withColumn("w", F.when(F.col("road_closure_binary") == 1, cnt / max(pos, 1)).otherwise(1.0)) \
-              .withColumn("label", F.col("road_closure_binary").cast("double"))
-        gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="w", maxIter=GBT_ITER,
-                            stepSize=GBT_STEP, **TREE_PARAMS)
-        m = Pipeline(stages=[_assembler(CLOSURE_FEATURES), gbt]).fit(t)
-        p = m.transform(te).withColumn("p", vector_to_array("probability")[1])
-        roc = M.roc_auc(p, "road_closure_binary", "p").first()["roc_auc"]
-        ap = M.average_precision(p, "road_closure_binary", "p").first()["average_precision"]
-        rows.append((int(f["fold"]), float(roc), float(ap)))
-    d.unpersist()
+    """Expanding-window closure backtest: one fit per fold, all folds at once over one table of feature vectors.
+
+    The vectors are written once in the order of time, so that a fold's filter on the
+    row number skips the files beyond it.  Folds whose test rows are all of one class, or
+    whose training rows hold no closure, are left out.
+    """
     spark = frame.sparkSession
+    _tree_checkpoints(frame)
+    d = _assembler(CLOSURE_FEATURES).transform(M.row_index(frame, ["start_datetime", "id"])).select(
+        "row_idx", F.col("road_closure_binary").cast("double").alias("label"), "features")
+    d = cut_lineage(d, "row_idx")
+    folds = M.walk_forward_folds(frame, n_splits)
+    test = (F.col("row_idx") >= F.col("test_start")) & (F.col("row_idx") < F.col("test_end"))
+    train = F.col("row_idx") < F.col("test_start")
+    facts = d.join(F.broadcast(folds), F.col("row_idx") < F.col("test_end")).groupBy("fold", "test_start", "test_end").agg(  # n_splits rows
+        F.count_if(test & (F.col("label") == 1)).alias("test_pos"), F.count_if(test & (F.col("label") == 0)).alias("test_neg"),
+        F.count_if(train & (F.col("label") == 1)).alias("pos"), F.count_if(train & (F.col("label") == 0)).alias("neg"))
+
+    def fit(f):
+        t = d.filter(F.col("row_idx") < f.test_start).withColumn("w", F.when(F.col("label") == 1, f.neg / f.pos).otherwise(1.0))
+        gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="w", maxIter=GBT_ITER, stepSize=GBT_STEP, **TREE_PARAMS)
+        te = d.filter((F.col("row_idx") >= f.test_start) & (F.col("row_idx") < f.test_end))
+        p = cut_lineage(gbt.fit(t).transform(te).select("label", vector_to_array("probability")[1].alias("p")))
+        return (f.fold, float(M.roc_auc(p, "label", "p").first()["roc_auc"]),
+                float(M.average_precision(p, "label", "p").first()["average_precision"]))
+
+    usable = [f for f in facts.orderBy("fold").collect() if f.pos and f.test_pos and f.test_neg]
+    rows = at_once(spark, [lambda f=f: fit(f) for f in usable])
     return spark.createDataFrame(rows, "fold int, roc_auc double, pr_auc double")
 
 

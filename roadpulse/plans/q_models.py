@@ -256,6 +256,12 @@ def walk_forward_scores(spark, sf):
     return base._stage(spark, "walk_forward", sf, lambda: MD.walk_forward(frame(spark, sf), 5))
 
 
+def _fit_all(spark, sf) -> None:
+    """The stored models and the backtest, those not fitted yet side by side."""
+    frame(spark, sf)
+    MD.at_once(spark, [lambda f=f: f(spark, sf) for f in (severity, duration, closure, walk_forward_scores)])
+
+
 @register("severity_model")
 def severity_model(spark, sf):
     pred = severity(spark, sf).transform(_split(spark, sf)[1]).select("severity_label", "prediction")
@@ -344,6 +350,7 @@ def score_batch(spark, sf):
 
 @register("quality_gate")
 def quality_gate(spark, sf):
+    _fit_all(spark, sf)
     tr, te = _split(spark, sf)
     sm = severity_model(spark, sf).select("accuracy", "macro_f1").limit(1)
     maj = tr.groupBy("severity_label").count().orderBy(F.desc("count"), "severity_label").limit(1) \

@@ -78,18 +78,28 @@ def test_alert_text(spark):
         assert s in t
 
 
+def _grid_network(spark):
+    """Own streets: a grid of 9 x 9 crossings 0.003 degree apart, and a dead end of its own in the north."""
+    pts = []
+    for i in range(9):
+        pts += [(i, j, 1_290_000 + 300 * i, 7_750_000 + 300 * j) for j in range(9)]
+        pts += [(100 + i, j, 1_290_000 + 300 * j, 7_750_000 + 300 * i) for j in range(9)]
+    pts += [(200, j, 1_300_000 + 300 * j, 7_750_000) for j in range(3)]
+    return spark.createDataFrame([(*p, "primary", "2") for p in pts],
+                                 "way_id long, seq long, lat_e5 long, lon_e5 long, highway string, lanes_raw string")
+
+
 def test_diversion_against_plain_search(spark):
-    """Distances equal a plain shortest-path search over the same open edges; incidents without roads say so."""
+    """Distances equal a plain shortest-path search over the same open edges; incidents without roads or exits say so."""
     import heapq
     from roadpulse import vocab
     from roadpulse.operators import diversion as DV
-    from roadpulse.plans.q_roads import network
-    inc = spark.createDataFrame([(1, 12.8505, 77.455), (2, 0.0, 0.0), (3, 12.9102, 77.5203)],
+    inc = spark.createDataFrame([(1, 12.912, 77.512), (2, 0.0, 0.0), (3, 13.003, 77.5), (4, 12.9031, 77.5061), (5, 12.9, 77.5)],
                                 "id long, latitude double, longitude double")
-    net = network(spark, SF0001)
+    net = _grid_network(spark)
     routes = DV.plan_routes(inc, net).cache()
     got = {x.id: x for x in routes.collect()}
-    assert len(got) == 3 and not got[2].feasible and got[2].reason == vocab.NO_ROADS
+    assert len(got) == 5 and not got[2].feasible and got[2].reason == vocab.NO_ROADS
     sub = DV.local_subgraph(inc, net)
     arc = DV.arcs(sub)
     nodes = DV.site_nodes(sub, arc)
@@ -99,8 +109,12 @@ def test_diversion_against_plain_search(spark):
     for r in arc.collect():
         if (r.id, r.u) not in shut and (r.id, r.v) not in shut:
             edges.setdefault((r.id, r.u), []).append((r.v, r.m))
-    for i in (1, 3):
-        entry, goal = pairs[i]
+    for i in (1, 3, 4, 5):
+        entry, goal = pairs.get(i, (None, None))
+        r = got[i]
+        if entry is None:
+            assert not r.feasible and r.reason == vocab.NO_THROUGH_ROUTE
+            continue
         best, heap = {}, [(0.0, entry)]
         while heap:
             d, n = heapq.heappop(heap)
@@ -108,13 +122,50 @@ def test_diversion_against_plain_search(spark):
                 best[n] = d
                 for v, m in edges.get((i, n), []):
                     heapq.heappush(heap, (d + m, v))
-        r = got[i]
-        assert r.feasible == (goal in best)
+        assert r.feasible == (goal in best) and (r.feasible or r.reason == vocab.NO_ALTERNATE)
         if r.feasible:
             assert abs(r.detour_m - best[goal]) < 0.1 and r.detour_m >= r.direct_m and len(r.path) == r.n_segments + 1
             assert r.path[0] == [r.entry_lat, r.entry_lon] and r.path[-1] == [r.exit_lat, r.exit_lon]
+    assert [got[i].feasible for i in (1, 3, 4)] == [True, False, True]
     hull = {r.id: r.hull for r in DV.hulls(routes, inc).collect()}
+    assert set(hull) == {i for i in got if got[i].feasible}
     for i, h in hull.items():
-        pts = [tuple(p) for p in got[i].path] + [(r.latitude, r.longitude) for r in inc.collect() if r.id == i]
+        pts = {tuple(p) for p in got[i].path} | {(r.latitude, r.longitude) for r in inc.collect() if r.id == i}
+        assert [tuple(p) for p in h] == _hull(pts)
         for a, b in zip(h, h[1:] + h[:1]):
             assert all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= -1e-9 for x, y in pts)
+
+
+def _hull(points):
+    """Convex hull by testing every pair of points as an edge: lower side from the left, then the upper side back."""
+    def right_of(a, b, p):
+        return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
+    at, out = min(points), []
+    while at not in out:
+        out.append(at)
+        at = next(q for q in sorted(points) if q != at and all(
+            (c := right_of(at, q, p)) > 1e-12 or (abs(c) <= 1e-12 and (p[0] - at[0]) ** 2 + (p[1] - at[1]) ** 2
+                                                   <= (q[0] - at[0]) ** 2 + (q[1] - at[1]) ** 2) for p in points))
+    return out
+
+
+def test_hulls_of_random_routes(spark):
+    import random
+    from roadpulse.operators import diversion as DV
+    rng = random.Random(4)
+    rows, places = [], []
+    for i in range(30):
+        n = rng.choice([1, 2, 3, 10, 60])
+        pts = [[rng.randrange(8) / 8.0, rng.randrange(8) / 8.0] for _ in range(n)]
+        if i % 7 == 0:
+            pts = [[0.25 * k, 0.25 * k] for k in range(n)]          # all on one line
+        rows.append((i, True, pts))
+        places.append((i, rng.randrange(8) / 8.0, rng.randrange(8) / 8.0))
+    routes = spark.createDataFrame(rows, "id long, feasible boolean, path array<array<double>>")
+    inc = spark.createDataFrame(places, "id long, latitude double, longitude double")
+    got = {r.id: r for r in DV.hulls(routes, inc).collect()}
+    for (i, _, pts), (_, la, lo) in zip(rows, places):
+        own = {tuple(p) for p in pts} | {(la, lo)}
+        assert [tuple(p) for p in got[i].hull] == (_hull(own) if len(own) > 1 else list(own)), (i, own)
+        assert got[i].hull_vertices == len(got[i].hull)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions.asof import asof_join
 from ..functions.quantiles import group_quantiles
 
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -192,3 +193,16 @@ def history_lookup(queries: DataFrame, medians: DataFrame) -> DataFrame:
 
 def corridor_list(df: DataFrame) -> DataFrame:
     return df.select("corridor").distinct().orderBy("corridor")
+
+
+def corridor_days(events: DataFrame) -> DataFrame:
+    """(corridor, at, events, median_7d) for each ``day`` with events of a corridor; known from the day's end ``at`` on."""
+    n = events.groupBy("corridor", "day").agg(F.count(F.lit(1)).alias("events"))
+    median = group_quantiles(events, ["corridor", "day"], "corridor_7d_score", {"median_7d": 0.5})
+    return (n.join(median, ["corridor", "day"], "left")
+             .select("corridor", (F.col("day") + F.expr("INTERVAL 1 DAY")).alias("at"), "events", "median_7d"))
+
+
+def history_asof(events: DataFrame, days: DataFrame) -> DataFrame:
+    """``events`` with the corridor's latest day that had ended by their time (null: none had)."""
+    return asof_join(events, days, ["corridor"], "start_datetime", "at", ["events", "median_7d"])

@@ -40,6 +40,7 @@ TREE_PARAMS = dict(maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8",
 GBT_ITER = 300
 GBT_STEP = 0.05
 RF_TREES = 300
+ROWS_A_TASK = 100_000
 
 
 def train_frame(features: DataFrame) -> DataFrame:
@@ -62,6 +63,11 @@ def _tree_checkpoints(df: DataFrame) -> None:
     df.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(df.sparkSession))
 
 
+def _rows_together(df: DataFrame, rows: int) -> DataFrame:
+    """Fewer partitions where they would hold less than ROWS_A_TASK rows: a boosting round is a few passes over all of them."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def severity_model(train: DataFrame) -> PipelineModel:
     w = M.class_weights(train, "severity_label").select("severity_label", F.col("weight").alias("w"))
     t = train.join(F.broadcast(w), "severity_label")
@@ -76,7 +82,7 @@ def duration_model(train: DataFrame) -> PipelineModel:
         .withColumn("log_duration", F.log1p("duration_minutes"))
     gbt = GBTRegressor(labelCol="log_duration", featuresCol="features", maxIter=GBT_ITER, stepSize=GBT_STEP,
                        **TREE_PARAMS)
-    return Pipeline(stages=[_assembler(REG_FEATURES), gbt]).fit(t)
+    return Pipeline(stages=[_assembler(REG_FEATURES), gbt]).fit(_rows_together(t, train.count()))
 
 
 def closure_model(train: DataFrame) -> tuple[PipelineModel, object]:
@@ -89,8 +95,8 @@ def closure_model(train: DataFrame) -> tuple[PipelineModel, object]:
         "w", F.when(F.col("road_closure_binary") == 1, F.col("n") / F.greatest(F.col("p"), F.lit(1))).otherwise(1.0))
     gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="w", maxIter=GBT_ITER, stepSize=GBT_STEP,
                         **TREE_PARAMS)
-    model = Pipeline(stages=[_assembler(CLOSURE_FEATURES), gbt]).fit(
-        fit.withColumn("label", F.col("road_closure_binary").cast("double")))
+    model = Pipeline(stages=[_assembler(CLOSURE_FEATURES), gbt]).fit(_rows_together(
+        fit.withColumn("label", F.col("road_closure_binary").cast("double")), train.count()))
     cal = model.transform(d.filter(~F.col("__fit"))).select(
         F.col("road_closure_binary").cast("double").alias("label"),
         vector_to_array("probability")[1].alias("raw_score"))
@@ -151,7 +157,7 @@ def walk_forward(frame: DataFrame, n_splits: int = 5) -> DataFrame:
         F.count_if(train & (F.col("label") == 1)).alias("pos"), F.count_if(train & (F.col("label") == 0)).alias("neg"))
 
     def fit(f):
-        t = d.filter(F.col("row_idx") < f.test_start).withColumn("w", F.when(F.col("label") == 1, f.neg / f.pos).otherwise(1.0))
+        t = _rows_together(d.filter(F.col("row_idx") < f.test_start), f.pos + f.neg).withColumn("w", F.when(F.col("label") == 1, f.neg / f.pos).otherwise(1.0))
         gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="w", maxIter=GBT_ITER, stepSize=GBT_STEP, **TREE_PARAMS)
         te = d.filter((F.col("row_idx") >= f.test_start) & (F.col("row_idx") < f.test_end))
         p = cut_lineage(gbt.fit(t).transform(te).select("label", vector_to_array("probability")[1].alias("p")))

@@ -195,6 +195,18 @@ def history_lookup(spark, sf):
     return A.history_lookup(q, medians(spark, sf))
 
 
+@register("history_asof", with_base(
+    "SELECT f.id, f.corridor, s.at, coalesce(s.events, 0) AS events, s.median_7d FROM feat f ASOF LEFT JOIN (SELECT corridor, "
+    "CAST(date_trunc('day', start_datetime) AS TIMESTAMP) + INTERVAL 1 DAY AS at, CAST(count(*) AS BIGINT) AS events, "
+    "quantile_cont(CAST(corridor_7d_score AS DOUBLE), 0.5) AS median_7d FROM feat WHERE corridor IS NOT NULL GROUP BY 1, 2) s "
+    "ON f.corridor = s.corridor AND f.start_datetime >= s.at"))
+def history_asof(spark, sf):
+    """Corridor history as of each event's time: the latest day with events that had ended by then."""
+    f = base.features(spark, sf).select("id", "corridor", "start_datetime", "corridor_7d_score")
+    daily = f.withColumn("day", F.date_trunc("day", "start_datetime").cast("timestamp_ntz"))
+    return A.history_asof(f.drop("corridor_7d_score"), A.corridor_days(daily)).drop("start_datetime").fillna(0, ["events"])
+
+
 @register("feat_all")
 def feat_all(spark, sf):
     """The full feature table: core + road context + DBSCAN labels + cluster history (model-ready projection)."""

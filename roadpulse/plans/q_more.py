@@ -16,7 +16,8 @@ from ..streaming.live import scratch
 from . import base
 from .catalog import register
 from .oracle import with_base
-from .q_roads import _JOIN, joined, network
+from .q_roads import _HIST, _JOIN, joined, network
+from .q_stream import _BATCHES
 
 
 @register("validate_live_event", with_base(
@@ -132,18 +133,31 @@ def _replay(spark, sf, name):
     return _replayed(spark, sf, name, 8)
 
 
-@register("stream_enrich")
+_ENRICH = _HIST + _BATCHES + [
+    "bn AS (SELECT b.batch, max(l.start_datetime) AS newest FROM (SELECT DISTINCT batch FROM lb) b JOIN lb l ON l.batch < b.batch GROUP BY 1)",
+    "lc AS (SELECT bn.batch, corridor, count(*) AS n FROM bn JOIN lb ON lb.batch < bn.batch AND start_datetime >= newest - INTERVAL 7 DAY GROUP BY ALL)",
+    "lj AS (SELECT bn.batch, junction, count(*) AS n FROM bn JOIN lb ON lb.batch < bn.batch AND junction <> 'unknown' GROUP BY ALL)"]
+
+
+def _precedence_sql(own: str, live: str, name: str) -> str:
+    return (f"CAST(CASE WHEN e.id % 5 = 0 AND e.{own} IS NOT NULL THEN e.{own} WHEN bn.batch IS NOT NULL THEN coalesce({live}.n, 0) "
+            f"ELSE coalesce(p.{own}, g.{own}) END AS BIGINT) AS {own}, CASE WHEN e.id % 5 = 0 AND e.{own} IS NOT NULL THEN 'override' "
+            f"WHEN bn.batch IS NOT NULL THEN 'live' ELSE 'median' END AS {name}_source")
+
+
+@register("stream_enrich", with_base(
+    "SELECT e.id, e.event_semantic_type, " + _precedence_sql("corridor_7d_score", "lc", "corridor_7d") + ", " + _precedence_sql("junction_repeat_count", "lj", "junction_repeat")
+    + ", CASE WHEN p.corridor IS NOT NULL THEN p.lane_count ELSE g.lane_count END AS lane_count FROM lb e LEFT JOIN bn ON bn.batch = e.batch "
+    "LEFT JOIN lc ON lc.batch = e.batch AND lc.corridor = e.corridor LEFT JOIN lj ON lj.batch = e.batch AND lj.junction = e.junction "
+    "LEFT JOIN (SELECT * FROM hm WHERE NOT is_global) p ON e.corridor = p.corridor CROSS JOIN (SELECT * FROM hm WHERE is_global) g", extra=_ENRICH))
 def stream_enrich(spark, sf):
-    """Text mining + corridor history for live events (stream-static join with the medians)."""
-    from ..operators import analytics as A
-    from ..operators import features as FE
+    """Live events with history by precedence: own value (every fifth event brings one), live store, corridor median."""
     from .q_stream import _static
     folder, s = _replay(spark, sf, "enrich")
     med, _ = _static(spark, sf)
-    d = FE.text_semantic_encode(FE.text_semantic_type(L.without_closing(s))).drop("corridor_7d_score", "junction_repeat_count")
-    e = A.history_lookup(d, med)  # stream-static: medians are a small static table
-    return L.run_to_table(e.drop("event_time"), folder, "enriched").select(
-        "id", "event_semantic_type", "corridor_7d_score", "junction_repeat_count", "lane_count")
+    own = {c: F.when(F.col("id") % 5 == 0, F.col(c)) for c in ("corridor_7d_score", "junction_repeat_count")}
+    return L.enrich_live(s.withColumns(own), med, folder).select(
+        "id", "event_semantic_type", "corridor_7d_score", "corridor_7d_source", "junction_repeat_count", "junction_repeat_source", "lane_count")
 
 
 @register("road_snap_stream")

@@ -201,7 +201,15 @@ def stream_late(spark, sf):
     return spark.read.parquet(L.late_rows(s, folder)).select("id", "ts", "corridor")
 
 
-@register("live_history_state")
+# A day's file is a block, late rows are the last one; eight files make a batch.
+_BATCHES = ["lb AS (SELECT f.*, (dense_rank() OVER (ORDER BY CASE WHEN id % 37 = 0 THEN DATE '9999-01-01' ELSE CAST(start_datetime AS DATE) END) - 1) // 8 "
+            "AS batch FROM feat f)"]
+
+
+@register("live_history_state", with_base(
+    "SELECT a.id, a.corridor, a.start_datetime AS ts, CAST(count(b.id) AS INTEGER) AS corridor_7d_live FROM lb a LEFT JOIN lb b ON a.corridor = b.corridor "
+    "AND b.start_datetime >= a.start_datetime - INTERVAL 7 DAY AND b.start_datetime < a.start_datetime AND b.batch <= a.batch GROUP BY 1, 2, 3",
+    extra=_BATCHES))
 def live_history_state(spark, sf):
     folder, s = _replayed(spark, sf, "state", 8)
-    return L.run_to_table(L.corridor_live_history(L.without_closing(s)), folder, "corridor_state")
+    return L.corridor_live_history(s, folder)

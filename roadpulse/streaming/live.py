@@ -15,12 +15,11 @@ from __future__ import annotations
 import os
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import vocab
+from ..functions.windows import count_in_lookback
 from ..operators import analytics as A
 from ..operators import clean as C
 from ..operators import decide as D
@@ -84,6 +83,11 @@ def read_live(spark: SparkSession, src: str, schema, files_per_trigger: int = 1)
     return s.withColumn("event_time", F.col("ts").cast("timestamp"))
 
 
+def version(folder: str, batch_id: int) -> str:
+    """The folder of a table as it is after a batch; a batch that runs again overwrites its own."""
+    return os.path.join(folder, f"batch_id={batch_id}")
+
+
 def without_closing(stream: DataFrame) -> DataFrame:
     return stream.filter(F.col("id").isNotNull())
 
@@ -183,60 +187,115 @@ def late_rows(stream: DataFrame, folder: str, lateness_hours: int = 24) -> str:
     """Rows older than (max event time of earlier batches - lateness) go to a side table.
 
     The aggregate drops them silently, so this branch compares each row with the
-    newest event time *before* aggregation.  That time is kept per batch id: a
-    replayed batch reads only the batches before it and overwrites its own rows.
+    newest event time *before* aggregation.  That time is a running maximum, a row per
+    batch id: a batch reads the row of the batch before it and overwrites its own.
     """
     spark = stream.sparkSession
     side, state = os.path.join(folder, "late"), os.path.join(folder, "late_state")
     row = stream.drop("event_time").schema
     spark.createDataFrame([], row).write.parquet(os.path.join(side, "batch_id=-1"))
-    spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS max_ts").write.parquet(os.path.join(state, "batch_id=-1"))
+    spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS max_ts").write.parquet(version(state, -1))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         own = without_closing(batch)
-        seen = batch.sparkSession.read.parquet(state).filter(F.col("batch_id") < batch_id).agg(F.max("max_ts").alias("__seen"))
+        seen = batch.sparkSession.read.parquet(version(state, batch_id - 1)).select(F.col("max_ts").alias("__seen"))
         late = own.crossJoin(F.broadcast(seen)).filter(
             F.col("event_time") < F.col("__seen") - F.expr(f"INTERVAL {int(lateness_hours)} HOURS"))
         late.drop("event_time", "__seen").write.mode("overwrite").parquet(os.path.join(side, f"batch_id={batch_id}"))
-        own.agg(F.max("event_time").alias("max_ts")).write.mode("overwrite").parquet(os.path.join(state, f"batch_id={batch_id}"))
+        newest = own.agg(F.max("event_time").alias("own")).crossJoin(seen).select(F.greatest("own", "__seen").alias("max_ts"))
+        newest.write.mode("overwrite").parquet(version(state, batch_id))
 
     run_foreach(stream, folder, "late", handle)
     return side
 
 
 # --------------------------------------------------------------------------
-# stateful per-corridor 7-day count
+# history of live events: look-back counts, and the store that enriches events
 # --------------------------------------------------------------------------
 
-STATE_OUT = "id long, corridor string, ts timestamp, corridor_7d_live int"
-STATE_SCHEMA = "times array<timestamp>"
-
-
-def _corridor_state(key, pdfs, state):
-    """Keep the corridor's event times of the trailing 7 days (sorted); emit each new
-    event's count of earlier events within [t - 7d, t) by binary search."""
-    import bisect
-    (corridor,) = key
-    times = sorted(pd.Timestamp(x) for x in state.get[0]) if state.exists else []
-    rows = []
-    week = pd.Timedelta(days=7)
-    for pdf in pdfs:
-        for r in pdf.sort_values(["event_time", "id"]).itertuples(index=False):
-            t = pd.Timestamp(r.event_time)
-            n = bisect.bisect_left(times, t) - bisect.bisect_left(times, t - week)
-            rows.append((int(r.id), corridor, t.to_pydatetime(), int(n)))
-            bisect.insort(times, t)
-    if times:
-        keep_from = times[-1] - week
-        times = times[bisect.bisect_left(times, keep_from):]
-    state.update(([x.to_pydatetime() for x in times],))
-    if rows:
-        yield pd.DataFrame(rows, columns=["id", "corridor", "ts", "corridor_7d_live"])
-
-
-def corridor_live_history(stream: DataFrame) -> DataFrame:
-    """``applyInPandasWithState`` keyed by corridor; state = event times of the last 7 days."""
-    return (stream.select("id", "corridor", "event_time")
-                  .groupBy("corridor")
-                  .applyInPandasWithState(_corridor_state, STATE_OUT, STATE_SCHEMA, "append",
-                                          GroupStateTimeout.NoTimeout))
+WEEK = "INTERVAL 7 DAYS"
+
+
+def corridor_live_history(stream: DataFrame, folder: str) -> DataFrame:
+    """(id, corridor, ts, corridor_7d_live): events of the corridor in [t - 7 days, t) that had arrived by the row's batch.
+
+    Rows in order need the last week of the store, late rows that of their own time: the
+    store is kept by day of event time, and a batch reads the days its rows look back
+    on.  The counts are differences of bucketed prefix counts, so no task holds a corridor.
+    A batch that runs again overwrites its rows in the store and in the result.
+    """
+    spark = stream.sparkSession
+    store, out = os.path.join(folder, "week_store"), os.path.join(folder, "week_counts")
+    row = "id long, corridor string, ts timestamp_ntz"
+    spark.createDataFrame([], row + ", corridor_7d_live int").write.parquet(version(out, -1))
+    spark.createDataFrame([], row + ", day date, batch_id int").write.parquet(os.path.join(store, "day=1970-01-01", "batch_id=-1"))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        own = without_closing(batch).select("id", "corridor", "ts").persist()
+        first, last = own.agg(F.min("ts"), F.max("ts")).first()
+        if first is not None:
+            held = session.read.schema(row + ", day date, batch_id int").parquet(store).filter(
+                (F.col("batch_id") < batch_id) & F.col("day").between(F.to_date(F.lit(first) - F.expr(WEEK)), F.to_date(F.lit(last))))
+            both = held.select("id", "corridor", "ts", F.lit(False).alias("fresh")).unionByName(own.withColumn("fresh", F.lit(True)))
+            counted = count_in_lookback(both, ["corridor"], "ts", "id", "corridor_7d_live")
+            counted.filter("fresh").drop("fresh").write.mode("overwrite").parquet(version(out, batch_id))
+            (own.withColumn("day", F.to_date("ts")).withColumn("batch_id", F.lit(batch_id)).repartition("day")
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(store))
+        own.unpersist()
+
+    run_foreach(stream, folder, "week", handle)
+    return spark.read.parquet(out).drop("batch_id")
+
+
+STORE = {"recent": "corridor string, ts timestamp_ntz, n long", "junctions": "junction string, n long", "newest": "ts timestamp_ntz"}
+
+
+def store_after(before: dict[str, DataFrame], rows: DataFrame) -> dict[str, DataFrame]:
+    """The live store after more rows: events of its last week by corridor and time, totals by junction, the newest time.
+
+    The week ends at the newest row, which only moves on, so older rows can go.
+    """
+    newest = before["newest"].unionByName(rows.select("ts")).agg(F.max("ts").alias("ts"))
+    recent = (before["recent"].unionByName(rows.groupBy("corridor", "ts").agg(F.count(F.lit(1)).alias("n")))
+              .join(F.broadcast(newest.select(F.col("ts").alias("__newest"))), F.col("ts") >= F.col("__newest") - F.expr(WEEK))
+              .groupBy("corridor", "ts").agg(F.sum("n").alias("n")))
+    junctions = (before["junctions"].unionByName(rows.filter("junction <> 'unknown'").groupBy("junction").agg(F.count(F.lit(1)).alias("n")))
+                 .groupBy("junction").agg(F.sum("n").alias("n")))
+    return {"recent": recent, "junctions": junctions, "newest": newest}
+
+
+def with_live_history(events: DataFrame, store: dict[str, DataFrame], medians: DataFrame) -> DataFrame:
+    """``events`` with the two history values and where each comes from: the caller's own value, else the live store
+    once it holds an event, else the corridor's median (all corridors' where it has none)."""
+    own = {"corridor_7d_score": "corridor", "junction_repeat_count": "junction"}
+    e = events.withColumnsRenamed({c: f"__own_{c}" for c in own})
+    week = store["recent"].groupBy("corridor").agg(F.sum("n").alias("__live_corridor_7d_score"))
+    e = e.join(week, "corridor", "left").join(store["junctions"].withColumnRenamed("n", "__live_junction_repeat_count"), "junction", "left")
+    e = e.crossJoin(F.broadcast(store["newest"].agg(F.max("ts").isNotNull().alias("__warm"))))      # one row
+    e = A.history_lookup(e, medians)
+    for c in own:
+        live = F.when(F.col("__warm"), F.coalesce(F.col(f"__live_{c}"), F.lit(0)))
+        e = e.withColumn(c.rsplit("_", 1)[0] + "_source", F.when(F.col(f"__own_{c}").isNotNull(), "override").when(F.col("__warm"), "live").otherwise("median"))
+        e = e.withColumn(c, F.coalesce(F.col(f"__own_{c}"), live, F.col(c)).cast("long"))
+    return e.drop("__warm", *[f"__{k}_{c}" for k in ("own", "live") for c in own])
+
+
+def enrich_live(stream: DataFrame, medians: DataFrame, folder: str) -> DataFrame:
+    """Live events with text type and history; a batch sees the store of the batches before it and leaves the next version."""
+    spark = stream.sparkSession
+    state, out = os.path.join(folder, "store"), os.path.join(folder, "enriched")
+    for name, schema in STORE.items():
+        spark.createDataFrame([], schema).write.parquet(version(os.path.join(state, name), -1))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        own = without_closing(batch).drop("event_time")
+        before = {k: session.read.schema(s).parquet(version(os.path.join(state, k), batch_id - 1)) for k, s in STORE.items()}
+        d = FE.text_semantic_encode(FE.text_semantic_type(own))
+        with_live_history(d, before, medians).write.mode("overwrite").parquet(version(out, batch_id))
+        for name, table in store_after(before, own).items():
+            table.write.mode("overwrite").parquet(version(os.path.join(state, name), batch_id))
+
+    run_foreach(stream, folder, "enrich", handle)
+    return spark.read.parquet(out).drop("batch_id")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,68 +39,85 @@ def topk_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
         .drop("__salt", "__r1")
 
 
-def knn_join(queries: DataFrame, points: DataFrame, keys: list[str], k: int,
-             start_km: float = 1.0, metric: str = "haversine",
-             exclude_self: bool = False) -> DataFrame:
-    """Exact k nearest ``points`` (haversine, ties by start/id) per query with equal ``keys``.
+FINEST_KM = 0.05        # side of the smallest cells of the search grid
+
 
-    Expanding rings: with cells of c km, every point within c km of a query is
-    in the query's 3x3 block, so a query with >= k candidates within c km is
-    final.  Others retry with 4c; the last pass covers the whole extent.
-    Returns ``qid, pid, distance_km, pool_rank``.
+def knn_join(queries: DataFrame, points: DataFrame, keys: list[str], k: int, metric: str = "haversine",
+             exclude_self: bool = False) -> DataFrame:
+    """Exact k nearest ``points`` (ties by start, then id) per query with equal ``keys``: ``qid, pid, distance_km, pool_rank``.
+
+    * Places, not rows, are searched: of the points at one place and key only the first
+      k can be among a query's nearest, and queries at one place have the same nearest.
+      So a place with a third of all rows is one row, its points are cut to k before a
+      shuffle.
+    * The grid is a quadtree: each place of queries starts at the smallest cell around it
+      that holds k points, so that dense areas are searched with small cells.
+    * Every point within one side of a cell lies in the 3 x 3 cells around the query; if
+      there are k within that distance the search is over, else it goes on with cells
+      twice as large, at last with one that covers everything.
+    * Of the candidates, places are kept while those strictly nearer hold less than k points.
     """
-    ext = points.agg(F.min("latitude").alias("a"), F.max("latitude").alias("b"),
-                     F.min("longitude").alias("c"), F.max("longitude").alias("d"),
-                     F.max(F.abs("latitude")).alias("m")).first()
+    need = k + exclude_self
+    spots = [*keys, "latitude", "longitude"]
+    q = queries.select("qid", *spots).dropna(subset=["latitude", "longitude"])
+    p = points.select("pid", *spots, "start_datetime").dropna(subset=["latitude", "longitude"])
+    ext = p.select("latitude", "longitude").union(q.select("latitude", "longitude")).agg(
+        F.min("latitude").alias("a"), F.max("latitude").alias("b"), F.min("longitude").alias("c"), F.max("longitude").alias("d"),
+        F.max(F.abs("latitude")).alias("m")).first()
     if ext["a"] is None:
         return queries.sparkSession.createDataFrame([], "qid long, pid long, distance_km double, pool_rank int")
-    coslat = max(math.cos(math.radians(min((ext["m"] or 0) + 1.0, 89.0))), 1e-3)
-    span_km = max((ext["b"] - ext["a"]) * 111.2, (ext["d"] - ext["c"]) * 111.2) + 1.0
-    pts = cut_lineage(points.select("pid", *keys, "latitude", "longitude", "start_datetime"))
-    pending = cut_lineage(queries.select("qid", *keys, "latitude", "longitude"))
-    done = None
-    c = start_km
-    while True:
-        last = c >= span_km
-        if metric == "euclid_deg":  # plain euclidean distance in degree space, cell side c/111 degrees
-            dlat = dlon = c / 111.0
-        else:
-            dlat, dlon = c / 110.0, c / (111.4 * coslat)
-        q = (pending.withColumn("__r", F.floor(F.col("latitude") / dlat).cast("long"))
-                    .withColumn("__c", F.floor(F.col("longitude") / dlon).cast("long"))
-                    .withColumn("__r", F.explode(F.array(*[F.col("__r") + o for o in (-1, 0, 1)])))
-                    .withColumn("__c", F.explode(F.array(*[F.col("__c") + o for o in (-1, 0, 1)]))))
-        p = (pts.withColumn("__r", F.floor(F.col("latitude") / dlat).cast("long"))
-                .withColumn("__c", F.floor(F.col("longitude") / dlon).cast("long"))
-                .select("pid", *keys, "__r", "__c", F.col("latitude").alias("plat"),
-                        F.col("longitude").alias("plon"), "start_datetime"))
-        cand = q.join(p, keys + ["__r", "__c"])
-        if exclude_self:
-            cand = cand.filter(F.col("pid") != F.col("qid"))
+    coslat = max(math.cos(math.radians(min(ext["m"] + 1.0, 89.0))), 1e-3)
+    span = max((ext["b"] - ext["a"]) * 111.2, (ext["d"] - ext["c"]) * 111.2) + 1.0
+    levels = max(0, math.floor(math.log2(span / FINEST_KM)))
+    side = F.lit(span) / F.pow(F.lit(2.0), F.col("level"))
+    # euclidean distance in degrees: cells of side/111 degrees
+    dlat, dlon = (side / 111.0, side / 111.0) if metric == "euclid_deg" else (side / 110.0, side / (111.4 * coslat))
+    row, col = F.floor(F.col("latitude") / dlat).cast("long"), F.floor(F.col("longitude") / dlon).cast("long")
+    in_cells = lambda df: df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("row", row).withColumn("col", col)
+    cell = [*keys, "level", "row", "col"]
+
+    at_place = Window.partitionBy(*spots).orderBy("start_datetime", "pid")
+    held = cut_lineage(p.withColumn("n", F.row_number().over(at_place)).filter(F.col("n") <= need).drop("n"))
+    placed = cut_lineage(in_cells(held.groupBy(*spots).agg(F.count(F.lit(1)).alias("n"))))
+    full = placed.groupBy(*cell).agg(F.sum("n").alias("n")).filter(F.col("n") >= need)
+    asked = cut_lineage(q.select(*spots).distinct().withColumn("spot", F.monotonically_increasing_id()))
+    start = in_cells(asked).join(full, cell, "left_semi").groupBy("spot").agg(F.max("level").alias("level"))
+    pending = cut_lineage(asked.join(start, "spot", "left").fillna(0, ["level"]))
+    theirs = placed.select(*cell, "n", F.col("latitude").alias("plat"), F.col("longitude").alias("plon"))
+    found = []
+    while not pending.isEmpty():
+        around = pending.withColumn("row", row).withColumn("col", col)
+        for c in ("row", "col"):
+            around = around.withColumn(c, F.explode(F.array(*[F.col(c) + o for o in (-1, 0, 1)])))
         if metric == "euclid_deg":
-            dist = F.sqrt(F.pow(F.col("latitude") - F.col("plat"), 2) + F.pow(F.col("longitude") - F.col("plon"), 2))
-            reach = F.lit(0.99 * c / 111.0)
-        else:
-            dist = haversine_km(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plon"))
-            reach = F.lit(0.99 * c)
-        cand = cand.withColumn("distance_km", dist)
-        w = Window.partitionBy("qid").orderBy("distance_km", "start_datetime", "pid")
-        cand = cand.withColumn("pool_rank", F.row_number().over(w)).filter(F.col("pool_rank") <= k)
-        if last:
-            ok = cand
+            dist, reach = F.sqrt(F.pow(F.col("latitude") - F.col("plat"), 2) + F.pow(F.col("longitude") - F.col("plon"), 2)), 0.99 * side / 111.0
         else:
-            good = (cand.groupBy("qid").agg(F.count_if(F.col("distance_km") <= reach).alias("__n"))
-                        .filter(F.col("__n") >= k).select("qid"))
-            ok = cand.join(good, "qid", "left_semi")
-        ok = cut_lineage(ok.select("qid", "pid", "distance_km", "pool_rank"))
-        done = ok if done is None else done.unionByName(ok)
-        if last:
-            break
-        pending = cut_lineage(pending.join(ok.select("qid").distinct(), "qid", "left_anti"))
-        if pending.limit(1).count() == 0:
-            break
-        c *= 4.0
-    return done
+            dist, reach = haversine_km(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plon")), 0.99 * side
+        cand = around.join(theirs, cell).withColumn("distance_km", dist)
+        inside = F.sum(F.when(F.col("distance_km") <= reach, F.col("n")).otherwise(0))
+        sure = cand.groupBy("spot", "level").agg(inside.alias("n")).filter((F.col("n") >= need) | (F.col("level") == 0)).select("spot")
+        near = Window.partitionBy("spot").orderBy("distance_km").rangeBetween(Window.unboundedPreceding, 0)
+        peers = Window.partitionBy("spot", "distance_km")
+        kept = (cand.join(sure, "spot", "left_semi").withColumn("nearer", F.sum("n").over(near) - F.sum("n").over(peers))
+                    .filter(F.col("nearer") < need))
+        kept = cut_lineage(kept.select("spot", *keys, "plat", "plon", "distance_km"))
+        found.append(kept)
+        # at level 0 a spot without any candidate is done as well
+        pending = cut_lineage(pending.filter("level > 0").join(kept.select("spot").distinct(), "spot", "left_anti")
+                                     .withColumn("level", F.col("level") - 1))
+    if not found:
+        return queries.sparkSession.createDataFrame([], "qid long, pid long, distance_km double, pool_rank int")
+    places = reduce(DataFrame.unionByName, found)
+    theirs = held.withColumnsRenamed({"latitude": "plat", "longitude": "plon"})
+    first = Window.partitionBy("spot").orderBy("distance_km", "start_datetime", "pid")
+    of_spot = (places.join(theirs, [*keys, "plat", "plon"]).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= need)
+                     .select("spot", "pid", "distance_km", "start_datetime"))
+    own = q.join(asked, spots).select("qid", "spot").join(of_spot, "spot")
+    if exclude_self:
+        own = own.filter(F.col("pid") != F.col("qid"))
+    rank = Window.partitionBy("qid").orderBy("distance_km", "start_datetime", "pid")
+    return own.withColumn("pool_rank", F.row_number().over(rank)).filter(F.col("pool_rank") <= k).select(
+        "qid", "pid", "distance_km", "pool_rank")
 
 
 # --------------------------------------------------------------------------

@@ -72,6 +72,57 @@ def test_knn_join_matches_bruteforce(spark):
         assert [pid for _, pid in sorted(got[qr.qid])] == [c[2] for c in cand]
 
 
+def _hot_points(n, seed):
+    """A third of the rows in one place, a third in a dense block of places, the rest spread widely; some keys are rare."""
+    import datetime as dt
+    import random
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        la, lo = ((12.97, 77.59) if i % 3 == 0 else (12.9 + rng.randrange(12) / 5000, 77.5 + rng.randrange(12) / 5000) if i % 3 == 1
+                  else (12.5 + rng.random(), 77.2 + rng.random() * 0.7))
+        rows.append((i, "rare" if i % 101 == 0 else "a" if i % 4 else "b", la, lo, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(50))))
+    return rows
+
+
+@pytest.mark.parametrize("metric,own", [("haversine", False), ("euclid_deg", True)])
+def test_knn_join_with_a_hot_place(spark, metric, own):
+    rows = _hot_points(600, 3)
+    pts = spark.createDataFrame(rows, "pid long, key string, latitude double, longitude double, start_datetime timestamp_ntz")
+    far = [(10_000, "a", 40.0, 10.0), (10_001, "none", 12.9, 77.5), (10_002, "rare", 12.97, 77.59)]
+    asked = [r[:4] for r in rows if r[0] % 4 == 0] + far
+    q = spark.createDataFrame(asked, "qid long, key string, latitude double, longitude double")
+    got = {}
+    for r in P.knn_join(q, pts, ["key"], 5, metric=metric, exclude_self=own).collect():
+        got.setdefault(r.qid, []).append((r.pool_rank, r.pid, r.distance_km))
+    for i, key, la, lo in asked:
+        dist = (lambda r: _hav_km((la, lo), (r[2], r[3]))) if metric == "haversine" else (lambda r: math.hypot(la - r[2], lo - r[3]))
+        able = {r[0]: r for r in rows if r[1] == key and not (own and r[0] == i)}
+        mine = [pid for _, pid, _ in sorted(got.get(i, []))]
+        assert [n for n, _, _ in sorted(got.get(i, []))] == list(range(1, min(5, len(able)) + 1))
+        # the distances are the least ones (equal up to rounding), and of a place the first rows are taken in order
+        assert [dist(able[p]) for p in mine] == pytest.approx(sorted(map(dist, able.values()))[:5], abs=1e-9), i
+        for place in {able[p][2:4] for p in mine}:
+            there = [p for p in mine if able[p][2:4] == place]
+            assert there == [r[0] for r in sorted((r for r in able.values() if r[2:4] == place), key=lambda r: (r[4], r[0]))][:len(there)]
+
+
+def test_candidates_of_a_hot_place_are_bounded(spark, monkeypatch):
+    """What meets a query's place does not grow with the rows in one place."""
+    seen = []
+    for n in (600, 2400):
+        pts = spark.createDataFrame(_hot_points(n, 3), "pid long, key string, latitude double, longitude double, start_datetime timestamp_ntz")
+        pts = pts.withColumn("key", F.lit("all"))
+        sizes = []
+        cut = P.cut_lineage
+        monkeypatch.setattr(P, "cut_lineage", lambda df, *a: (out := cut(df, *a), sizes.append(
+            out.filter("latitude = 12.97").count() if "pid" in out.columns else 0))[0])
+        P.knn_join(pts.withColumnRenamed("pid", "qid"), pts, ["key"], 5)
+        monkeypatch.setattr(P, "cut_lineage", cut)
+        seen.append(max(sizes))
+    assert seen == [5, 5]
+
+
 def test_holdout_fixture_numbers(spark):
     from roadpulse.operators import spatial as S
     h = {r.threshold: (r.n_hot_cells, r.hits, r.n_train, r.n_test, r.occupied_cells)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..session import cut_lineage
 from ..functions.geo import circle_ring, haversine_km
 from ..functions.quantiles import group_quantiles
 from .analytics import deterministic_mode
@@ -95,22 +96,35 @@ def zone_centroids(df: DataFrame) -> DataFrame:
     return known.groupBy("zone").agg(F.avg("latitude").alias("zlat"), F.avg("longitude").alias("zlon"))
 
 
+MANY_ZONES = 10_000        # centroids that may travel as one row
+
+
 def zone_impute(df: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
-    """``Unknown`` zones -> nearest known-zone centroid by squared degrees.
+    """``Unknown`` zones -> nearest known-zone centroid by squared degrees, ties by name.
 
-    Zones are a closed vocabulary, so the centroid list is folded into one
-    array (a one-row broadcast) and the argmin is evaluated per row with
-    higher-order functions: no shuffle of the fact table.  Ties -> first zone name.
+    Up to ``MANY_ZONES`` centroids are folded into one array (a one-row broadcast) and the
+    argmin is evaluated per row: no shuffle of the fact table.  Beyond that, which is
+    checked, the places of the rows to fill meet the centroids in a nearest-neighbour
+    join by cells.
     """
-    cents = centroids if centroids is not None else zone_centroids(df)
-    arr = cents.agg(F.collect_list(F.struct("zone", "zlat", "zlon")).alias("__zc"))
-    j = df.crossJoin(F.broadcast(arr))
-    best = F.array_min(F.transform(F.col("__zc"), lambda c: F.struct(
-        (F.pow(F.col("latitude") - c["zlat"], 2) + F.pow(F.col("longitude") - c["zlon"], 2)).alias("d2"),
-        c["zone"].alias("zone"))))
-    unknown = F.col("zone").isNull() | (F.col("zone") == "Unknown")
-    imputable = unknown & (F.size("__zc") > 0) & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    return j.withColumn("zone", F.when(imputable, best["zone"]).otherwise(F.col("zone"))).drop("__zc")
+    cents = cut_lineage(centroids if centroids is not None else zone_centroids(df))
+    unknown = (F.col("zone").isNull() | (F.col("zone") == "Unknown")) & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    if cents.count() <= MANY_ZONES:
+        arr = cents.agg(F.collect_list(F.struct("zone", "zlat", "zlon")).alias("__zc"))
+        best = F.array_min(F.transform(F.col("__zc"), lambda c: F.struct(
+            (F.pow(F.col("latitude") - c["zlat"], 2) + F.pow(F.col("longitude") - c["zlon"], 2)).alias("d2"),
+            c["zone"].alias("zone"))))
+        filled = F.when(unknown & (F.size("__zc") > 0), best["zone"]).otherwise(F.col("zone"))
+        return df.crossJoin(F.broadcast(arr)).withColumn("zone", filled).drop("__zc")
+    from .planning import knn_join
+    spots = cut_lineage(df.filter(unknown).select("latitude", "longitude").distinct().withColumn("qid", F.monotonically_increasing_id()))
+    every = F.lit(1).alias("__all")
+    pts = cents.select(F.col("zone").alias("pid"), F.col("zlat").alias("latitude"), F.col("zlon").alias("longitude"), every,
+                       F.lit(0).alias("start_datetime"))
+    near = knn_join(spots.select("*", every), pts, ["__all"], 1, metric="euclid_deg")
+    near = near.join(spots, "qid").select(F.col("latitude").alias("__la"), F.col("longitude").alias("__lo"), F.col("pid").alias("__zone"))
+    j = df.join(near, unknown & (F.col("latitude") == F.col("__la")) & (F.col("longitude") == F.col("__lo")), "left")
+    return j.withColumn("zone", F.coalesce("__zone", "zone")).drop("__la", "__lo", "__zone")
 
 
 # --------------------------------------------------------------------------

@@ -229,8 +229,16 @@ def _diversion_targets(spark, sf):
 
 
 def _subgraph(spark, sf):
+    """The edges around every diversion target, written once per session and input."""
     from ..operators import diversion as DV
-    return cut_lineage(DV.local_subgraph(_diversion_targets(spark, sf), network(spark, sf)))
+    return base._stage(spark, "subgraph", sf, lambda: DV.local_subgraph(_diversion_targets(spark, sf), network(spark, sf)))
+
+
+def _sites(spark, sf):
+    """(arcs, nodes) of the targets' subgraphs, written once per session and input."""
+    from ..operators import diversion as DV
+    arc = base._stage(spark, "site-arcs", sf, lambda: DV.arcs(_subgraph(spark, sf)))
+    return arc, base._stage(spark, "site-nodes", sf, lambda: DV.site_nodes(_subgraph(spark, sf), arc))
 
 
 def _subgraph_sql(query: str | None = None, more: list[str] = ()) -> str:
@@ -310,9 +318,7 @@ def closure_zone(spark, sf):
     """Blocked point, shut nodes and exits of every diversion target."""
     from ..operators import diversion as DV
     t = _diversion_targets(spark, sf)
-    sub = DV.local_subgraph(t, network(spark, sf))
-    arc = DV.arcs(sub)
-    nodes = DV.site_nodes(sub, arc)
+    arc, nodes = _sites(spark, sf)
     site = nodes.groupBy("id").agg(F.first("nearest").alias("nearest"), F.first("n_nodes").alias("n_nodes"),
                                    F.count_if("shut").alias("n_shut"))
     out = DV.exits(arc, nodes).groupBy("id").agg(F.count(F.lit(1)).alias("n_exits"))
@@ -328,9 +334,7 @@ def closure_zone(spark, sf):
 def diversion_exits(spark, sf):
     """The pair of exits most opposite across the closure, and the straight distance between them."""
     from ..operators import diversion as DV
-    sub = DV.local_subgraph(_diversion_targets(spark, sf), network(spark, sf))
-    arc = DV.arcs(sub)
-    nodes = DV.site_nodes(sub, arc)
+    arc, nodes = _sites(spark, sf)
     p = DV.exit_pair(DV.exits(arc, nodes)).filter("entry is not null").join(
         nodes.filter("n_nodes >= 3").select("id").distinct(), "id")
     at = {f"{e}_{n}": f(F.col(e)) for e in ("entry", "exit") for n, f in (("lat", DV.node_lat), ("lon", DV.node_lon))}

@@ -123,6 +123,17 @@ def test_candidates_of_a_hot_place_are_bounded(spark, monkeypatch):
     assert seen == [5, 5]
 
 
+def test_zones_filled_by_array_or_by_join(spark, monkeypatch):
+    from roadpulse.operators import spatial as S
+    rows = [(i, None if i % 3 == 0 else "Unknown" if i % 3 == 1 else f"Z{i % 11}", None if i % 17 == 0 else 12.5 + (i * 37 % 100) / 100,
+             77.2 + (i * 53 % 70) / 100) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, zone string, latitude double, longitude double")
+    a = {r.id: r.zone for r in S.zone_impute(df).collect()}
+    monkeypatch.setattr(S, "MANY_ZONES", 2)
+    b = {r.id: r.zone for r in S.zone_impute(df).collect()}
+    assert a == b and len(a) == 300 and sum(z in (None, "Unknown") for z in a.values()) == sum(r[2] is None and r[0] % 3 < 2 for r in rows)
+
+
 def test_holdout_fixture_numbers(spark):
     from roadpulse.operators import spatial as S
     h = {r.threshold: (r.n_hot_cells, r.hits, r.n_train, r.n_test, r.occupied_cells)

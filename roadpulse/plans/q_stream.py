@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..operators import analytics as A
+from ..operators import spatial as S
 from ..sources import fixtures
 from ..streaming import live as L
 from . import base
 from .catalog import register
 from .oracle import SCORE, recommend_sql, with_base
 from .q_roads import medians as corridor_medians
+from .q_spatial import _CENT, HAV, LABELS, LF, labelled
 
 
 def store(spark, sf):
@@ -134,7 +137,9 @@ def _pipeline(spark, sf):
     """The three sinks of the live pipeline, run once per session and input."""
     def run():
         folder, s = _replayed(spark, sf, "pipeline", 8)
-        out = L.live_pipeline(s, *_static(spark, sf), folder)
+        footprints = L.scratch(spark, "footprints")
+        L.publish_footprints(S.cluster_centroids(labelled(spark, sf)), footprints)
+        out = L.live_pipeline(s, *_static(spark, sf), folder, footprints)
         return spark.createDataFrame(sorted(out.items()), "sink string, path string")
     return {r.sink: spark.read.parquet(r.path) for r in base._stage(spark, "live_pipeline", sf, run).collect()}
 
@@ -166,6 +171,15 @@ def stream_log(spark, sf):
     return _pipeline(spark, sf)["log"].select("id", "event_cause", "zone", "predicted_severity", "recommended_personnel")
 
 
+@register("stream_store", with_base(
+    "SELECT id, corridor, severity_class AS severity, 'active' AS status, CAST(coalesce((SELECT min_by(cluster, (d, cluster)) FROM (SELECT cluster, "
+    + HAV("clat", "clon", "f.latitude", "f.longitude") + " AS d, radius_km FROM cc) x "
+    f"WHERE d <= radius_km + {vocab.DBSCAN_EPS_KM}), -1) AS INTEGER) AS cluster FROM feat f", extra=[LABELS, LF, *_CENT]))
+def stream_store(spark, sf):
+    """The store rows written per batch, with the online cluster of every event."""
+    return _pipeline(spark, sf)["store"].select("id", "corridor", "severity", "status", "cluster")
+
+
 @register("stream_hourly_tumbling", with_base(
     "SELECT CAST(date_trunc('hour', start_datetime) AS TIMESTAMP) AS window_start, CAST(count(*) AS BIGINT) AS events FROM feat, wm "
     "WHERE id % 37 <> 0 OR CAST(date_trunc('hour', start_datetime) AS TIMESTAMP) + INTERVAL 1 HOUR > wm GROUP BY 1", extra=_REPLAY))

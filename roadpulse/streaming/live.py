@@ -24,6 +24,7 @@ from ..operators import analytics as A
 from ..operators import clean as C
 from ..operators import decide as D
 from ..operators import features as FE
+from ..operators import spatial as S
 from ..session import checkpoint_dir, prepare
 
 LAST_BLOCK = 1_000_000   # after every day number
@@ -132,9 +133,27 @@ def enrich_score(batch: DataFrame, medians: DataFrame, stats: DataFrame) -> Data
     return r
 
 
-def live_pipeline(stream: DataFrame, medians: DataFrame, stats: DataFrame, folder: str) -> dict:
-    """foreachBatch: scored events, alerts and decision-log rows, each written idempotently per batch id."""
-    out = {k: os.path.join(folder, k) for k in ("scored", "alerts", "log")}
+def publish_footprints(centroids: DataFrame, folder: str, since: int = 0) -> None:
+    """Publish cluster footprints that hold from batch ``since`` on."""
+    centroids.write.mode("overwrite").parquet(version(folder, since))
+
+
+def footprints_at(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """The newest footprints published for a batch; a batch that runs again sees the same ones."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path) if f.isDirectory()]
+    return spark.read.parquet(version(folder, max(v for v in known if v <= batch_id)))
+
+
+def live_pipeline(stream: DataFrame, medians: DataFrame, stats: DataFrame, folder: str, footprints: str | None = None) -> dict:
+    """foreachBatch: scored events, alerts, decision-log and store rows, each written idempotently per batch id.
+
+    A store row carries the cluster whose footprint holds the event (-1: none), by the
+    ``footprints`` that are newest for the batch; without them it is null.
+    """
+    out = {k: os.path.join(folder, k) for k in ("scored", "alerts", "log", "store")}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # the batch id is the partition folder (idempotent overwrite on replay)
@@ -151,6 +170,13 @@ def live_pipeline(stream: DataFrame, medians: DataFrame, stats: DataFrame, folde
                  F.lit("").alias("actual_clearance_min"), F.lit("").alias("actual_severity"),
                  F.lit("").alias("followed"), "id").write.mode("overwrite").parquet(
             os.path.join(out["log"], f"batch_id={batch_id}"))
+        e = s.select("id", "ts", "event_cause", "zone", "corridor", "latitude", "longitude", F.col("severity_class").alias("severity"),
+                     F.col("closure_probability").alias("closure_prob"), F.lit("active").alias("status"))
+        if footprints is None:
+            e = e.withColumn("cluster", F.lit(None).cast("int"))
+        else:
+            e = S.cluster_assign(e, footprints_at(batch.sparkSession, footprints, batch_id)).withColumnRenamed("assigned_cluster", "cluster")
+        e.write.mode("overwrite").parquet(version(out["store"], batch_id))
         s.unpersist()
 
     run_foreach(stream, folder, "pipeline", handle)

@@ -105,3 +105,21 @@ def test_a_batch_that_runs_again_changes_nothing(spark):
     for k in one:
         assert sorted(map(tuple, one[k].collect()), key=str) == sorted(map(tuple, again[k].collect()), key=str)
     assert L.store_after(one, rows.limit(0))["newest"].first()[0] == one["newest"].first()[0]
+
+
+def test_online_clusters_follow_the_newest_footprints(spark):
+    """Every store row has the cluster of the footprints published for its batch."""
+    from roadpulse.operators import spatial as S
+    from roadpulse.plans.q_spatial import labelled
+    from roadpulse.plans.q_stream import _static
+    folder, s, rows = _eight_files(spark, "t_store")
+    cents = S.cluster_centroids(labelled(spark, SF0001))
+    path = L.scratch(spark, "t_footprints")
+    L.publish_footprints(cents, path)
+    L.publish_footprints(cents.withColumn("cluster", F.col("cluster") + 5000), path, 2)
+    out = L.live_pipeline(s, *_static(spark, SF0001), folder, path)
+    got = {r.id: r.cluster for r in spark.read.parquet(out["store"]).collect()}
+    want = {r.id: r.assigned_cluster for r in S.cluster_assign(rows.select("id", "latitude", "longitude"), cents).collect()}
+    batch = _batch_of(rows.select("id", "ts").collect())
+    assert max(batch.values()) >= 2 and len(got) == len(want)
+    assert all(got[i] == (c + 5000 if c >= 0 and batch[i] >= 2 else c) for i, c in want.items())

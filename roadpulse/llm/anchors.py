@@ -13,6 +13,8 @@ by sorted 64-bit hashes, the text is shuffled once.
 Edge cases: null text has no words; a null doc_id counts as the largest, so it
 removes nothing from others; rows with equal doc_id do not remove each other's
 windows; repeated rows are each returned; an empty table gives an empty result.
+Very long texts are searched whole, one at a time beyond a chunk of about 1 MB; only
+doc_id and text are read.
 """
 
 from __future__ import annotations

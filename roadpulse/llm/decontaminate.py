@@ -24,7 +24,8 @@ query set: it is read in blocks of at most ``BLOCK_ITEMS`` items, one pass each.
 
 Edge cases: null or blank text and items without words match nothing; repeated
 items are all reported; a null item_id is reported as null; an empty benchmark
-leaves every document clean; an empty table gives an empty result.
+leaves every document clean; an empty table gives an empty result; very long texts are
+searched whole; an earlier column of the result's name is replaced.
 """
 
 from __future__ import annotations

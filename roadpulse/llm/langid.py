@@ -24,7 +24,7 @@ Edge cases: null text, or text without a letter, is ``und`` with score 0; text
 without any known word or n-gram gets the first learned language with the score
 of a tie; with nothing learned every text is ``und``; an empty table gives an
 empty result; repeated rows are judged each; extra columns stay, those named like
-an output are replaced; a text without a letter matches 0.
+an output are replaced; a text without a letter matches 0; very long texts are read whole.
 """
 
 from __future__ import annotations

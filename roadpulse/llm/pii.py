@@ -20,7 +20,8 @@ bounded by the features of the training windows.
 
 Edge cases: null text counts as empty; without a labelled span in the sample the
 model labels nothing; an empty table gives an empty result; repeated rows are
-searched each; only doc_id and text are read.
+searched each; only doc_id and text are read; very long texts and words are searched
+whole.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ and it travels as a literal.  Scanning is one projection: no shuffle, no Python.
 Edge cases: null text counts as empty (no spans, hash of the empty string);
 an empty table, or one without secrets in the sample, gives a model from the
 smoothing alone, where no token passes; repeated rows are scanned each; extra
-columns stay out of the result.
+columns stay out of the result of the query; very long texts are scanned whole.
 """
 
 from __future__ import annotations

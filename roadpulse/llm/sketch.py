@@ -13,7 +13,8 @@ Edge cases: null text counts as empty; a null doc_id sorts before all others;
 rows with equal doc_id are ordered by their text's hash; the only document is
 its own successor; an empty table gives an empty result; a text with no shingle
 below the threshold gets a digest of its words as fingerprint, alike (1.0) only
-to texts with the same words.
+to texts with the same words.  Very long texts are cut into words whole, in one row's
+array; only doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ text is shuffled once (see ``packed``).
 
 Edge cases: null text is empty; texts under 50 bytes lose nothing; a null doc_id
 counts as the largest; rows with equal doc_id do not remove each other's bytes;
-repeated rows are each returned; an empty table gives an empty result.
+repeated rows are each returned; an empty table gives an empty result.  Very
+long texts are searched whole, one at a time beyond a chunk of about 1 MB; only doc_id
+and text are read.
 """
 
 from __future__ import annotations

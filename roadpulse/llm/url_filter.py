@@ -15,7 +15,8 @@ into shards by key hash and reached by an equi-join on the shard.
 
 Edge cases: null url or one without ``://`` has empty host and path, no rule and
 verdict ``allow``; an empty table gives an empty result; repeated rows are judged
-each; extra columns stay.
+each; extra columns stay, those named like an output are replaced; very long urls are
+judged whole.
 """
 
 from __future__ import annotations

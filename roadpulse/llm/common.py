@@ -80,13 +80,14 @@ def span_text(spans: Column, kinds: list[str]) -> Column:
 
 
 def bounded_sample(docs: DataFrame, bound: int) -> DataFrame:
-    """At most about ``bound`` distinct rows of ``docs``, chosen by a hash of all their columns.
+    """About ``bound`` rows of ``docs`` at most, chosen by a hash of all their columns.
 
     The share follows the row count, so no task or driver sees more than its part of
-    the sample.  A hash of whole rows also parts rows of one doc_id or of none, and
-    equal rows, which share a hash, count once: so neither can fill the sample.
+    the sample.  A hash of whole rows also parts rows of one doc_id or of none.  Equal
+    rows share a hash: where they make the choice larger than twice the bound, which is
+    counted, each counts once.
     """
     n = docs.count()
     share = min(1 << 30, -(-(bound << 30) // max(n, 1)))
-    h = F.pmod(F.xxhash64(F.lit("sample"), *docs.columns), F.lit(1 << 30))
-    return docs.filter(h < share).distinct()
+    chosen = docs.filter(F.pmod(F.xxhash64(F.lit("sample"), *docs.columns), F.lit(1 << 30)) < share)
+    return chosen.distinct() if chosen.count() > 2 * bound else chosen

@@ -101,6 +101,12 @@ def _nearest(spots: DataFrame, rds: DataFrame, finest: float) -> DataFrame:
             return reduce(DataFrame.unionByName, found)
 
 
+def road_places(roads: DataFrame) -> DataFrame:
+    """Of the points at one place the first by way and point: no other can be the nearest."""
+    first = F.min(F.struct("way_id", "seq", "highway", "lanes_raw")).alias("p")
+    return roads.dropna(subset=["lat_e5", "lon_e5"]).groupBy("lat_e5", "lon_e5").agg(first).select("lat_e5", "lon_e5", "p.*")
+
+
 def road_join(incidents: DataFrame, roads: DataFrame, max_m: float = vocab.ROAD_MATCH_MAX_M) -> DataFrame:
     """Nearest road point per incident; road attributes only within ``max_m``.
 
@@ -110,9 +116,7 @@ def road_join(incidents: DataFrame, roads: DataFrame, max_m: float = vocab.ROAD_
     located = incidents.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     located = cut_lineage(located.select("id", "latitude", "longitude"))
     lat0 = cut_lineage(located.agg(F.avg("latitude").alias("__lat0")))
-    # of the points at one place the first by way and point
-    first = F.min(F.struct("way_id", "seq", "highway", "lanes_raw")).alias("p")
-    rp = road_points(roads.dropna(subset=["lat_e5", "lon_e5"]).groupBy("lat_e5", "lon_e5").agg(first).select("lat_e5", "lon_e5", "p.*"))
+    rp = road_points(road_places(roads))
     rds = cut_lineage(_proj(rp.crossJoin(F.broadcast(lat0)), "lat", "lon", F.col("__lat0"), "r").select(
         "way_id", "seq", "highway", "road_class_rank", "lanes", "ry", "rx"))
     spots = located.select("latitude", "longitude").distinct().withColumn("spot", F.monotonically_increasing_id())
@@ -161,4 +165,4 @@ def road_edges(points: DataFrame) -> DataFrame:
           .filter(F.col("m") > 0))
     u = F.struct(F.col("lat_e5").alias("lat_e5"), F.col("lon_e5").alias("lon_e5"))
     v = F.struct(F.col("lat2").alias("lat_e5"), F.col("lon2").alias("lon_e5"))
-    return e.select("way_id", F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), "m")
+    return e.select("way_id", F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), "m", "seq")

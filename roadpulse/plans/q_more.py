@@ -163,12 +163,12 @@ def stream_enrich(spark, sf):
 @register("road_snap_stream")
 def road_snap_stream(spark, sf):
     """Each micro-batch of live events snapped to the road network (batch nearest-road join in foreachBatch)."""
+    from ..operators import roads as R
     folder, s = _replay(spark, sf, "snap")
     out = os.path.join(folder, "snapped")
-    roads = network(spark, sf)
+    roads = base._stage(spark, "road_places", sf, lambda: R.road_places(network(spark, sf)))
 
     def handle(batch, batch_id):
-        from ..operators import roads as R
         R.road_join(L.without_closing(batch).drop("event_time"), roads).select("id", "road_class", "road_class_rank", "lane_count",
                                                             "road_dist_m") \
             .write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))

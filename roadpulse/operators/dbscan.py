@@ -8,12 +8,12 @@ Plan
 2. **Core points.**  A cell with ``>= min_samples`` points is all-core with no
    distance work (a hot cell costs one count).  Points of *sparse* cells
    (< min_samples points, so at most min_samples-1 per cell) count their
-   neighbours by an equi-join against the neighbouring cells: work per sparse
-   point is bounded by its neighbourhood, never quadratic in a hot cell.
+   neighbours by an equi-join of distinct places against the neighbouring cells:
+   a place meets a bounded number of sparse ones, never quadratic in a hot cell.
 3. **Cluster graph on cells.**  Core points of one cell are connected, so the
-   node is the cell (key = smallest core row key in it).  Edges join core
-   points of neighbouring cells (exact haversine) and are de-duplicated per
-   cell pair.
+   node is the cell (key = smallest core row key in it).  Neighbouring cells have
+   an edge where two of their outermost core places are near (exact haversine);
+   only pairs of cells that this leaves open are searched, over distinct core places.
 4. **Connected components** by star contraction (``functions.graph``); each
    round is a table in the shared folder, and the rounds end at convergence.
 5. **Labels.**  Component key = smallest core row key; clusters are numbered
@@ -60,8 +60,9 @@ def dbscan(df: DataFrame, eps_km: float = vocab.DBSCAN_EPS_KM, min_samples: int
               .withColumn("cc", F.floor(F.col("longitude") / a_deg).cast("long")))
     pts = cut_lineage(pts)
 
-    cell_n = pts.groupBy("cr", "cc").agg(F.count(F.lit(1)).alias("cell_n"))
-    pts = pts.join(cell_n, ["cr", "cc"])
+    place = ["cr", "cc", "latitude", "longitude"]
+    places = cut_lineage(pts.groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
+    cell_n = places.groupBy("cr", "cc").agg(F.sum("n").alias("cell_n"))
     offs = [(i, j) for i in range(-klat, klat + 1) for j in range(-klon, klon + 1)]
     off_df = df.sparkSession.createDataFrame(offs, "dr int, dc int")
 
@@ -70,36 +71,40 @@ def dbscan(df: DataFrame, eps_km: float = vocab.DBSCAN_EPS_KM, min_samples: int
                     .withColumn("ncr", F.col("cr") + F.col("dr")).withColumn("ncc", F.col("cc") + F.col("dc"))
                     .drop("dr", "dc"))
 
-    other = pts.select(F.col("pid").alias("qid"), F.col("okey").alias("qokey"), F.col("latitude").alias("qlat"),
-                       F.col("longitude").alias("qlon"), F.col("cr").alias("ncr"), F.col("cc").alias("ncc"),
-                       F.col("cell_n").alias("q_cell_n"))
-
-    # --- 2. neighbour counts for points of sparse cells ---------------------
-    sparse = pts.filter(F.col("cell_n") < min_samples)
-    sp_pairs = (probe(sparse).join(other, ["ncr", "ncc"])
-                .withColumn("d", haversine_km(F.col("latitude"), F.col("longitude"), F.col("qlat"), F.col("qlon")))
-                .filter(F.col("d") <= eps_km))
-    sp_pairs = cut_lineage(sp_pairs.select("pid", "cr", "cc", "qid", "ncr", "ncc", "q_cell_n"))
-    sp_counts = sp_pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("nbrs"))
-    pts = (pts.join(sp_counts, "pid", "left")
+    other = {"latitude": "qlat", "longitude": "qlon", "cr": "ncr", "cc": "ncc"}
+    near = haversine_km(F.col("latitude"), F.col("longitude"), F.col("qlat"), F.col("qlon")) <= eps_km
+
+    # --- 2. neighbour counts for places of sparse cells ---------------------
+    sparse = places.join(cell_n.filter(F.col("cell_n") < min_samples), ["cr", "cc"], "left_semi").drop("n")
+    sp_pairs = cut_lineage(probe(sparse).join(places.withColumnsRenamed(other), ["ncr", "ncc"]).filter(near))
+    spot_n = sp_pairs.groupBy(*place).agg(F.sum("n").alias("n"))
+    sp_counts = pts.join(spot_n, place).groupBy("pid").agg(F.sum("n").alias("nbrs"))
+    pts = (pts.join(cell_n, ["cr", "cc"]).join(sp_counts, "pid", "left")
               .withColumn("is_core", (F.col("cell_n") >= min_samples) | (F.coalesce("nbrs", F.lit(0)) >= min_samples))
-              .drop("nbrs"))
+              .drop("nbrs", "cell_n"))
     pts = cut_lineage(pts)
 
     core = pts.filter("is_core")
     cells = core.groupBy("cr", "cc").agg(F.min("okey").alias("node"))
 
-    # --- 3. cell graph edges among core points of neighbouring cells ------------
-    core_other = core.select(F.col("latitude").alias("qlat"), F.col("longitude").alias("qlon"),
-                             F.col("cr").alias("ncr"), F.col("cc").alias("ncc"))
-    near = (probe(core.select("cr", "cc", "latitude", "longitude"))
-            .filter((F.col("ncr") > F.col("cr")) | ((F.col("ncr") == F.col("cr")) & (F.col("ncc") > F.col("cc"))))
-            .join(core_other, ["ncr", "ncc"])
-            .filter(haversine_km(F.col("latitude"), F.col("longitude"), F.col("qlat"), F.col("qlon")) <= eps_km)
-            .select("cr", "cc", "ncr", "ncc").distinct())
+    # --- 3. cell graph edges among core places of neighbouring cells ------------
+    spots = cut_lineage(core.select(*place).distinct())
+    at = F.struct("latitude", "longitude")
+    lat, lon = F.col("latitude"), F.col("longitude")
+    # the outermost places of a cell settle most pairs of cells
+    ends = [f(at, by) for by in (lat, lon, lat + lon, lat - lon) for f in (F.min_by, F.max_by)]
+    outer = cut_lineage(spots.groupBy("cr", "cc").agg(F.array_distinct(F.array(*ends)).alias("ends")))
+    pairs = (probe(outer).filter((F.col("ncr") > F.col("cr")) | ((F.col("ncr") == F.col("cr")) & (F.col("ncc") > F.col("cc"))))
+             .join(outer.select(F.col("cr").alias("ncr"), F.col("cc").alias("ncc"), F.col("ends").alias("nends")), ["ncr", "ncc"]))
+    touch = F.exists("ends", lambda p: F.exists("nends", lambda q: haversine_km(
+        p["latitude"], p["longitude"], q["latitude"], q["longitude"]) <= eps_km))
+    pairs = cut_lineage(pairs.select("cr", "cc", "ncr", "ncc", touch.alias("touch")))
+    rest = (spots.join(pairs.filter(~F.col("touch")).select("cr", "cc", "ncr", "ncc"), ["cr", "cc"])
+                 .join(spots.withColumnsRenamed(other), ["ncr", "ncc"]).filter(near))
+    edges = pairs.filter("touch").select("cr", "cc", "ncr", "ncc").unionByName(rest.select("cr", "cc", "ncr", "ncc").distinct())
     n1 = cells.select(F.col("cr"), F.col("cc"), F.col("node").alias("a"))
     n2 = cells.select(F.col("cr").alias("ncr"), F.col("cc").alias("ncc"), F.col("node").alias("b"))
-    e = near.join(n1, ["cr", "cc"]).join(n2, ["ncr", "ncc"]).select("a", "b")
+    e = edges.join(n1, ["cr", "cc"]).join(n2, ["ncr", "ncc"]).select("a", "b")
     # --- 4. connected components (ends when no edge changes) ------------------
     linked = connected_components(e).withColumnRenamed("root", "lab")
     labels = cut_lineage(cells.select("node").join(linked, "node", "left")
@@ -111,9 +116,12 @@ def dbscan(df: DataFrame, eps_km: float = vocab.DBSCAN_EPS_KM, min_samples: int
 
     # --- 5. labels for core, border, noise ---------------------------------------
     core_lab = core.join(cell_lab, ["cr", "cc"]).select("pid", "cluster_label")
-    border = (sp_pairs.join(pts.filter(~F.col("is_core")).select("pid"), "pid")
-                      .join(core_lab.withColumnRenamed("pid", "qid").withColumnRenamed("cluster_label", "ql"), "qid")
-                      .groupBy("pid").agg(F.min("ql").alias("cluster_label")))
+    # all core rows of a cell have its label; rows without an id lend none
+    lent = (core.filter(F.col("pid").isNotNull()).select(*place).distinct().withColumnsRenamed(other)
+                .join(cell_lab.select(F.col("cr").alias("ncr"), F.col("cc").alias("ncc"), F.col("cluster_label").alias("ql")), ["ncr", "ncc"]))
+    spot_lab = sp_pairs.join(lent, ["ncr", "ncc", "qlat", "qlon"]).groupBy(*place).agg(F.min("ql").alias("ql"))
+    border = (pts.join(pts.filter(~F.col("is_core")).select("pid").distinct(), "pid", "left_semi")
+                 .join(spot_lab, place).groupBy("pid").agg(F.min("ql").alias("cluster_label")))
     lab = core_lab.unionByName(border)
     return (pts.select("pid", "is_core").join(lab, "pid", "left")
                .select(F.col("pid").alias(id_col),

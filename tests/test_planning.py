@@ -169,3 +169,30 @@ def test_hulls_of_random_routes(spark):
         own = {tuple(p) for p in pts} | {(la, lo)}
         assert [tuple(p) for p in got[i].hull] == (_hull(own) if len(own) > 1 else list(own)), (i, own)
         assert got[i].hull_vertices == len(got[i].hull)
+
+
+def test_analogs_answers_equal_questions_once(spark, monkeypatch):
+    """Queries of one cause, zone and place were searched, pooled and summed up one by one."""
+    from roadpulse.plans import base
+    hist = base.features(spark, SF0001)
+    places = [("procession", "Central Zone 1", 12.97, 77.60), ("procession", None, None, None), (None, None, 12.9, 77.5),
+              ("vip_movement", "Central Zone 1", None, None)]
+    rows = [(i, *places[i % 4]) for i in range(40)]
+    schema = "qid long, cause string, zone string, latitude double, longitude double"
+    one = P._answers
+    sizes = []
+    monkeypatch.setattr(P, "_answers", lambda q, *a: sizes.append(q.count()) or one(q, *a))
+    got = P.analogs(spark.createDataFrame(rows, schema), hist)
+    want = one(spark.createDataFrame(rows, schema), hist, 10, 8)
+    assert sizes == [4] and got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_analogs_of_shared_and_missing_qids(spark):
+    from roadpulse.plans import base
+    hist = base.features(spark, SF0001)
+    rows = [(1, "procession", "Central Zone 1", 12.97, 77.60), (1, "procession", "Central Zone 1", 12.97, 77.60),
+            (None, "protest", None, 12.9, 77.5), (2, "procession", "Central Zone 1", 12.97, 77.60)]
+    q = spark.createDataFrame(rows, "qid long, cause string, zone string, latitude double, longitude double")
+    got, want = P.analogs(q, hist), P._answers(q, hist, 10, 8)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

@@ -326,8 +326,9 @@ def morans_i(labelled: DataFrame, k: int = vocab.MORAN_K, label: str = "cluster_
                    .dropna(subset=["latitude", "longitude"]).withColumn("__all", F.lit(1)))
     q = pts.select(F.col("pid").alias("qid"), "__all", "latitude", "longitude")
     nn = knn_join(q, pts.drop("y"), ["__all"], k, metric="euclid_deg", exclude_self=True)
-    ki = nn.groupBy("qid").agg(F.count(F.lit(1)).alias("__k"))
-    w = nn.join(ki, "qid").select(F.col("qid").alias("i"), F.col("pid").alias("j"), (1.0 / F.col("__k")).alias("w"))
+    # the neighbours are read by every sum: written once
+    nn = cut_lineage(nn.select("qid", "pid", F.count(F.lit(1)).over(Window.partitionBy("qid")).alias("__k")))
+    w = nn.select(F.col("qid").alias("i"), F.col("pid").alias("j"), (1.0 / F.col("__k")).alias("w"))
     ybar = pts.agg(F.avg("y").alias("__m"), F.count(F.lit(1)).alias("n"))
     z = pts.crossJoin(F.broadcast(ybar)).select(F.col("pid"), (F.col("y") - F.col("__m")).alias("z"))
     zi = z.select(F.col("pid").alias("i"), F.col("z").alias("zi"))
@@ -335,10 +336,9 @@ def morans_i(labelled: DataFrame, k: int = vocab.MORAN_K, label: str = "cluster_
     cross = w.join(zi, "i").join(zj, "j").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("num"),
                                                F.sum("w").alias("s0"))
     zz = z.agg(F.sum(F.col("z") * F.col("z")).alias("den"))
-    both = w.select("i", "j", F.col("w").alias("a"), F.lit(0.0).alias("b")).unionByName(
-        w.select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(0.0).alias("a"), F.col("w").alias("b")))
-    s1 = both.groupBy("i", "j").agg((F.sum("a") + F.sum("b")).alias("t")).agg(
-        (0.5 * F.sum(F.col("t") * F.col("t"))).alias("s1"))
+    # half the sum over ordered pairs of (w_ij + w_ji)^2: each pair once, whichever way it was found
+    s1 = w.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.sum("w").alias("t")).agg(
+        F.sum(F.col("t") * F.col("t")).alias("s1"))
     rs = w.groupBy(F.col("i").alias("v")).agg(F.sum("w").alias("r"))
     cs = w.groupBy(F.col("j").alias("v")).agg(F.sum("w").alias("c"))
     s2 = rs.join(cs, "v", "full").fillna(0.0).agg(F.sum(F.pow(F.col("r") + F.col("c"), 2)).alias("s2"))

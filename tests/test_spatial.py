@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SF0001, SF001
 from roadpulse.operators import dbscan as DB
 from roadpulse.operators import planning as P
+from roadpulse.operators import spatial as S
 from roadpulse.plans import base
 
 
@@ -180,3 +181,28 @@ def test_dbscan_pairs_of_cells_without_near_ends(spark):
         expect = _sequential_dbscan(pts, eps, 4)
         got = {r.id: r.cluster_label for r in DB.dbscan(df, eps, 4).collect()}
         assert [got[i] for i in range(len(pts))] == list(expect)
+
+
+def test_morans_i_writes_the_neighbours_once(spark, monkeypatch):
+    """Each of the sums ranked the neighbours anew, and pairs were counted in both directions."""
+    import datetime as dt
+    import math
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, rnd.random(), rnd.random(), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i % 3 - 1) for i in range(40)]
+    d = spark.createDataFrame(rows, "id long, latitude double, longitude double, start_datetime timestamp_ntz, cluster_label int")
+    written = []
+    cut = S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df, *a: written.append(df.columns) or cut(df, *a))
+    got = S.morans_i(d, k=3).first()
+    assert written == [["qid", "pid", "__k"]]
+    near = {i: [j for _, j in sorted((math.hypot(a - x, b - y), j) for j, x, y, *_ in rows if j != i)[:3]] for i, a, b, *_ in rows}
+    w = {(i, j): 1 / 3 for i in near for j in near[i]}
+    y = [float(r[4] >= 0) for r in rows]
+    n, m = len(rows), sum(y) / len(rows)
+    stat = n / sum(w.values()) * sum(v * (y[i] - m) * (y[j] - m) for (i, j), v in w.items()) / sum((v - m) ** 2 for v in y)
+    s0, s1 = sum(w.values()), 0.5 * sum((w.get((i, j), 0) + w.get((j, i), 0)) ** 2 for i in range(n) for j in range(n))
+    s2 = sum((sum(v for (i, _), v in w.items() if i == x) + sum(v for (_, j), v in w.items() if j == x)) ** 2 for x in range(n))
+    var = (n * n * s1 - n * s2 + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - 1 / (n - 1) ** 2
+    assert abs(got.I - stat) < 1e-9 and abs(got.z_norm - (stat + 1 / (n - 1)) / math.sqrt(var)) < 1e-6

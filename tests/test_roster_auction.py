@@ -88,3 +88,34 @@ def test_bids_are_cut_to_the_capacity_before_the_shuffle(spark):
     got = RO.roster_allocate(scen, st, cp)
     assert sorted((r.station or "", r.sum) for r in got.groupBy("station").agg({"officers": "sum"}).toDF("station", "sum").collect()) == [
         ("", 93), ("A", 3), ("B", 4)]
+
+
+def test_only_events_within_reach_take_part_in_the_rounds(spark, monkeypatch):
+    """Every event of a contested window went through every round, however few officers there were."""
+    rng = random.Random(3)
+    stations = [("A", 12.9, 77.5, 2), ("B", 12.95, 77.55, 3), ("C", 13.0, 77.6, 1)]
+    few = [(13.0 - i / 100, 77.5 + i / 50, s, d) for i, (s, d) in enumerate([("High", 2), ("Medium", 3), ("High", 1)])]
+    low = [(round(12.9 + rng.randrange(10) / 100, 6), round(77.5 + rng.randrange(10) / 100, 6), "Low", 1 + i % 3) for i in range(80)]
+    seen: list[int] = []
+    auction = RO.auction
+    monkeypatch.setattr(RO, "auction", lambda ev, *a: seen.append(ev.count()) or auction(ev, *a))
+    scen, st, cp = build(spark, [few + low], stations)
+    alloc = RO.roster_allocate(scen, st, cp).cache()
+    assert seen[0] < 25                       # 83 before
+    # the High and Medium events want all officers, so the least cost is theirs alone
+    small, _, _ = build(spark, [few], stations)
+    ev, used = RO.priced_events(small, st, cp)
+    arcs = ev.orderBy("id").collect()
+    want = least_cost([r.costs for r in arcs], [r.penalty for r in arcs], [r.demand for r in arcs], [s.capacity for s in used])
+    assert RO.roster_cost(scen, alloc).first()["cost"] == want + 1000 * sum(e[3] for e in low)
+    given = {r.id: r.n for r in alloc.groupBy("id").agg({"officers": "sum"}).toDF("id", "n").collect()}
+    assert given == {i: e[3] for i, e in enumerate(few + low)}
+    alloc.unpersist()
+
+
+def test_reach_of_random_windows_keeps_the_least_cost(spark):
+    rng = random.Random(9)
+    stations = [("A", 12.9, 77.5, 1), ("B", 13.0, 77.6, 2)]
+    windows = [[(round(12.9 + rng.randrange(4) / 30, 6), round(77.5 + rng.randrange(4) / 30, 6), rng.choice(["High", "Low", "Low"]), rng.randint(1, 2))
+                for _ in range(7)] for _ in range(25)]
+    check(spark, windows, stations)

@@ -142,13 +142,17 @@ def cluster_centroids(df: DataFrame, label: str = "cluster_label") -> DataFrame:
              .withColumnRenamed(label, "cluster"))
 
 
+CELL_CENTROIDS = 1000      # centroids of a cell that one row holds
+
+
 def cluster_assign(points: DataFrame, centroids: DataFrame, margin_km: float = vocab.DBSCAN_EPS_KM,
                    cell_deg: float = 0.01) -> DataFrame:
-    """Nearest centroid whose reach (radius + margin) contains the point, else -1.
+    """Nearest centroid whose reach (radius + margin) contains the point, else -1; rows of one id share the nearest of all.
 
     Centroids are replicated to every ``cell_deg`` cell their reach box touches
-    (cluster count grows with data, so no blind broadcast); points join on their
-    own cell; exact haversine filter; ``min_by`` on (distance, cluster).
+    (cluster count grows with data, so no blind broadcast) and folded there into rows of up to
+    about ``CELL_CENTROIDS``.  Distinct places meet the rows of their own cell and take the least
+    (distance, cluster) within reach from each: pairs of places and centroids are never rows.
     """
     c = centroids.withColumn("__reach", F.col("radius_km") + margin_km)
     dlat = F.col("__reach") / 110.574
@@ -157,15 +161,28 @@ def cluster_assign(points: DataFrame, centroids: DataFrame, margin_km: float = v
                                                   F.floor((F.col("clat") + 1.5 * dlat) / cell_deg).cast("long"))))
           .withColumn("__c", F.explode(F.sequence(F.floor((F.col("clon") - 1.5 * dlon) / cell_deg).cast("long"),
                                                   F.floor((F.col("clon") + 1.5 * dlon) / cell_deg).cast("long")))))
-    p = (points.withColumn("__r", F.floor(F.col("latitude") / cell_deg).cast("long"))
-               .withColumn("__c", F.floor(F.col("longitude") / cell_deg).cast("long")))
-    cand = (p.select("id", "latitude", "longitude", "__r", "__c")
-             .join(c.select("cluster", "clat", "clon", "__reach", "__r", "__c"), ["__r", "__c"])
-             .withColumn("__d", haversine_km(F.col("clat"), F.col("clon"), F.col("latitude"), F.col("longitude")))
-             .filter(F.col("__d") <= F.col("__reach")))
-    best = cand.groupBy("id").agg(F.min_by("cluster", F.struct("__d", "cluster")).alias("assigned_cluster"))
-    return (points.join(best, "id", "left")
-                  .withColumn("assigned_cluster", F.coalesce(F.col("assigned_cluster"), F.lit(-1)).cast("int")))
+    c = cut_lineage(c.select("cluster", "clat", "clon", "__reach", (1.5 * F.col("__reach") / 110.574).alias("__dlat"), "__r", "__c"))
+    rows = c.groupBy("__r", "__c").agg(F.ceil(F.count(F.lit(1)) / CELL_CENTROIDS).alias("__rows"))
+    cells = (c.join(rows, ["__r", "__c"]).groupBy("__r", "__c", F.pmod(F.xxhash64("cluster", "clat", "clon"), "__rows"))
+              .agg(F.collect_list(F.struct("cluster", "clat", "clon", "__reach", "__dlat")).alias("__near")))
+    spots = (points.select(F.col("latitude").alias("__la"), F.col("longitude").alias("__lo")).dropna().distinct()
+                   .withColumn("__r", F.floor(F.col("__la") / cell_deg).cast("long"))
+                   .withColumn("__c", F.floor(F.col("__lo") / cell_deg).cast("long")))
+    # a centroid that is too far north or south is left without its distance
+    close = F.filter("__near", lambda x: F.abs(x["clat"] - F.col("__la")) <= x["__dlat"])
+    far = F.transform(close, lambda x: F.struct(haversine_km(x["clat"], x["clon"], F.col("__la"), F.col("__lo")).alias("d"),
+                                                x["cluster"].alias("cluster"), x["__reach"].alias("reach")))
+    best = F.array_min(F.filter(far, lambda x: x["d"] <= x["reach"]))
+    found = spots.join(cells, ["__r", "__c"]).select("__la", "__lo", best.alias("__best")).filter("__best is not null")
+    found = found.groupBy("__la", "__lo").agg(F.min(F.struct("__best.d", "__best.cluster")).alias("__best"))
+    placed = points.join(found, (F.col("latitude") == F.col("__la")) & (F.col("longitude") == F.col("__lo")), "left").drop("__la", "__lo")
+    again = points.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = cut_lineage(again.select("id"))
+    if not again.isEmpty():
+        shared = placed.join(again, "id", "left_semi").groupBy("id").agg(F.min("__best").alias("__shared"))
+        placed = placed.join(shared, "id", "left").withColumn("__best", F.coalesce("__shared", "__best")).drop("__shared")
+    own = F.when(F.col("id").isNotNull(), F.col("__best")["cluster"])
+    return placed.select(*points.columns, F.coalesce(own, F.lit(-1)).cast("int").alias("assigned_cluster"))
 
 
 def cluster_summary_stats(labelled: DataFrame, label: str = "cluster_label") -> DataFrame:

@@ -136,9 +136,13 @@ def features_given(spark, sf):
     cluster history (a stage output: materialised once per session and input folder).
 
     Only these columns are shuffled and written; the road join and the labels meet the rows in one shuffle by id.
+    Where the core feature table is already written, they are read from it.
     """
     def build():
-        core = cut_lineage(FE.feat_model(base.incidents(spark, sf), _GIVEN))
+        if base.held(spark, "features", sf):
+            core = base.features(spark, sf).select(*_GIVEN)
+        else:
+            core = cut_lineage(FE.feat_model(base.incidents(spark, sf), _GIVEN))
         f = R.road_join(core, network(spark, sf)).drop("latitude", "longitude", "road_class", "road_dist_m")
         f = f.join(fixtures.given_labels(spark, sf), "id", "left").fillna(-1, ["cluster_label"])
         return FE.feat_cluster_history(cut_lineage(f))

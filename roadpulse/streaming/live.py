@@ -36,6 +36,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 LATE_MOD = 37          # replayed rows whose id is a multiple arrive last
+ROW_GROUP = 8 << 20    # bytes of a block's file that one task reads at least
 CLOSING = "30 DAYS"    # event time of the closing rows after the newest row
 
 
@@ -66,7 +67,7 @@ def write_replay(live: DataFrame, folder: str, late_mod: int = LATE_MOD) -> str:
     closing = newest.filter("newest is not null").select(*empty)
     closing = closing.withColumn("blk", F.explode(F.array(F.lit(LAST_BLOCK + 1), F.lit(LAST_BLOCK + 2))))
     (live.withColumn("blk", order).unionByName(closing).repartition("blk").sortWithinPartitions("blk", "ts", "id")
-     .write.partitionBy("blk").parquet(src))
+     .write.option("parquet.block.size", ROW_GROUP).partitionBy("blk").parquet(src))
     hadoop = spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(src).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     blocks = sorted((int(f.getPath().getName().split("=")[1]), f.getPath()) for f in fs.listStatus(hadoop.Path(src)) if f.isDirectory())
@@ -120,12 +121,23 @@ def ingest(stream: DataFrame) -> DataFrame:
     return valid.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
 
 
+def with_medians(events: DataFrame, medians: DataFrame) -> DataFrame:
+    """Each event with the history of its corridor.
+
+    Rows meet the medians themselves; where ids repeat or are missing, which is counted
+    over the ids alone, they meet the histories of all rows of their id.
+    """
+    several = events.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL")
+    if several.isEmpty():
+        return A.history_lookup(events, medians)
+    return events.join(A.history_lookup(events.select("id", "corridor"), medians).drop("corridor"), "id", "left")
+
+
 def enrich_score(batch: DataFrame, medians: DataFrame, stats: DataFrame) -> DataFrame:
     """One micro-batch: text mining, corridor history (medians, else global), rules, impact."""
     d = FE.text_semantic_encode(FE.text_semantic_type(batch))
     d = d.withColumn("severity_class", F.col("severity")).drop("corridor_7d_score", "junction_repeat_count")
-    hist = A.history_lookup(d.select("id", "corridor"), medians).drop("corridor")
-    d = d.join(hist, "id", "left")
+    d = with_medians(d, medians)
     d = d.withColumn("is_peak_hour", F.col("hour_of_day").isin(vocab.PEAK_HOURS).cast("int"))
     r = D.recommend(d, stats, prob_col="closure_prob")
     r = D.impact_score(r, prob_col="closure_prob", cluster_rate_col="cluster_closure_rate",
@@ -157,8 +169,10 @@ def live_pipeline(stream: DataFrame, medians: DataFrame, stats: DataFrame, folde
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # the batch id is the partition folder (idempotent overwrite on replay)
-        s = enrich_score(without_closing(batch), medians, stats).drop("event_time").persist()
-        s.write.mode("overwrite").parquet(os.path.join(out["scored"], f"batch_id={batch_id}"))
+        s = enrich_score(without_closing(batch), medians, stats).drop("event_time")
+        s.write.mode("overwrite").parquet(version(out["scored"], batch_id))
+        # the other sinks read the columns they need of the written rows
+        s = batch.sparkSession.read.schema(s.schema).parquet(version(out["scored"], batch_id))
         a = D.alert_message(s.filter("barricade_required"), prob_col="closure_probability")
         a.select("id", "alert_text").write.mode("overwrite").parquet(
             os.path.join(out["alerts"], f"batch_id={batch_id}"))
@@ -177,7 +191,6 @@ def live_pipeline(stream: DataFrame, medians: DataFrame, stats: DataFrame, folde
         else:
             e = S.cluster_assign(e, footprints_at(batch.sparkSession, footprints, batch_id)).withColumnRenamed("assigned_cluster", "cluster")
         e.write.mode("overwrite").parquet(version(out["store"], batch_id))
-        s.unpersist()
 
     run_foreach(stream, folder, "pipeline", handle)
     return out
